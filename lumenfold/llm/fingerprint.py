@@ -19,10 +19,9 @@ K, WINDOW, HASH_BITS, BLOCK = 16, 64, 40, 1 << 22
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 
-def _kgram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k-grams, HASH_BITS wide: polynomial in a fixed base modulo 2^64, then mixed."""
+def kgram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of all k-grams: polynomial in a fixed base modulo 2^64, joined by doubling, then mixed."""
     n = len(codes) - k + 1
-    # sums of 2, 4, 8 ... codes joined to k by doubling
     have, power, out, done = codes.astype(np.uint64) + np.uint64(1), _BASE, None, 0
     length, rest = 1, k
     while rest:
@@ -38,7 +37,7 @@ def _kgram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     out ^= out >> np.uint64(32)
     out *= _MIX
     out ^= out >> np.uint64(29)
-    return out >> np.uint64(64 - HASH_BITS)
+    return out
 
 
 def _least_of_windows(keys: np.ndarray, w: int) -> np.ndarray:
@@ -48,31 +47,29 @@ def _least_of_windows(keys: np.ndarray, w: int) -> np.ndarray:
         out = np.minimum(out[:-length], out[length:])
         length *= 2
     if length < w:
-        out = np.minimum(out[: len(keys) - w + 1], out[w - length : w - length + len(keys) - w + 1])
+        m = len(keys) - w + 1
+        out = np.minimum(out[:m], out[w - length : w - length + m])
     return out
 
 
+def chosen_of_windows(hashes: np.ndarray, w: int) -> np.ndarray:
+    """For every window of w hashes the position of the least one, compared by the top HASH_BITS, rightmost of ties."""
+    out, span = [], np.uint64((1 << (64 - HASH_BITS)) - 1)
+    for at in range(0, max(1, len(hashes) - w + 1), BLOCK):
+        part = hashes[at : at + BLOCK + w - 1]
+        keys = (part & ~span) | (span - np.arange(len(part), dtype=np.uint64))
+        out.append((span - (_least_of_windows(keys, min(w, len(part))) & span)).astype(np.int64) + at)
+    return np.concatenate(out)
+
+
 def winnow(text: str, k: int = K, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) chosen, in order of position. A text shorter than k is one gram; an empty one has none."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     if not len(codes):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    k = min(k, len(codes))
-    kept: list[np.ndarray] = []
-    hashes = []
-    n = len(codes) - k + 1
-    for at in range(0, max(1, n - w + 1), BLOCK):
-        part = _kgram_hashes(codes[at : at + BLOCK + w + k - 2], k)
-        m = len(part)
-        inverse = np.uint64((1 << 24) - 1) - np.arange(m, dtype=np.uint64)  # ties go to the rightmost
-        least = _least_of_windows((part << np.uint64(24)) | inverse, min(w, m))
-        chosen = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-        where = ((1 << 24) - 1) - (least[chosen] & np.uint64((1 << 24) - 1)).astype(np.int64)
-        kept.append(where + at)
-        hashes.append(part[where])
-    positions, values = np.concatenate(kept), np.concatenate(hashes)
-    positions, first = np.unique(positions, return_index=True)
-    return positions, values[first]
+    hashes = kgram_hashes(codes, min(k, len(codes)))
+    positions = np.unique(chosen_of_windows(hashes, w))
+    return positions, hashes[positions] >> np.uint64(64 - HASH_BITS)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

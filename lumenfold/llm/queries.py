@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import bpe, exact_dedup, fingerprint, license_scan, mixing, secret_scan, sharding
+from lumenfold.llm import bpe, exact_dedup, fingerprint, jaccard_join, license_scan, mixing, quality, secret_scan, sharding, substring_dedup
 
-MODULES = (mixing, secret_scan, bpe, fingerprint, sharding, exact_dedup, license_scan)
+MODULES = (mixing, secret_scan, bpe, fingerprint, sharding, quality, exact_dedup, license_scan, substring_dedup, jaccard_join)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,8 +12,11 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_fingerprints": fingerprint.op4_fingerprints,
     "op5_sharding": sharding.op5_sharding,
+    "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_license_scan": license_scan.op8_license_scan,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
 ORACLES = {k: v for m in MODULES for k, v in m.SQL.items()}
