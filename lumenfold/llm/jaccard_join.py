@@ -6,7 +6,8 @@ promises the least work, by the estimated frequency of its prefix shingles, and
 prefix shingles as the smaller l of the two asks for.
 
 Groups of copies never become pairs: documents of equal sets are one class, and near copies are first linked, exactly,
-to the least document of the groups they share a min-hash with. What these links join already is one cluster, and the
+to the document of the most
+frequent shingles (hub) among those that they share most min-hashes with. What these links join already is one cluster, and the
 prefix join looks only at shingles, and emits only pairs, that lie across clusters. A link found or left out is always
 verified on whole sets, and none between different clusters is missed.
 """
@@ -25,9 +26,10 @@ from lumenfold.llm.common import cut_lineage
 from lumenfold.llm.components import components
 from lumenfold.llm.words import NULL_ID, WordHashes, id_key, join_side, shingle_set
 
-#: Shingle length in words; threshold as a fraction; cells of the count sketch; min-hashes; longest choice of l; cost of
-#: verifying a candidate, in posting entries.
-WORDS, OVER, UNDER, CELLS, MIN_HASHES, MOST_SHARED, VERIFY = 5, 75, 100, 1 << 18, 8, 4, 8.0
+#: Shingle length in words; threshold as a fraction; cells of the count sketch; min-hashes, and how many of them a
+#: document shares with the hub it is compared with first; longest choice of l; cost of verifying a candidate, in
+#: posting entries.
+WORDS, OVER, UNDER, CELLS, MIN_HASHES, MET, MOST_SHARED, VERIFY = 5, 75, 100, 1 << 18, 8, 3, 4, 8.0
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, MIN_HASHES, dtype=np.uint64) | np.uint64(1)
 
 
@@ -35,8 +37,9 @@ def _sketch(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, cells = WordHashes(), np.zeros(CELLS, np.int64)
         for pdf in batches:
-            for text in pdf["_text"]:
-                np.add.at(cells, (shingle_set(text, cache, k) & np.uint64(CELLS - 1)).astype(np.int64), 1)
+            sets = [shingle_set(t, cache, k) for t in pdf["_text"]]
+            if sets:
+                cells += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
         used = np.flatnonzero(cells)
         yield pd.DataFrame({"cell": used.astype(np.int32), "n": cells[used]})
 
@@ -68,15 +71,15 @@ def _sign(k: int, cells: np.ndarray):
                 s = shingle_set(text, cache, k)
                 n = len(s)
                 if not n:
-                    out.append((key, 0, None, None, 0, None))
+                    out.append((key, 0, None, None, 0, 0, None))
                     continue
                 seen = cells[(s & np.uint64(CELLS - 1)).astype(np.int64)]
-                order = np.lexsort((s, seen))
+                order = np.argsort(seen, kind="stable")  # ties in the order of hashes
                 shared = choose_shared(np.maximum(seen[order] - noise, 0), n)
                 prefix = s[order[: n - least_overlap(n) + shared]]
                 mins = [int((s * m).min()) >> 1 for m in _MULTIPLIERS]
-                out.append((key, n, xxhash.xxh3_128_digest(s.tobytes()), np.array(mins, np.int64), shared, prefix.view(np.int64)))
-            yield pd.DataFrame(out, columns=["_key", "n", "digest", "mins", "shared", "prefix"])
+                out.append((key, n, xxhash.xxh3_128_digest(s.tobytes()), np.array(mins, np.int64), int(seen.mean()), shared, prefix.view(np.int64)))
+            yield pd.DataFrame(out, columns=["_key", "n", "digest", "mins", "common", "shared", "prefix"])
 
     return run
 
@@ -95,7 +98,6 @@ def _verify(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     pairs = cut_lineage(pairs)
     ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct())
     sets = join_side(rows, ids, "_key", "left_semi", F.lit(16)).mapInPandas(_sets(k), "_key long, set array<long>")
-    sets = cut_lineage(sets)
     both = pairs.join(sets.select(F.col("_key").alias("b"), F.col("set").alias("_right")), "b").join(sets.select(F.col("_key").alias("a"), F.col("set").alias("_left")), "a")
     both = both.withColumn("_both", F.size(F.array_intersect("_left", "_right")))
     return both.filter(UNDER * F.col("_both") >= OVER * (F.size("_left") + F.size("_right") - F.col("_both"))).select("a", "b")
@@ -112,27 +114,39 @@ def near_groups(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_co
     counts = rows.select("_text").mapInPandas(_sketch(k), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows at most
     cells = np.zeros(CELLS, np.int64)
     cells[counts["cell"].to_numpy()] = counts["n"].to_numpy()
-    signed = rows.mapInPandas(_sign(k, cells), "_key long, n int, digest binary, mins array<long>, shared int, prefix array<long>")
+    signed = rows.mapInPandas(_sign(k, cells), "_key long, n int, digest binary, mins array<long>, common long, shared int, prefix array<long>")
     signed = cut_lineage(signed)
 
     classes = signed.filter("n > 0").groupBy("digest").agg(F.min("_key").alias("rep"))
     copies = cut_lineage(signed.select("_key", "digest").join(classes, "digest").filter("_key <> rep").distinct())
     reps = join_side(signed.filter("n > 0"), copies.select("_key", "digest"), ["_key", "digest"], "left_anti", F.lit(48))
 
-    keys = reps.select("_key", F.posexplode("mins").alias("i", "h"))
-    hubs = keys.groupBy("i", "h").agg(F.min("_key").alias("hub"), F.max("_key").alias("_last")).filter("hub <> _last")
-    near = keys.join(hubs, ["i", "h"]).filter("_key <> hub").select(F.col("hub").alias("a"), F.col("_key").alias("b")).distinct()
+    keys = reps.select("_key", "common", F.posexplode("mins").alias("i", "h"))
+    hubs = keys.groupBy("i", "h").agg(F.max(F.struct("common", (-F.col("_key")).alias("k"))).alias("_hub"), F.min("_key").alias("_first"), F.max("_key").alias("_last"))
+    hubs = hubs.filter("_first <> _last").select("i", "h", (-F.col("_hub.k")).alias("hub"))
+    met = keys.join(hubs, ["i", "h"]).filter("_key <> hub").groupBy("_key", "hub").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= MET)
+    near = met.groupBy(F.col("_key").alias("b")).agg(F.max(F.struct("_n", (-F.col("hub")).alias("_h"))).alias("_best")).select((-F.col("_best._h")).alias("a"), "b")
     links = cut_lineage(_verify(rows, near, k))
     clusters = components(links).withColumnRenamed("id", "_key")
 
-    labelled = join_side(reps.select("_key", "n", "shared", "prefix"), clusters, "_key", "left", F.lit(24)).withColumn("cluster", F.coalesce("component", "_key"))
-    tokens = labelled.select("_key", "n", "shared", "cluster", F.explode("prefix").alias("token"))
-    across = tokens.groupBy("token").agg(F.min("cluster").alias("_low"), F.max("cluster").alias("_high")).filter("_low <> _high").select("token")
-    lists = cut_lineage(tokens.join(across, "token", "left_semi"))
-    left = lists.select("token", F.col("_key").alias("a"), F.col("n").alias("_na"), F.col("shared").alias("_la"), F.col("cluster").alias("_ca"))
-    right = lists.select("token", F.col("_key").alias("b"), F.col("n").alias("_nb"), F.col("shared").alias("_lb"), F.col("cluster").alias("_cb"))
+    # (token, cluster) once each, in one shuffle by token that finds the shingles across clusters and their rows
+    tokens = join_side(reps.select("_key", "prefix"), clusters, "_key", "left", F.lit(24)).select("_key", "component", F.posexplode("prefix").alias("pos", "token"))
+    members = tokens.filter("component IS NOT NULL")
+    held = tokens.filter("component IS NULL").select("token", F.col("_key").alias("cluster"), "pos").union(members.select("token", F.col("component").alias("cluster"), F.lit(0)).distinct()).repartition("token")
+    across = held.groupBy("token").agg(F.min("cluster").alias("_low"), F.max("cluster").alias("_high")).filter("_low <> _high").select("token")
+    spread = cut_lineage(held.join(across, "token", "left_semi"))
+    inside = members.join(spread.select("token", F.col("cluster").alias("component")), ["token", "component"], "left_semi").select("token", "component", "_key", "pos")
+    alone = spread.join(clusters, F.col("cluster") == F.col("component"), "left_anti").select("token", F.col("cluster"), F.col("cluster").alias("_key"), "pos")
+    lists = alone.union(inside).join(reps.select("_key", "n", "shared"), "_key")
+    lists = cut_lineage(lists)
+    left = lists.select("token", F.col("_key").alias("a"), F.col("n").alias("_na"), F.col("shared").alias("_la"), F.col("cluster").alias("_ca"), F.col("pos").alias("_pa"))
+    right = lists.select("token", F.col("_key").alias("b"), F.col("n").alias("_nb"), F.col("shared").alias("_lb"), F.col("cluster").alias("_cb"), F.col("pos").alias("_pb"))
     sized = (UNDER * F.least("_na", "_nb") >= OVER * F.greatest("_na", "_nb")) & (F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb"))
-    pairs = left.join(right, "token").filter(sized).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"), F.least(F.min("_la"), F.min("_lb")).alias("_l")).filter("_n >= _l").select("a", "b")
+    # the first l shared shingles lie so early in both that what follows can still make up the overlap
+    overlap = F.ceil(OVER * (F.col("_na") + F.col("_nb")) / F.lit(OVER + UNDER))
+    asked = F.least("_la", "_lb")
+    early = (F.col("_pa") <= F.col("_na") - overlap + asked - 1) & (F.col("_pb") <= F.col("_nb") - overlap + asked - 1)
+    pairs = left.join(right, (left["token"] == right["token"]) & sized & early).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"), F.least(F.min("_la"), F.min("_lb")).alias("_l")).filter("_n >= _l").select("a", "b")
     more = _verify(rows, pairs, k)
 
     ends = components(links.union(more).union(copies.select(F.col("rep").alias("a"), F.col("_key").alias("b"))))
