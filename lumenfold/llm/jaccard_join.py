@@ -1,13 +1,13 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-Shingles are ordered from rare to frequent by a count sketch over all documents. Documents that reach the threshold
+Shingles are ordered from rare to frequent by counts over all documents. Documents that reach the threshold
 share at least l shingles among the first n - ceil(t n) + l of each; every document picks the l whose longer prefix
 promises the least work, by the estimated frequency of its prefix shingles, and a pair is verified if it shares as many
 prefix shingles as the smaller l of the two asks for.
 
 Groups of copies never become pairs: documents of equal sets are one class, and near copies are first linked, exactly,
-to the document of the most
-frequent shingles (hub) among those that they share most min-hashes with. What these links join already is one cluster, and the
+to the documents of the
+most frequent shingles (hubs) that they share most min-hashes with. What these links join already is one cluster, and the
 prefix join looks only at shingles, and emits only pairs, that lie across clusters. A link found or left out is always
 verified on whole sets, and none between different clusters is missed.
 """
@@ -26,26 +26,50 @@ from lumenfold.llm.common import cut_lineage
 from lumenfold.llm.components import components
 from lumenfold.llm.words import NULL_ID, WordHashes, id_key, join_side, shingle_set
 
-#: Shingle length in words; threshold as a fraction; cells of the count sketch; min-hashes, and how many of them a
-#: document shares with the hub it is compared with first; longest choice of l; cost of verifying a candidate, in
+#: Shingle length in words; threshold as a fraction; min-hashes, and how many of them a
+#: document shares with the hubs it is compared with first, and how many these
+#: are at most; longest choice of l; cost of verifying a candidate, in
 #: posting entries.
-WORDS, OVER, UNDER, CELLS, MIN_HASHES, MET, MOST_SHARED, VERIFY = 5, 75, 100, 1 << 18, 8, 3, 4, 8.0
+WORDS, OVER, UNDER, MIN_HASHES, MET, HUBS, MOST_SHARED, VERIFY = 5, 75, 100, 8, 3, 2, 4, 8.0
+#: Documents of a slice, how many of them hold a frequent shingle, and how many frequent shingles are told apart.
+SLICE, OFTEN, KEPT = 4000, 4, 1 << 18
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, MIN_HASHES, dtype=np.uint64) | np.uint64(1)
 
 
-def _sketch(k: int):
+def _frequent(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, cells = WordHashes(), np.zeros(CELLS, np.int64)
+        cache = WordHashes()
         for pdf in batches:
-            sets = [shingle_set(t, cache, k) for t in pdf["_text"]]
-            if sets:
-                cells += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        used = np.flatnonzero(cells)
-        yield pd.DataFrame({"cell": used.astype(np.int32), "n": cells[used]})
+            for at in range(0, len(pdf), SLICE):
+                sets = [shingle_set(t, cache, k) for t in pdf["_text"].iloc[at : at + SLICE]]
+                token, n = np.unique(np.concatenate(sets), return_counts=True)
+                often = n >= OFTEN
+                yield pd.DataFrame({"token": token[often].view(np.int64), "n": n[often].astype(np.int64)})
 
     return run
 
 
+def frequent_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted shingles, counts) of the KEPT most frequent ones, as counted in slices of documents that hold them often.
+
+    Any order of shingles gives the same links. This one only has to put the frequent ones last, so those that no slice
+    holds often count as rare, and the table has a fixed size.
+    """
+    counts = rows.select("_text").mapInPandas(_frequent(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.col("n").desc(), "token").limit(KEPT).toPandas()
+    tokens, n = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def _counts_of(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The counts of the shingles of s; 0 for rare ones."""
+    if not len(tokens):
+        return np.zeros(len(s), np.int64)
+    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+    return np.where(tokens[at] == s, counts[at], 0)
+
+
 def least_overlap(n: int) -> int:
     """ceil(t * n): what a set of n shingles shares at least with any that reaches the threshold."""
     return -(-OVER * n // UNDER)
@@ -60,9 +84,7 @@ def choose_shared(costs: np.ndarray, n: int) -> int:
     return int(np.argmin(sums[first + tries - 1] * (1 + VERIFY / tries**2))) + 1
 
 
-def _sign(k: int, cells: np.ndarray):
-    noise = float(np.median(cells))
-
+def _sign(k: int, tokens: np.ndarray, counts: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
         for pdf in batches:
@@ -73,9 +95,9 @@ def _sign(k: int, cells: np.ndarray):
                 if not n:
                     out.append((key, 0, None, None, 0, 0, None))
                     continue
-                seen = cells[(s & np.uint64(CELLS - 1)).astype(np.int64)]
+                seen = _counts_of(s, tokens, counts)
                 order = np.argsort(seen, kind="stable")  # ties in the order of hashes
-                shared = choose_shared(np.maximum(seen[order] - noise, 0), n)
+                shared = choose_shared(seen[order], n)
                 prefix = s[order[: n - least_overlap(n) + shared]]
                 mins = [int((s * m).min()) >> 1 for m in _MULTIPLIERS]
                 out.append((key, n, xxhash.xxh3_128_digest(s.tobytes()), np.array(mins, np.int64), int(seen.mean()), shared, prefix.view(np.int64)))
@@ -93,14 +115,14 @@ def _sets(k: int):
     return run
 
 
-def _verify(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold on their whole sets."""
+def _compare(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(a, b, linked, apart) of the pairs (a, b) on their whole sets; apart is the Jaccard distance."""
     pairs = cut_lineage(pairs)
     ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct())
-    sets = join_side(rows, ids, "_key", "left_semi", F.lit(16)).mapInPandas(_sets(k), "_key long, set array<long>")
+    sets = join_side(rows, ids, "_key", "left_semi", F.lit(16)).mapInPandas(_sets(k), "_key long, set array<long>").repartition("_key")  # dealt once, read twice
     both = pairs.join(sets.select(F.col("_key").alias("b"), F.col("set").alias("_right")), "b").join(sets.select(F.col("_key").alias("a"), F.col("set").alias("_left")), "a")
-    both = both.withColumn("_both", F.size(F.array_intersect("_left", "_right")))
-    return both.filter(UNDER * F.col("_both") >= OVER * (F.size("_left") + F.size("_right") - F.col("_both"))).select("a", "b")
+    both = both.withColumn("_both", F.size(F.array_intersect("_left", "_right"))).withColumn("_all", F.size("_left") + F.size("_right") - F.col("_both"))
+    return both.select("a", "b", (UNDER * F.col("_both") >= OVER * F.col("_all")).alias("linked"), (1 - F.col("_both") / F.col("_all")).alias("apart"))
 
 
 def near_groups(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,10 +133,8 @@ def near_groups(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_co
     gives an empty result; further columns are left out.
     """
     rows = docs.select(id_key(id_col).alias("_key"), F.col(text_col).alias("_text"))
-    counts = rows.select("_text").mapInPandas(_sketch(k), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows at most
-    cells = np.zeros(CELLS, np.int64)
-    cells[counts["cell"].to_numpy()] = counts["n"].to_numpy()
-    signed = rows.mapInPandas(_sign(k, cells), "_key long, n int, digest binary, mins array<long>, common long, shared int, prefix array<long>")
+    tokens, counts = frequent_shingles(rows, k)
+    signed = rows.mapInPandas(_sign(k, tokens, counts), "_key long, n int, digest binary, mins array<long>, common long, shared int, prefix array<long>")
     signed = cut_lineage(signed)
 
     classes = signed.filter("n > 0").groupBy("digest").agg(F.min("_key").alias("rep"))
@@ -125,8 +145,13 @@ def near_groups(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_co
     hubs = keys.groupBy("i", "h").agg(F.max(F.struct("common", (-F.col("_key")).alias("k"))).alias("_hub"), F.min("_key").alias("_first"), F.max("_key").alias("_last"))
     hubs = hubs.filter("_first <> _last").select("i", "h", (-F.col("_hub.k")).alias("hub"))
     met = keys.join(hubs, ["i", "h"]).filter("_key <> hub").groupBy("_key", "hub").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= MET)
-    near = met.groupBy(F.col("_key").alias("b")).agg(F.max(F.struct("_n", (-F.col("hub")).alias("_h"))).alias("_best")).select((-F.col("_best._h")).alias("a"), "b")
-    links = cut_lineage(_verify(rows, near, k))
+    best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("_n", (-F.col("hub")).alias("h"))))), 1, HUBS)  # of MIN_HASHES at most
+    near = met.groupBy(F.col("_key").alias("b")).agg(best.alias("_best")).select("b", F.explode("_best").alias("_e")).select((-F.col("_e.h")).alias("a"), "b")
+    compared = cut_lineage(_compare(rows, near, k))
+    links = compared.filter("linked").select("a", "b")
+    # the hub that a document was compared with, and how far apart they are; a hub is its own
+    hubbed = compared.select(F.col("b").alias("_key"), F.col("a").alias("hub"), "apart", F.lit(0).alias("_o")).union(compared.select("a", "a", F.lit(0.0), F.lit(1)))
+    hubbed = hubbed.groupBy("_key").agg(F.min(F.struct("_o", "hub", "apart")).alias("_h")).select("_key", "_h.hub", "_h.apart")
     clusters = components(links).withColumnRenamed("id", "_key")
 
     # (token, cluster) once each, in one shuffle by token that finds the shingles across clusters and their rows
@@ -137,17 +162,20 @@ def near_groups(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_co
     spread = cut_lineage(held.join(across, "token", "left_semi"))
     inside = members.join(spread.select("token", F.col("cluster").alias("component")), ["token", "component"], "left_semi").select("token", "component", "_key", "pos")
     alone = spread.join(clusters, F.col("cluster") == F.col("component"), "left_anti").select("token", F.col("cluster"), F.col("cluster").alias("_key"), "pos")
-    lists = alone.union(inside).join(reps.select("_key", "n", "shared"), "_key")
+    lists = alone.union(inside).join(reps.select("_key", "n", "shared"), "_key").join(hubbed, "_key", "left")
     lists = cut_lineage(lists)
-    left = lists.select("token", F.col("_key").alias("a"), F.col("n").alias("_na"), F.col("shared").alias("_la"), F.col("cluster").alias("_ca"), F.col("pos").alias("_pa"))
-    right = lists.select("token", F.col("_key").alias("b"), F.col("n").alias("_nb"), F.col("shared").alias("_lb"), F.col("cluster").alias("_cb"), F.col("pos").alias("_pb"))
+    left = lists.select("token", F.col("_key").alias("a"), F.col("n").alias("_na"), F.col("shared").alias("_la"), F.col("cluster").alias("_ca"), F.col("pos").alias("_pa"), F.col("hub").alias("_ha"), F.col("apart").alias("_da"))
+    right = lists.select("token", F.col("_key").alias("b"), F.col("n").alias("_nb"), F.col("shared").alias("_lb"), F.col("cluster").alias("_cb"), F.col("pos").alias("_pb"), F.col("hub").alias("_hb"), F.col("apart").alias("_db"))
     sized = (UNDER * F.least("_na", "_nb") >= OVER * F.greatest("_na", "_nb")) & (F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb"))
+    # the distance is a metric: documents whose distances from one hub differ by more than the greatest
+    # distance of a link have none
+    sized = sized & ~F.coalesce((F.col("_ha") == F.col("_hb")) & (F.abs(F.col("_da") - F.col("_db")) > 1 - OVER / UNDER + 1e-9), F.lit(False))
     # the first l shared shingles lie so early in both that what follows can still make up the overlap
     overlap = F.ceil(OVER * (F.col("_na") + F.col("_nb")) / F.lit(OVER + UNDER))
     asked = F.least("_la", "_lb")
     early = (F.col("_pa") <= F.col("_na") - overlap + asked - 1) & (F.col("_pb") <= F.col("_nb") - overlap + asked - 1)
     pairs = left.join(right, (left["token"] == right["token"]) & sized & early).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"), F.least(F.min("_la"), F.min("_lb")).alias("_l")).filter("_n >= _l").select("a", "b")
-    more = _verify(rows, pairs, k)
+    more = _compare(rows, pairs, k).filter("linked").select("a", "b")
 
     ends = components(links.union(more).union(copies.select(F.col("rep").alias("a"), F.col("_key").alias("b"))))
     out = join_side(signed.select("_key", "n"), ends.withColumnRenamed("id", "_key"), "_key", "left", F.lit(24))
