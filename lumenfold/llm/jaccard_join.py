@@ -31,6 +31,8 @@ from lumenfold.llm.words import NULL_ID, WordHashes, id_key, join_side, shingle_
 #: are at most; longest choice of l; cost of verifying a candidate, in
 #: posting entries.
 WORDS, OVER, UNDER, MIN_HASHES, MET, HUBS, MOST_SHARED, VERIFY = 5, 75, 100, 8, 3, 2, 4, 8.0
+#: Bits of a parity bitmap.
+BITS = 2048
 #: Documents of a slice, how many of them hold a frequent shingle, and how many frequent shingles are told apart.
 SLICE, OFTEN, KEPT = 4000, 4, 1 << 18
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, MIN_HASHES, dtype=np.uint64) | np.uint64(1)
@@ -84,6 +86,12 @@ def choose_shared(costs: np.ndarray, n: int) -> int:
     return int(np.argmin(sums[first + tries - 1] * (1 + VERIFY / tries**2))) + 1
 
 
+def parity_bits(s: np.ndarray) -> np.ndarray:
+    """BITS bits, each flipped by the shingles that fall on it: two sets differ in as many shingles as bits at least."""
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sign(k: int, tokens: np.ndarray, counts: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
@@ -93,15 +101,15 @@ def _sign(k: int, tokens: np.ndarray, counts: np.ndarray):
                 s = shingle_set(text, cache, k)
                 n = len(s)
                 if not n:
-                    out.append((key, 0, None, None, 0, 0, None))
+                    out.append((key, 0, None, None, None, 0, 0, None))
                     continue
                 seen = _counts_of(s, tokens, counts)
                 order = np.argsort(seen, kind="stable")  # ties in the order of hashes
                 shared = choose_shared(seen[order], n)
                 prefix = s[order[: n - least_overlap(n) + shared]]
                 mins = [int((s * m).min()) >> 1 for m in _MULTIPLIERS]
-                out.append((key, n, xxhash.xxh3_128_digest(s.tobytes()), np.array(mins, np.int64), int(seen.mean()), shared, prefix.view(np.int64)))
-            yield pd.DataFrame(out, columns=["_key", "n", "digest", "mins", "common", "shared", "prefix"])
+                out.append((key, n, xxhash.xxh3_128_digest(s.tobytes()), np.array(mins, np.int64), parity_bits(s), int(seen.mean()), shared, prefix.view(np.int64)))
+            yield pd.DataFrame(out, columns=["_key", "n", "digest", "mins", "bits", "common", "shared", "prefix"])
 
     return run
 
@@ -115,14 +123,28 @@ def _sets(k: int):
     return run
 
 
-def _compare(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(a, b, linked, apart) of the pairs (a, b) on their whole sets; apart is the Jaccard distance."""
+def _compare(rows: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(a, b, linked, low, high) of the pairs (a, b); low and high bound the Jaccard distance.
+
+    Parity bitmaps show that most pairs differ in too many shingles. The rest, next to all of them links, are compared
+    on their whole sets.
+    """
     pairs = cut_lineage(pairs)
     ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct())
-    sets = join_side(rows, ids, "_key", "left_semi", F.lit(16)).mapInPandas(_sets(k), "_key long, set array<long>").repartition("_key")  # dealt once, read twice
-    both = pairs.join(sets.select(F.col("_key").alias("b"), F.col("set").alias("_right")), "b").join(sets.select(F.col("_key").alias("a"), F.col("set").alias("_left")), "a")
-    both = both.withColumn("_both", F.size(F.array_intersect("_left", "_right"))).withColumn("_all", F.size("_left") + F.size("_right") - F.col("_both"))
-    return both.select("a", "b", (UNDER * F.col("_both") >= OVER * F.col("_all")).alias("linked"), (1 - F.col("_both") / F.col("_all")).alias("apart"))
+    bits = join_side(reps.select("_key", "n", "bits"), ids, "_key", "left_semi", F.lit(16)).repartition("_key")  # dealt once, read twice
+    side = lambda t, key, x: t.select(F.col("_key").alias(key), *[F.col(c).alias(f"_{c}{x}") for c in t.columns if c != "_key"])
+    near = pairs.join(side(bits, "a", 1), "a").join(side(bits, "b", 2), "b")
+    differ = F.aggregate(F.zip_with("_bits1", "_bits2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    near = near.select("a", "b", (F.col("_n1") + F.col("_n2")).alias("_sum"), differ.alias("_differ"))
+    near = cut_lineage(near.withColumn("_far", (OVER + UNDER) * F.col("_differ") > (UNDER - OVER) * F.col("_sum")))
+    close = near.filter("NOT _far").select("a", "b")
+    some = cut_lineage(close.select(F.explode(F.array("a", "b")).alias("_key")).distinct())
+    sets = join_side(rows, some, "_key", "left_semi", F.lit(16)).mapInPandas(_sets(k), "_key long, set array<long>").repartition("_key")
+    both = close.join(side(sets, "b", 2), "b").join(side(sets, "a", 1), "a")
+    both = both.withColumn("_both", F.size(F.array_intersect("_set1", "_set2"))).withColumn("_all", F.size("_set1") + F.size("_set2") - F.col("_both"))
+    apart = 1 - F.col("_both") / F.col("_all")
+    told = both.select("a", "b", (UNDER * F.col("_both") >= OVER * F.col("_all")).alias("linked"), apart.alias("low"), apart.alias("high"))
+    return told.union(near.filter("_far").select("a", "b", F.lit(False), 2 * F.col("_differ") / (F.col("_sum") + F.col("_differ")), F.lit(1.0)))
 
 
 def near_groups(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,7 +156,7 @@ def near_groups(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_co
     """
     rows = docs.select(id_key(id_col).alias("_key"), F.col(text_col).alias("_text"))
     tokens, counts = frequent_shingles(rows, k)
-    signed = rows.mapInPandas(_sign(k, tokens, counts), "_key long, n int, digest binary, mins array<long>, common long, shared int, prefix array<long>")
+    signed = rows.mapInPandas(_sign(k, tokens, counts), "_key long, n int, digest binary, mins array<long>, bits array<long>, common long, shared int, prefix array<long>")
     signed = cut_lineage(signed)
 
     classes = signed.filter("n > 0").groupBy("digest").agg(F.min("_key").alias("rep"))
@@ -147,11 +169,11 @@ def near_groups(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_co
     met = keys.join(hubs, ["i", "h"]).filter("_key <> hub").groupBy("_key", "hub").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= MET)
     best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("_n", (-F.col("hub")).alias("h"))))), 1, HUBS)  # of MIN_HASHES at most
     near = met.groupBy(F.col("_key").alias("b")).agg(best.alias("_best")).select("b", F.explode("_best").alias("_e")).select((-F.col("_e.h")).alias("a"), "b")
-    compared = cut_lineage(_compare(rows, near, k))
+    compared = cut_lineage(_compare(rows, reps, near, k))
     links = compared.filter("linked").select("a", "b")
-    # the hub that a document was compared with, and how far apart they are; a hub is its own
-    hubbed = compared.select(F.col("b").alias("_key"), F.col("a").alias("hub"), "apart", F.lit(0).alias("_o")).union(compared.select("a", "a", F.lit(0.0), F.lit(1)))
-    hubbed = hubbed.groupBy("_key").agg(F.min(F.struct("_o", "hub", "apart")).alias("_h")).select("_key", "_h.hub", "_h.apart")
+    # the hub that a document was compared with, and bounds of their distance; a hub is its own
+    hubbed = compared.select(F.col("b").alias("_key"), F.col("a").alias("hub"), "low", "high", F.lit(0).alias("_o")).union(compared.select("a", "a", F.lit(0.0), F.lit(0.0), F.lit(1)))
+    hubbed = hubbed.groupBy("_key").agg(F.min(F.struct("_o", "high", "hub", "low")).alias("_h")).select("_key", "_h.hub", "_h.low", "_h.high")
     clusters = components(links).withColumnRenamed("id", "_key")
 
     # (token, cluster) once each, in one shuffle by token that finds the shingles across clusters and their rows
@@ -164,18 +186,18 @@ def near_groups(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_co
     alone = spread.join(clusters, F.col("cluster") == F.col("component"), "left_anti").select("token", F.col("cluster"), F.col("cluster").alias("_key"), "pos")
     lists = alone.union(inside).join(reps.select("_key", "n", "shared"), "_key").join(hubbed, "_key", "left")
     lists = cut_lineage(lists)
-    left = lists.select("token", F.col("_key").alias("a"), F.col("n").alias("_na"), F.col("shared").alias("_la"), F.col("cluster").alias("_ca"), F.col("pos").alias("_pa"), F.col("hub").alias("_ha"), F.col("apart").alias("_da"))
-    right = lists.select("token", F.col("_key").alias("b"), F.col("n").alias("_nb"), F.col("shared").alias("_lb"), F.col("cluster").alias("_cb"), F.col("pos").alias("_pb"), F.col("hub").alias("_hb"), F.col("apart").alias("_db"))
+    left = lists.select("token", F.col("_key").alias("a"), F.col("n").alias("_na"), F.col("shared").alias("_la"), F.col("cluster").alias("_ca"), F.col("pos").alias("_pa"), F.col("hub").alias("_ha"), F.col("low").alias("_sa"), F.col("high").alias("_ta"))
+    right = lists.select("token", F.col("_key").alias("b"), F.col("n").alias("_nb"), F.col("shared").alias("_lb"), F.col("cluster").alias("_cb"), F.col("pos").alias("_pb"), F.col("hub").alias("_hb"), F.col("low").alias("_sb"), F.col("high").alias("_tb"))
     sized = (UNDER * F.least("_na", "_nb") >= OVER * F.greatest("_na", "_nb")) & (F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb"))
     # the distance is a metric: documents whose distances from one hub differ by more than the greatest
     # distance of a link have none
-    sized = sized & ~F.coalesce((F.col("_ha") == F.col("_hb")) & (F.abs(F.col("_da") - F.col("_db")) > 1 - OVER / UNDER + 1e-9), F.lit(False))
+    sized = sized & ~F.coalesce((F.col("_ha") == F.col("_hb")) & (F.greatest(F.col("_sa") - F.col("_tb"), F.col("_sb") - F.col("_ta")) > 1 - OVER / UNDER + 1e-9), F.lit(False))
     # the first l shared shingles lie so early in both that what follows can still make up the overlap
     overlap = F.ceil(OVER * (F.col("_na") + F.col("_nb")) / F.lit(OVER + UNDER))
     asked = F.least("_la", "_lb")
     early = (F.col("_pa") <= F.col("_na") - overlap + asked - 1) & (F.col("_pb") <= F.col("_nb") - overlap + asked - 1)
     pairs = left.join(right, (left["token"] == right["token"]) & sized & early).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"), F.least(F.min("_la"), F.min("_lb")).alias("_l")).filter("_n >= _l").select("a", "b")
-    more = _compare(rows, pairs, k).filter("linked").select("a", "b")
+    more = _compare(rows, reps, pairs, k).filter("linked").select("a", "b")
 
     ends = components(links.union(more).union(copies.select(F.col("rep").alias("a"), F.col("_key").alias("b"))))
     out = join_side(signed.select("_key", "n"), ends.withColumnRenamed("id", "_key"), "_key", "left", F.lit(24))
