@@ -195,10 +195,10 @@ def _(t):
     return geometry.changes(t("orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice").withColumn("step", F.col("step").cast("long"))
 
 
-@query("g2_quality", """WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((least(1.0::DOUBLE, greatest(0.0::DOUBLE, l_quantity / 47)) * 2.0 + least(1.0::DOUBLE, greatest(0.0::DOUBLE, l_discount * 9.7::DOUBLE)) * 1.0 + least(1.0::DOUBLE, greatest(0.0::DOUBLE, l_tax * 12.3::DOUBLE)) * 1.0) / 4.0, 4) AS overall FROM lineitem)
+@query("g2_quality", """WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((least(1.0::DOUBLE, greatest(0.0::DOUBLE, l_quantity / 47)) * 2.0 + least(1.0::DOUBLE, greatest(0.0::DOUBLE, l_discount * 9.7::DOUBLE)) * 1.0 + least(1.0::DOUBLE, greatest(0.0::DOUBLE, l_tax * 12.3::DOUBLE)) * 1.1) / 4.1, 4) AS overall FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, overall, CASE WHEN overall >= 0.95 THEN 'excellent' WHEN overall >= 0.8 THEN 'good' WHEN overall >= 0.5 THEN 'fair' ELSE 'poor' END AS rating FROM q""")
 def _(t):
-    q = quality.weighted_quality({"a": F.col("l_quantity") / 47, "b": F.col("l_discount") * 9.7, "c": F.col("l_tax") * 12.3}, {"a": 2.0, "b": 1.0, "c": 1.0})
+    q = quality.weighted_quality({"a": F.col("l_quantity") / 47, "b": F.col("l_discount") * 9.7, "c": F.col("l_tax") * 12.3}, {"a": 2.0, "b": 1.0, "c": 1.1})
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", q.alias("q")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "q.overall", "q.rating")
 
 
