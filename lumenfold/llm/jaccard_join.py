@@ -31,8 +31,8 @@ from lumenfold.llm.words import NULL_ID, WordHashes, id_key, join_side, shingle_
 #: are at most; longest choice of l; cost of verifying a candidate, in
 #: posting entries.
 WORDS, OVER, UNDER, MIN_HASHES, MET, HUBS, MOST_SHARED, VERIFY = 5, 75, 100, 8, 3, 2, 4, 8.0
-#: Bits of a parity bitmap.
-BITS = 2048
+#: Bits of a parity bitmap, and of the one that goes along with a shingle.
+BITS, FOLDED = 2048, 512
 #: Documents of a slice, how many of them hold a frequent shingle, and how many frequent shingles are told apart.
 SLICE, OFTEN, KEPT = 4000, 4, 1 << 18
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, MIN_HASHES, dtype=np.uint64) | np.uint64(1)
@@ -147,6 +147,16 @@ def _compare(rows: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> Data
     return told.union(near.filter("_far").select("a", "b", F.lit(False), 2 * F.col("_differ") / (F.col("_sum") + F.col("_differ")), F.lit(1.0)))
 
 
+def _folded(bits: str):
+    """A parity bitmap of FOLDED bits from one of BITS."""
+    n = FOLDED // 64
+    parts = [F.slice(F.col(bits), 1 + i * n, n) for i in range(BITS // FOLDED)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = F.zip_with(out, part, lambda x, y: x.bitwiseXOR(y))
+    return out
+
+
 def near_groups(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, n_shingles, component_id (the least id that links reach, its own included).
 
@@ -184,14 +194,17 @@ def near_groups(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_co
     spread = cut_lineage(held.join(across, "token", "left_semi"))
     inside = members.join(spread.select("token", F.col("cluster").alias("component")), ["token", "component"], "left_semi").select("token", "component", "_key", "pos")
     alone = spread.join(clusters, F.col("cluster") == F.col("component"), "left_anti").select("token", F.col("cluster"), F.col("cluster").alias("_key"), "pos")
-    lists = alone.union(inside).join(reps.select("_key", "n", "shared"), "_key").join(hubbed, "_key", "left")
+    lists = alone.union(inside).join(reps.select("_key", "n", "shared", _folded("bits").alias("fold")), "_key").join(hubbed, "_key", "left")
     lists = cut_lineage(lists)
-    left = lists.select("token", F.col("_key").alias("a"), F.col("n").alias("_na"), F.col("shared").alias("_la"), F.col("cluster").alias("_ca"), F.col("pos").alias("_pa"), F.col("hub").alias("_ha"), F.col("low").alias("_sa"), F.col("high").alias("_ta"))
-    right = lists.select("token", F.col("_key").alias("b"), F.col("n").alias("_nb"), F.col("shared").alias("_lb"), F.col("cluster").alias("_cb"), F.col("pos").alias("_pb"), F.col("hub").alias("_hb"), F.col("low").alias("_sb"), F.col("high").alias("_tb"))
+    left = lists.select("token", F.col("_key").alias("a"), F.col("n").alias("_na"), F.col("shared").alias("_la"), F.col("cluster").alias("_ca"), F.col("pos").alias("_pa"), F.col("hub").alias("_ha"), F.col("low").alias("_sa"), F.col("high").alias("_ta"), F.col("fold").alias("_fa"))
+    right = lists.select("token", F.col("_key").alias("b"), F.col("n").alias("_nb"), F.col("shared").alias("_lb"), F.col("cluster").alias("_cb"), F.col("pos").alias("_pb"), F.col("hub").alias("_hb"), F.col("low").alias("_sb"), F.col("high").alias("_tb"), F.col("fold").alias("_fb"))
     sized = (UNDER * F.least("_na", "_nb") >= OVER * F.greatest("_na", "_nb")) & (F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb"))
     # the distance is a metric: documents whose distances from one hub differ by more than the greatest
     # distance of a link have none
     sized = sized & ~F.coalesce((F.col("_ha") == F.col("_hb")) & (F.greatest(F.col("_sa") - F.col("_tb"), F.col("_sb") - F.col("_ta")) > 1 - OVER / UNDER + 1e-9), F.lit(False))
+    # folded bitmaps show most pairs that differ in too many shingles
+    differ = sum((F.bit_count(F.col("_fa")[i].bitwiseXOR(F.col("_fb")[i])) for i in range(FOLDED // 64)), F.lit(0))
+    sized = sized & ((OVER + UNDER) * differ <= (UNDER - OVER) * (F.col("_na") + F.col("_nb")))
     # the first l shared shingles lie so early in both that what follows can still make up the overlap
     overlap = F.ceil(OVER * (F.col("_na") + F.col("_nb")) / F.lit(OVER + UNDER))
     asked = F.least("_la", "_lb")
