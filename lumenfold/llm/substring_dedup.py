@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.common import cut_lineage
 from lumenfold.llm.fingerprint import chosen_of_windows, kgram_hashes
-from lumenfold.llm.words import NULL_ID, WordHashes, id_key, join_side, words_of
+from lumenfold.llm.words import WordHashes, id_key, is_small, join_side, words_of
 
 #: Words of a window, words of a seed.
 LENGTH, K = 20, 8
@@ -117,12 +117,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
     lists = seeds.join(again, "_seed", "left_semi").groupBy("_key").agg(F.collect_list("_pos").alias("_seeds"))
     lists = cut_lineage(lists)
     size = 32 + 4 * F.size("_seeds")
-    found = join_side(rows.select("_key", "_text"), lists, "_key", "inner", size).mapInPandas(_windows(length, k), "_one long, _two long, _key long, _pos int")
+    small = is_small(lists, size)
+    if not small:
+        rows = rows.repartition("_key")  # texts move once; both joins below read this exchange
+    found = rows.join(F.broadcast(lists) if small else lists, "_key").select("_key", "_id", "_text", "_seeds").mapInPandas(_windows(length, k), "_one long, _two long, _key long, _pos int")
     firsts = found.groupBy("_one", "_two").agg(F.min_by("_pos", "_key").alias("_pos"), F.min("_key").alias("_key"))
     firsts = firsts.groupBy("_key").agg(F.collect_list("_pos").alias("_firsts"))
-    marks = cut_lineage(lists.join(firsts, "_key", "left"))
-    marked = join_side(rows, marks, "_key", "left", size + 4 * F.coalesce(F.size("_firsts"), F.lit(0)))
-    out = marked.select("_id", "_text", "_seeds", "_firsts").mapInPandas(_remove(length, k), "_id long, n_words long, n_removed long, kept_text string")
+    marks = lists.join(firsts, "_key", "left")
+    if small:
+        marked = join_side(rows, cut_lineage(marks), "_key", "left", size + 4 * F.coalesce(F.size("_firsts"), F.lit(0)))
+    else:
+        marked = rows.join(marks, "_key", "left")
+    out = marked.select("_key", "_id", "_text", "_seeds", "_firsts").mapInPandas(_remove(length, k), "_id long, n_words long, n_removed long, kept_text string")
     return out.withColumnRenamed("_id", id_col)
 
 

@@ -45,7 +45,11 @@ def id_key(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
 
 
+def is_small(side: DataFrame, side_bytes: Column) -> bool:
+    """Whether the sum of `side_bytes` over `side` (lineage cut, so that this is cheap) allows a broadcast."""
+    return (side.agg(F.sum(side_bytes)).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def join_side(rows: DataFrame, side: DataFrame, on: str | list[str], how: str, side_bytes: Column) -> DataFrame:
-    """Join by `on`; `side` (lineage cut, read twice) is broadcast if the sum of `side_bytes` is small, else shuffled."""
-    size = side.agg(F.sum(side_bytes)).first()[0] or 0
-    return rows.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, on, how)
+    """Join by `on`; `side` (lineage cut, read twice) is broadcast if it is small, else shuffled."""
+    return rows.join(F.broadcast(side) if is_small(side, side_bytes) else side, on, how)
