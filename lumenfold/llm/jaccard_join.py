@@ -31,7 +31,7 @@ from lumenfold.llm.words import NULL_ID, WordHashes, id_key, join_side, shingle_
 #: are at most; longest choice of l; cost of verifying a candidate, in
 #: posting entries.
 WORDS, OVER, UNDER, MIN_HASHES, MET, HUBS, MOST_SHARED, VERIFY = 5, 75, 100, 8, 3, 2, 4, 8.0
-#: Bits of a parity bitmap, and of the one that goes along with a shingle.
+#: Least bits of a parity bitmap, and bits of the one that goes along with a shingle.
 BITS, FOLDED = 2048, 512
 #: Documents of a slice, how many of them hold a frequent shingle, and how many frequent shingles are told apart.
 SLICE, OFTEN, KEPT = 4000, 4, 1 << 18
@@ -86,12 +86,20 @@ def choose_shared(costs: np.ndarray, n: int) -> int:
     return int(np.argmin(sums[first + tries - 1] * (1 + VERIFY / tries**2))) + 1
 
 
-def parity_bits(s: np.ndarray) -> np.ndarray:
-    """BITS bits, each flipped by the shingles that fall on it: two sets differ in as many shingles as bits at least."""
-    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
+def parity_bits(s: np.ndarray, m: int) -> np.ndarray:
+    """m bits, each flipped by the shingles that fall on it: two sets differ in as many shingles as bits at least.
+
+    m is a power of two; the exclusive or of the halves is the bitmap of m / 2 bits.
+    """
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (m - 1), minlength=m) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def bits_for(n: int) -> int:
+    """Bits of the bitmap of a set of n shingles: n at least, as a bitmap of fewer fills up and tells nothing apart."""
+    return max(BITS, 1 << (n - 1).bit_length())
+
+
 def _sign(k: int, tokens: np.ndarray, counts: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
@@ -101,15 +109,15 @@ def _sign(k: int, tokens: np.ndarray, counts: np.ndarray):
                 s = shingle_set(text, cache, k)
                 n = len(s)
                 if not n:
-                    out.append((key, 0, None, None, None, 0, 0, None))
+                    out.append((key, 0, None, None, None, None, 0, 0, None))
                     continue
                 seen = _counts_of(s, tokens, counts)
                 order = np.argsort(seen, kind="stable")  # ties in the order of hashes
                 shared = choose_shared(seen[order], n)
                 prefix = s[order[: n - least_overlap(n) + shared]]
                 mins = [int((s * m).min()) >> 1 for m in _MULTIPLIERS]
-                out.append((key, n, xxhash.xxh3_128_digest(s.tobytes()), np.array(mins, np.int64), parity_bits(s), int(seen.mean()), shared, prefix.view(np.int64)))
-            yield pd.DataFrame(out, columns=["_key", "n", "digest", "mins", "bits", "common", "shared", "prefix"])
+                out.append((key, n, xxhash.xxh3_128_digest(s.tobytes()), np.array(mins, np.int64), parity_bits(s, bits_for(n)), parity_bits(s, FOLDED), int(seen.mean()), shared, prefix.view(np.int64)))
+            yield pd.DataFrame(out, columns=["_key", "n", "digest", "mins", "bits", "fold", "common", "shared", "prefix"])
 
     return run
 
@@ -123,10 +131,25 @@ def _sets(k: int):
     return run
 
 
+def _least_difference():
+    """Shingles that two sets, of sizes _n1 and _n2 and bitmaps _bits1 and _bits2, differ in at least.
+
+    The sizes alone tell apart sets that can't link. Bitmaps of the others have equal lengths, or one has twice as many.
+    """
+    x, y = F.col("_bits1"), F.col("_bits2")
+    middle = lambda c: (F.size(c) / 2).cast("int")
+    half = lambda c: F.zip_with(F.slice(c, F.lit(1), middle(c)), F.slice(c, middle(c) + 1, middle(c)), lambda p, q: p.bitwiseXOR(q))
+    short, long = F.when(F.size(x) <= F.size(y), x).otherwise(y), F.when(F.size(x) <= F.size(y), y).otherwise(x)
+    long = F.when(F.size(x) == F.size(y), long).otherwise(half(long))
+    differ = F.aggregate(F.zip_with(short, long, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
+    fits = UNDER * F.least("_n1", "_n2") >= OVER * F.greatest("_n1", "_n2")
+    return F.greatest(F.when(fits, differ).otherwise(F.lit(0)), F.abs(F.col("_n1") - F.col("_n2")))
+
+
 def _compare(rows: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """(a, b, linked, low, high) of the pairs (a, b); low and high bound the Jaccard distance.
 
-    Parity bitmaps show that most pairs differ in too many shingles. The rest, next to all of them links, are compared
+    Sizes and parity bitmaps show that most pairs differ in too many shingles. The rest, next to all of them links, are compared
     on their whole sets.
     """
     pairs = cut_lineage(pairs)
@@ -134,8 +157,7 @@ def _compare(rows: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> Data
     bits = join_side(reps.select("_key", "n", "bits"), ids, "_key", "left_semi", F.lit(16)).repartition("_key")  # dealt once, read twice
     side = lambda t, key, x: t.select(F.col("_key").alias(key), *[F.col(c).alias(f"_{c}{x}") for c in t.columns if c != "_key"])
     near = pairs.join(side(bits, "a", 1), "a").join(side(bits, "b", 2), "b")
-    differ = F.aggregate(F.zip_with("_bits1", "_bits2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    near = near.select("a", "b", (F.col("_n1") + F.col("_n2")).alias("_sum"), differ.alias("_differ"))
+    near = near.select("a", "b", (F.col("_n1") + F.col("_n2")).alias("_sum"), _least_difference().alias("_differ"))
     near = cut_lineage(near.withColumn("_far", (OVER + UNDER) * F.col("_differ") > (UNDER - OVER) * F.col("_sum")))
     close = near.filter("NOT _far").select("a", "b")
     some = cut_lineage(close.select(F.explode(F.array("a", "b")).alias("_key")).distinct())
@@ -147,16 +169,6 @@ def _compare(rows: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> Data
     return told.union(near.filter("_far").select("a", "b", F.lit(False), 2 * F.col("_differ") / (F.col("_sum") + F.col("_differ")), F.lit(1.0)))
 
 
-def _folded(bits: str):
-    """A parity bitmap of FOLDED bits from one of BITS."""
-    n = FOLDED // 64
-    parts = [F.slice(F.col(bits), 1 + i * n, n) for i in range(BITS // FOLDED)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = F.zip_with(out, part, lambda x, y: x.bitwiseXOR(y))
-    return out
-
-
 def near_groups(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, n_shingles, component_id (the least id that links reach, its own included).
 
@@ -166,7 +178,7 @@ def near_groups(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_co
     """
     rows = docs.select(id_key(id_col).alias("_key"), F.col(text_col).alias("_text"))
     tokens, counts = frequent_shingles(rows, k)
-    signed = rows.mapInPandas(_sign(k, tokens, counts), "_key long, n int, digest binary, mins array<long>, bits array<long>, common long, shared int, prefix array<long>")
+    signed = rows.mapInPandas(_sign(k, tokens, counts), "_key long, n int, digest binary, mins array<long>, bits array<long>, fold array<long>, common long, shared int, prefix array<long>")
     signed = cut_lineage(signed)
 
     classes = signed.filter("n > 0").groupBy("digest").agg(F.min("_key").alias("rep"))
@@ -194,7 +206,7 @@ def near_groups(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_co
     spread = cut_lineage(held.join(across, "token", "left_semi"))
     inside = members.join(spread.select("token", F.col("cluster").alias("component")), ["token", "component"], "left_semi").select("token", "component", "_key", "pos")
     alone = spread.join(clusters, F.col("cluster") == F.col("component"), "left_anti").select("token", F.col("cluster"), F.col("cluster").alias("_key"), "pos")
-    lists = alone.union(inside).join(reps.select("_key", "n", "shared", _folded("bits").alias("fold")), "_key").join(hubbed, "_key", "left")
+    lists = alone.union(inside).join(reps.select("_key", "n", "shared", "fold"), "_key").join(hubbed, "_key", "left")
     lists = cut_lineage(lists)
     left = lists.select("token", F.col("_key").alias("a"), F.col("n").alias("_na"), F.col("shared").alias("_la"), F.col("cluster").alias("_ca"), F.col("pos").alias("_pa"), F.col("hub").alias("_ha"), F.col("low").alias("_sa"), F.col("high").alias("_ta"), F.col("fold").alias("_fa"))
     right = lists.select("token", F.col("_key").alias("b"), F.col("n").alias("_nb"), F.col("shared").alias("_lb"), F.col("cluster").alias("_cb"), F.col("pos").alias("_pb"), F.col("hub").alias("_hb"), F.col("low").alias("_sb"), F.col("high").alias("_tb"), F.col("fold").alias("_fb"))
