@@ -33,20 +33,40 @@ from lumenfold.llm.words import NULL_ID, WordHashes, id_key, join_side, shingle_
 WORDS, OVER, UNDER, MIN_HASHES, MET, HUBS, MOST_SHARED, VERIFY = 5, 75, 100, 8, 3, 2, 4, 8.0
 #: Least bits of a parity bitmap, and bits of the one that goes along with a shingle.
 BITS, FOLDED = 2048, 512
-#: Documents of a slice, how many of them hold a frequent shingle, and how many frequent shingles are told apart.
-SLICE, OFTEN, KEPT = 4000, 4, 1 << 18
+#: Documents and shingles of a slice, how many of its documents hold a frequent shingle, and how many frequent shingles
+#: are told apart; shingles of the sets that a task hands over at once.
+SLICE, SLICE_SHINGLES, OFTEN, KEPT, HANDED = 4000, 1 << 22, 4, 1 << 18, 1 << 19
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, MIN_HASHES, dtype=np.uint64) | np.uint64(1)
 
 
+def _in_slices(pdf: pd.DataFrame, cache: WordHashes, k: int, most_rows: int, most_shingles: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, sets of it and the next ones), with at most so many rows, and shingles but for the last set.
+
+    A caller may clear the list when it is done with it.
+    """
+    first, sets, held = 0, [], 0
+    for i, text in enumerate(pdf["_text"]):
+        sets.append(shingle_set(text, cache, k))
+        held += len(sets[-1])
+        if len(sets) == most_rows or held >= most_shingles:
+            yield first, sets
+            first, sets, held = i + 1, [], 0
+    if sets:
+        yield first, sets
+
+
 def _frequent(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
         for pdf in batches:
-            for at in range(0, len(pdf), SLICE):
-                sets = [shingle_set(t, cache, k) for t in pdf["_text"].iloc[at : at + SLICE]]
-                token, n = np.unique(np.concatenate(sets), return_counts=True)
-                often = n >= OFTEN
-                yield pd.DataFrame({"token": token[often].view(np.int64), "n": n[often].astype(np.int64)})
+            for _, sets in _in_slices(pdf, cache, k, SLICE, SLICE_SHINGLES):
+                every = np.concatenate(sets)
+                sets.clear()
+                every.sort()
+                first, last = every[: max(len(every) - OFTEN + 1, 0)], every[OFTEN - 1 :]
+                token = np.unique(first[first == last])
+                n = np.searchsorted(every, token, "right") - np.searchsorted(every, token, "left")
+                yield pd.DataFrame({"token": token.view(np.int64), "n": n.astype(np.int64)})
 
     return run
 
@@ -104,20 +124,22 @@ def _sign(k: int, tokens: np.ndarray, counts: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
         for pdf in batches:
-            out = []
-            for key, text in zip(pdf["_key"], pdf["_text"], strict=True):
-                s = shingle_set(text, cache, k)
-                n = len(s)
-                if not n:
-                    out.append((key, 0, None, None, None, None, 0, 0, None))
-                    continue
-                seen = _counts_of(s, tokens, counts)
-                order = np.argsort(seen, kind="stable")  # ties in the order of hashes
-                shared = choose_shared(seen[order], n)
-                prefix = s[order[: n - least_overlap(n) + shared]]
-                mins = [int((s * m).min()) >> 1 for m in _MULTIPLIERS]
-                out.append((key, n, xxhash.xxh3_128_digest(s.tobytes()), np.array(mins, np.int64), parity_bits(s, bits_for(n)), parity_bits(s, FOLDED), int(seen.mean()), shared, prefix.view(np.int64)))
-            yield pd.DataFrame(out, columns=["_key", "n", "digest", "mins", "bits", "fold", "common", "shared", "prefix"])
+            keys = pdf["_key"].to_numpy()
+            for first, sets in _in_slices(pdf, cache, k, SLICE, HANDED):
+                out = []
+                for key, s in zip(keys[first : first + len(sets)], sets, strict=True):
+                    n = len(s)
+                    if not n:
+                        out.append((key, 0, None, None, None, None, 0, 0, None))
+                        continue
+                    seen = _counts_of(s, tokens, counts)
+                    order = np.argsort(seen, kind="stable")  # ties in the order of hashes
+                    shared = choose_shared(seen[order], n)
+                    prefix = s[order[: n - least_overlap(n) + shared]]
+                    mins = [int((s * m).min()) >> 1 for m in _MULTIPLIERS]
+                    out.append((key, n, xxhash.xxh3_128_digest(s.tobytes()), np.array(mins, np.int64), parity_bits(s, bits_for(n)), parity_bits(s, FOLDED), int(seen.mean()), shared, prefix.view(np.int64)))
+                sets.clear()
+                yield pd.DataFrame(out, columns=["_key", "n", "digest", "mins", "bits", "fold", "common", "shared", "prefix"])
 
     return run
 
@@ -126,7 +148,9 @@ def _sets(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
         for pdf in batches:
-            yield pd.DataFrame({"_key": pdf["_key"], "set": pd.Series([shingle_set(t, cache, k).view(np.int64) for t in pdf["_text"]], dtype=object)})
+            keys = pdf["_key"].to_numpy()
+            for first, sets in _in_slices(pdf, cache, k, SLICE, HANDED):
+                yield pd.DataFrame({"_key": keys[first : first + len(sets)], "set": pd.Series([s.view(np.int64) for s in sets], dtype=object)})
 
     return run
 
