@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenfold.functions import keys, vectors
-from lumenfold.operators import geometry, graphs, quality, relational
+from lumenfold.operators import flows, geometry, graphs, quality, relational, rollups
 from lumenfold.streaming import jobs
 
 QUERIES: dict = {}
@@ -250,3 +250,105 @@ SELECT p_partkey, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT
 def _(t):
     by = lambda *o: relational.top_n(t("part"), ["p_brand"], 1 << 30, *o).select("p_partkey", "rank")
     return graphs.fuse_ranks([by(F.col("p_retailprice").desc(), F.col("p_partkey")), by(F.col("p_size"), F.col("p_partkey"))], "p_partkey", "rank")
+
+
+@query("b2_unique_urls", f"WITH k AS ({ORACLES['b1_capture_key']}) SELECT key, min(page_id) AS page_id, count(*) - 1 AS skipped_duplicate FROM k WHERE key <> '' GROUP BY key")
+def _(t):
+    return rollups.unique_urls(t("pages"), keys.capture_key(F.col("url")), "page_id")
+
+
+@query("e20_layout_shift", "SELECT user_id, round(coalesce(sum(value) FILTER (event_type <> 'click'), 0.0), 6) AS cumulative_layout_shift FROM events GROUP BY user_id")
+def _(t):
+    return rollups.layout_shift(t("events"), ["user_id"], F.col("value"), F.col("event_type") == "click")
+
+
+@query("f2_seed_edges", """WITH s AS (SELECT conv_id, role AS from_id, lead(role) OVER w AS to_id, row_number() OVER w - 1 AS step FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT *, 0.8::DOUBLE AS confidence FROM s WHERE to_id IS NOT NULL AND from_id <> to_id""")
+def _(t):
+    return flows.seed_edges(t("conversations"), "conv_id", "role", F.col("turn"))
+
+
+_GRAPH = f"{_EDGES}, g AS (SELECT * FROM e ORDER BY score DESC, from_id, to_id LIMIT 40000), n AS (SELECT from_id AS id, to_id AS neighbour FROM g UNION SELECT to_id, from_id FROM g)"
+
+
+@query("r3_neighbours", f"{_GRAPH} SELECT id, neighbour FROM n")
+def _(t):
+    return flows.neighbours(graphs.similarity_graph(t("embeddings"), "vec_id", "embedding", 8, 0.2))
+
+
+@query("s2_shared_neighbours", f"{_GRAPH} SELECT from_id, to_id, count(b.id) AS shared FROM g LEFT JOIN n a ON a.id = from_id LEFT JOIN n b ON b.id = to_id AND b.neighbour = a.neighbour GROUP BY ALL")
+def _(t):
+    edges = graphs.similarity_graph(t("embeddings"), "vec_id", "embedding", 8, 0.2)
+    return flows.shared_neighbours(edges, edges)
+
+
+@query("g3_aggregate_quality", """WITH m AS (SELECT l_orderkey, avg(least(1.0::DOUBLE, l_quantity / 47)) AS a, avg(least(1.0::DOUBLE, l_discount * 9.7::DOUBLE)) AS b, avg(least(1.0::DOUBLE, l_tax * 12.3::DOUBLE)) AS c FROM lineitem GROUP BY l_orderkey),
+q AS (SELECT l_orderkey, round((a * 2.0::DOUBLE + b * 1.0::DOUBLE + c * 1.1::DOUBLE) / 4.1::DOUBLE, 4) AS overall FROM m)
+SELECT l_orderkey, overall, CASE WHEN overall >= 0.95 THEN 'excellent' WHEN overall >= 0.8 THEN 'good' WHEN overall >= 0.5 THEN 'fair' ELSE 'poor' END AS rating FROM q""")
+def _(t):
+    return rollups.aggregate_quality(t("lineitem"), ["l_orderkey"], {"a": F.col("l_quantity") / 47, "b": F.col("l_discount") * 9.7, "c": F.col("l_tax") * 12.3}, {"a": 2.0, "b": 1.0, "c": 1.1})
+
+
+@query("g4_run_status", """WITH s AS (SELECT l_orderkey, CASE l_returnflag WHEN 'A' THEN 'complete' WHEN 'N' THEN 'partial' WHEN 'R' THEN 'blocked' END AS s FROM lineitem)
+SELECT l_orderkey, CASE WHEN count(*) FILTER (s = 'blocked') = count(*) THEN 'blocked' WHEN count(*) FILTER (s = 'complete') = count(*) THEN 'complete' WHEN count(*) FILTER (s IN ('complete', 'partial')) > 0 THEN 'partial' ELSE 'failed' END AS status FROM s GROUP BY l_orderkey""")
+def _(t):
+    flag = F.col("l_returnflag")
+    return rollups.run_status(t("lineitem"), ["l_orderkey"], F.when(flag == "A", "complete").when(flag == "N", "partial").when(flag == "R", "blocked"))
+
+
+@query("g7_name_frequency", "SELECT p_name, count(*) AS n, round(avg(p_retailprice), 4) AS avg_confidence FROM part WHERE p_name IS NOT NULL GROUP BY p_name ORDER BY n DESC, p_name LIMIT 100")
+def _(t):
+    return rollups.name_frequency(t("part"), "p_name", "p_retailprice", 100)
+
+
+@query("g8_component_counts", "SELECT p_type, count(*) AS n FROM part WHERE p_type IS NOT NULL GROUP BY p_type ORDER BY n DESC, p_type LIMIT 24")
+def _(t):
+    return rollups.name_frequency(t("part"), "p_type", None, 24)
+
+
+@query("j6_preferred_row", "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(o_orderstatus = 'F', false) DESC, o_orderkey) = 1")
+def _(t):
+    return rollups.preferred(t("orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], F.col("o_orderstatus") == "F", F.col("o_orderkey"))
+
+
+@query("j13_unmatched", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+def _(t):
+    matched = t("orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return t("customer").select("c_custkey", "c_name").join(matched, "c_custkey", "left_anti")
+
+
+@query("j22_coverage", """WITH s AS (SELECT l_suppkey, l_partkey, bool_or(l_returnflag = 'A') AS a, bool_or(l_returnflag = 'R') AS r FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL)
+SELECT l_suppkey, count(*) FILTER (a AND r) AS covered, count(*) AS total FROM s GROUP BY l_suppkey""")
+def _(t):
+    lines = t("lineitem")
+    return rollups.coverage(lines.filter("l_returnflag = 'A'"), lines.filter("l_returnflag = 'R'"), ["l_suppkey"], "l_partkey")
+
+
+@query("k3_score_order", """WITH b AS (SELECT o_custkey, max(o_totalprice) AS best FROM orders GROUP BY o_custkey)
+SELECT c_nationkey, c_custkey, best, row_number() OVER (PARTITION BY c_nationkey ORDER BY best DESC NULLS LAST, c_custkey) AS rank FROM customer LEFT JOIN b ON o_custkey = c_custkey""")
+def _(t):
+    ranked = rollups.by_best_score(t("customer").select("c_nationkey", "c_custkey"), t("orders"), ["c_nationkey"], "c_custkey", "o_custkey", "o_totalprice")
+    return ranked.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("r18_stale_subjects", "SELECT doc_id, sha256(text) AS digest FROM documents WHERE text IS NULL OR sha256(text) <> sha256(regexp_replace(text, '[0-9]', '0', 'g'))")
+def _(t):
+    docs = t("documents")
+    masked = docs.select("doc_id", F.sha2(F.regexp_replace("text", "[0-9]", "0"), 256).alias("digest"))
+    return rollups.stale_subjects(docs.select("doc_id", F.sha2("text", 256).alias("digest")), masked, "doc_id", "digest")
+
+
+@query("t4_retries", f"WITH {_JOBS}, a AS (SELECT job_id, count(*) FILTER (stage = 'failed') AS attempts FROM j GROUP BY job_id) SELECT *, CASE WHEN attempts = 0 THEN 'ok' WHEN attempts < 3 THEN 'queued' ELSE 'failed' END AS status FROM a")
+def _(t):
+    return jobs.retries(jobs.job_events(t("events")), 3)
+
+
+@query("t9_running_cost", "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS calls, round(sum(value), 4) AS usd FROM events GROUP BY ALL")
+def _(t):
+    return jobs.running_cost(t("events"), "ts", "event_type", "value")
+
+
+@query("v4_count_mismatch", "WITH d AS (SELECT conv_id, max(turn) AS declared, count(*) AS actual FROM conversations GROUP BY conv_id) SELECT * FROM d WHERE declared IS DISTINCT FROM actual")
+def _(t):
+    turns = t("conversations")
+    return rollups.count_mismatch(turns.groupBy("conv_id").agg(F.max("turn").alias("turns")), turns, "conv_id", "turns")

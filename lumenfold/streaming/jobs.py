@@ -39,3 +39,17 @@ def last_events(jobs: DataFrame, n: int) -> DataFrame:
 def replay(df: DataFrame, out: str, checkpoint: str) -> None:
     """Run a stream to the end of its input, in append mode, into Parquet files."""
     df.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def retries(jobs: DataFrame, most: int) -> DataFrame:
+    """T4: failed attempts of each job; below `most` it is queued again, then failed."""
+    attempts = F.count(F.when(F.col("stage") == "failed", 1))
+    status = F.when(F.col("attempts") == 0, "ok").when(F.col("attempts") < most, "queued").otherwise("failed")
+    return jobs.groupBy("job_id").agg(attempts.alias("attempts")).withColumn("status", status)
+
+
+def running_cost(usage: DataFrame, at: str, model: str, usd: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """Cost of each model in windows; on a stream, rows later than `late` are dropped."""
+    source = usage.withWatermark(at, late) if usage.isStreaming else usage
+    sums = source.groupBy(F.window(at, width), model).agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum(usd), 4).alias("usd"))
+    return sums.select(F.col("window.start").alias("window_start"), model, "calls", "usd")

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from lumenfold.functions import keys
-from lumenfold.operators import geometry, quality, relational
+from lumenfold.operators import flows, geometry, quality, relational, rollups
 from lumenfold.streaming import jobs
 
 
@@ -51,3 +51,27 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).filter("window_start < '2029-01-01'")
     want = jobs.stage_windows(jobs.job_events(events))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_run_status_and_nulls(spark):
+    rows = [("a", "blocked"), ("a", "blocked"), ("b", "complete"), ("c", "complete"), ("c", None), ("d", "blocked"), ("d", None)]
+    runs = spark.createDataFrame(rows, "run string, s string")
+    got = {r["run"]: r["status"] for r in rollups.run_status(runs, ["run"], F.col("s")).collect()}
+    assert got == {"a": "blocked", "b": "complete", "c": "partial", "d": "failed"}
+
+
+def test_layout_shift_ignores_recent_input(spark):
+    shifts = spark.createDataFrame([("v", 0.1, True), ("v", 0.2, False), ("v", None, False), ("v", 0.3, None)], "vp string, value double, recent boolean")
+    assert rollups.layout_shift(shifts, ["vp"], F.col("value"), F.col("recent")).first()["cumulative_layout_shift"] == 0.5
+
+
+def test_seed_edges_skip_same_capture(spark):
+    steps = spark.createDataFrame([("s", 1, "a"), ("s", 2, "a"), ("s", 3, "b"), ("s", 4, None)], "session string, at int, capture string")
+    got = flows.seed_edges(steps, "session", "capture", F.col("at")).collect()
+    assert [(r["from_id"], r["to_id"], r["step"]) for r in got] == [("a", "b", 1)]
+
+
+def test_shared_neighbours(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4)], "from_id int, to_id int")
+    got = {(r["from_id"], r["to_id"]): r["shared"] for r in flows.shared_neighbours(edges, edges).collect()}
+    assert got == {(1, 2): 1, (1, 3): 1, (2, 3): 1, (3, 4): 0}
