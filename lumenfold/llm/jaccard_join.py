@@ -19,12 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import cut_lineage
 from lumenfold.llm.components import components
-from lumenfold.llm.words import NULL_ID, WordHashes, id_key, join_side, shingle_set
+from lumenfold.llm.words import WordHashes, join_side, row_name, shingle_set
 
 #: Shingle length in words; threshold as a fraction; min-hashes, and how many of them a
 #: document shares with the hubs it is compared with first, and how many these
@@ -170,9 +170,11 @@ def _least_difference():
     return F.greatest(F.when(fits, differ).otherwise(F.lit(0)), F.abs(F.col("_n1") - F.col("_n2")))
 
 
-def _compare(rows: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+def _compare(rows: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, repeats: bool) -> DataFrame:
     """(a, b, linked, low, high) of the pairs (a, b); low and high bound the Jaccard distance.
 
+    `repeats` tells that a key may be in several of `rows`, all of one text; `reps` has a key once.
+
     Sizes and parity bitmaps show that most pairs differ in too many shingles. The rest, next to all of them links, are compared
     on their whole sets.
     """
@@ -185,7 +187,8 @@ def _compare(rows: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> Data
     near = cut_lineage(near.withColumn("_far", (OVER + UNDER) * F.col("_differ") > (UNDER - OVER) * F.col("_sum")))
     close = near.filter("NOT _far").select("a", "b")
     some = cut_lineage(close.select(F.explode(F.array("a", "b")).alias("_key")).distinct())
-    sets = join_side(rows, some, "_key", "left_semi", F.lit(16)).mapInPandas(_sets(k), "_key long, set array<long>").repartition("_key")
+    sets = join_side(rows, some, "_key", "left_semi", F.lit(16)).mapInPandas(_sets(k), "_key long, set array<long>")
+    sets = sets.dropDuplicates(["_key"]) if repeats else sets.repartition("_key")
     both = close.join(side(sets, "b", 2), "b").join(side(sets, "a", 1), "a")
     both = both.withColumn("_both", F.size(F.array_intersect("_set1", "_set2"))).withColumn("_all", F.size("_set1") + F.size("_set2") - F.col("_both"))
     apart = 1 - F.col("_both") / F.col("_all")
@@ -193,17 +196,47 @@ def _compare(rows: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> Data
     return told.union(near.filter("_far").select("a", "b", F.lit(False), 2 * F.col("_differ") / (F.col("_sum") + F.col("_differ")), F.lit(1.0)))
 
 
+def _nodes(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, DataFrame | None]:
+    """(key of a row, its names): the id itself and None, if every row has an id of its own.
+
+    Else the key is a hash of id and text, so that it is the same whenever the rows are read, and only rows that are equal
+    in both share it, as is verified; the names are (_key, _id, _rows).
+    """
+    ids = docs.select(F.col(id_col).cast("long").alias("_id"))
+    if ids.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 OR _id IS NULL").isEmpty():
+        return F.col(id_col).cast("long"), None
+    seed = 0
+    while True:
+        key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), row_name(id_col, text_col)), 1)
+        named = docs.select(F.col(id_col).cast("long").alias("_id"), key.alias("_key"), row_name(id_col, text_col).alias("_name"))
+        names = named.groupBy("_key").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_rows"), F.min("_name").alias("_low"), F.max("_name").alias("_high"))
+        names = cut_lineage(names)
+        if names.filter("_low <> _high").isEmpty():
+            return key, names.select("_key", "_id", "_rows")
+        seed += 1
+
+
 def near_groups(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, n_shingles, component_id (the least id that links reach, its own included).
 
-    A null or empty text has no shingle and no link. A null id comes after all others, so it is a component's id only
-    where no other is in it. Rows that repeat an id are one node: links of any of them count for it. An empty table
-    gives an empty result; further columns are left out.
+    A null or empty text has no shingle and no link. Every row is a node: rows without an id, or of the same id, are
+    joined by links of their texts only. A null id comes after all others, so it is a component's id only where no other
+    is in it. An empty table gives an empty result; further columns are left out.
     """
-    rows = docs.select(id_key(id_col).alias("_key"), F.col(text_col).alias("_text"))
+    key, names = _nodes(docs, id_col, text_col)
+    nodes = _linked(docs, k, text_col, key, names)
+    if names is not None:
+        nodes = docs.select(key.alias("_key")).join(nodes, "_key")
+    return nodes.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("_least").alias("component_id"))
+
+
+def _linked(docs: DataFrame, k: int, text_col: str, key: Column, names: DataFrame | None) -> DataFrame:
+    """(_key, _id, n, _least, _rep) of every node: the least id of its component, and the key of that node."""
+    rows = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
+    repeats = names is not None
     tokens, counts = frequent_shingles(rows, k)
     signed = rows.mapInPandas(_sign(k, tokens, counts), "_key long, n int, digest binary, mins array<long>, bits array<long>, fold array<long>, common long, shared int, prefix array<long>")
-    signed = cut_lineage(signed)
+    signed = cut_lineage(signed.dropDuplicates(["_key"]) if repeats else signed)
 
     classes = signed.filter("n > 0").groupBy("digest").agg(F.min("_key").alias("rep"))
     copies = cut_lineage(signed.select("_key", "digest").join(classes, "digest").filter("_key <> rep").distinct())
@@ -215,7 +248,7 @@ def near_groups(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_co
     met = keys.join(hubs, ["i", "h"]).filter("_key <> hub").groupBy("_key", "hub").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= MET)
     best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("_n", (-F.col("hub")).alias("h"))))), 1, HUBS)  # of MIN_HASHES at most
     near = met.groupBy(F.col("_key").alias("b")).agg(best.alias("_best")).select("b", F.explode("_best").alias("_e")).select((-F.col("_e.h")).alias("a"), "b")
-    compared = cut_lineage(_compare(rows, reps, near, k))
+    compared = cut_lineage(_compare(rows, reps, near, k, repeats))
     links = compared.filter("linked").select("a", "b")
     # the hub that a document was compared with, and bounds of their distance; a hub is its own
     hubbed = compared.select(F.col("b").alias("_key"), F.col("a").alias("hub"), "low", "high", F.lit(0).alias("_o")).union(compared.select("a", "a", F.lit(0.0), F.lit(0.0), F.lit(1)))
@@ -246,19 +279,34 @@ def near_groups(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_co
     asked = F.least("_la", "_lb")
     early = (F.col("_pa") <= F.col("_na") - overlap + asked - 1) & (F.col("_pb") <= F.col("_nb") - overlap + asked - 1)
     pairs = left.join(right, (left["token"] == right["token"]) & sized & early).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"), F.least(F.min("_la"), F.min("_lb")).alias("_l")).filter("_n >= _l").select("a", "b")
-    more = _compare(rows, reps, pairs, k).filter("linked").select("a", "b")
+    more = _compare(rows, reps, pairs, k, repeats).filter("linked").select("a", "b")
 
-    ends = components(links.union(more).union(copies.select(F.col("rep").alias("a"), F.col("_key").alias("b"))))
-    out = join_side(signed.select("_key", "n"), ends.withColumnRenamed("id", "_key"), "_key", "left", F.lit(24))
-    told = lambda c: F.when(c != NULL_ID, c)
-    return out.select(told(F.col("_key")).alias(id_col), F.col("n").cast("long").alias("n_shingles"), told(F.coalesce("component", "_key")).alias("component_id"))
+    ends = components(links.union(more).union(copies.select(F.col("rep").alias("a"), F.col("_key").alias("b")))).withColumnRenamed("id", "_key")
+    nodes = signed.select("_key", "n")
+    if names is None:
+        nodes = join_side(nodes, ends, "_key", "left", F.lit(24))
+        return nodes.select("_key", F.col("_key").alias("_id"), "n", F.coalesce("component", "_key").alias("_least"), F.coalesce("component", "_key").alias("_rep"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_key").alias("k"))).alias("_f")
+    firsts = ends.join(names, "_key").groupBy("component").agg(first)
+    ends = cut_lineage(ends.join(firsts, "component").select("_key", F.col("_f.i").alias("_first"), F.col("_f.k").alias("_rep")))
+    nodes = join_side(nodes.join(names, "_key"), ends, "_key", "left", F.lit(32))
+    least = F.when(F.col("_rep").isNull(), F.col("_id")).otherwise(F.col("_first"))
+    return nodes.select("_key", "_id", "n", least.alias("_least"), F.coalesce("_rep", "_key").alias("_rep"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS) -> DataFrame:
-    """The rows of `docs` whose id is the least of its group, with all their columns."""
-    gone = near_groups(docs, k, id_col, text_col).filter(F.col(id_col).isNull() & F.col("component_id").isNotNull() | (F.col(id_col) != F.col("component_id")))
-    gone = gone.select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """One row of `docs` for each group, that of the least id, with all its columns; rows without shingles all stay."""
+    key, names = _nodes(docs, id_col, text_col)
+    nodes = _linked(docs, k, text_col, key, names)
+    gone = cut_lineage(nodes.filter("_key <> _rep").select("_key"))
+    keyed = docs.withColumn("_key", key)
+    left = join_side(keyed, gone, "_key", "left_anti", F.lit(16))
+    if names is not None:
+        # rows equal in id and text share a key, and one of them stays
+        again = cut_lineage(nodes.filter("_key = _rep AND n > 0").join(names.filter("_rows > 1"), "_key", "left_semi").select("_key"))
+        one = join_side(keyed, again, "_key", "left_semi", F.lit(16)).dropDuplicates(["_key"])
+        left = join_side(left, again, "_key", "left_anti", F.lit(16)).unionByName(one)
+    return left.drop("_key")
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

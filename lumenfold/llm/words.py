@@ -41,6 +41,12 @@ def shingle_set(text: str | None, hashes: WordHashes, k: int = 5) -> np.ndarray:
     return np.unique(kgram_hashes(hashes.of(words), min(k, len(words)))) if words else np.empty(0, np.uint64)
 
 
+def row_name(id_col: str, text_col: str) -> Column:
+    """SHA-256 of a row's id and text: it tells apart rows that share an id, or have none; a null text counts as empty."""
+    key = F.col(id_col).cast("string")
+    return F.sha2(F.concat_ws("", F.length(key).cast("string"), F.lit(":"), key, F.col(text_col)), 256)
+
+
 def id_key(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
 

@@ -163,3 +163,28 @@ def test_pipeline(spark, tmp_path):
             assert docs.columns == columns
     texts = {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in before.collect()}
     assert all(texts[r["doc_id"]] == r["decoded_sha256"] for r in docs.collect())
+
+
+_A, _B, _C = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+
+
+@pytest.mark.parametrize(
+    ("data", "groups", "kept"),
+    [
+        # copies of 3 and 9 without an id don't join 3 and 9
+        ([(3, _A), (9, _B), (None, _A), (None, _B)], [(3, 3), (9, 9), (None, 3), (None, 9)], [(3, _A), (9, _B)]),
+        ([(3, _A), (None, _A), (None, _B)], [(3, 3), (None, 3), (None, None)], [(3, _A), (None, _B)]),
+        ([(None, _A), (None, _A + " z"), (None, _B)], [(None, None)] * 3, None),
+        ([(0, _B), (1, _A), (1, _B)], [(0, 0), (1, 0), (1, 1)], [(0, _B), (1, _A)]),
+        ([(1, _A), (1, _A), (2, _C)], [(1, 1), (1, 1), (2, 2)], [(1, _A), (2, _C)]),
+        ([(5, _A), (None, _A)], [(5, 5), (None, 5)], [(5, _A)]),
+        ([(1, ""), (1, ""), (None, None)], [(1, 1), (1, 1), (None, None)], [(1, ""), (1, ""), (None, None)]),
+    ],
+)
+def test_near_groups_of_shared_and_null_ids(spark, data, groups, kept):
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    order = lambda rows: sorted(rows, key=str)
+    got = jaccard_join.near_groups(docs).select("doc_id", "component_id").collect()
+    assert order(map(tuple, got)) == order(groups)
+    left = order(map(tuple, jaccard_join.one_of_each(docs).collect()))
+    assert left == order(kept) if kept is not None else len(left) == 2
