@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import SPACE_CLASS, cut_lineage, whole_text
+from lumenfold.llm.words import join_side, row_name
 
 #: A chunk has MIN_CHARS characters, then goes on to the next mark, or for MAX_MORE characters where none comes.
 MIN_CHARS, MAX_MORE, MARKS = 256, 1792, ".!?;:|…。！？।"
@@ -36,25 +37,31 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     decision. Any further columns of `docs` are left out; an empty table gives an empty result. `name_of` names a
     chunk; names need not be unique, as they are verified.
     """
-    base = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"), normalised(text_col).alias("_norm"))
-    cut = base.select("_id", F.length("_text").alias("_chars"), "_norm", chunks_of(F.col("_norm")).alias("_chunks"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.lit(None).cast("string").alias("_row_name"), F.col(text_col).alias("_doc"))
+    return _decided(rows, name_of).select(
+        F.col("_id").alias(id_col),
+        F.col("_stay.i").alias("keep_id"),
+        "group_size",
+        F.col("_id").eqNullSafe(F.col("_stay.i")).alias("kept"),
+        F.col("_sha").alias("text_sha256"),
+    )
+
+
+def _decided(rows: DataFrame, name_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """Each of `rows` (_id, _row_name, _doc) with _sha, its group_size and the row that stays of its group, as _stay (c, z, i, r)."""
+    base = rows.select("_id", "_row_name", whole_text("_doc").alias("_text"), normalised("_doc").alias("_norm"))
+    cut = base.select("_id", "_row_name", F.length("_text").alias("_chars"), "_norm", chunks_of(F.col("_norm")).alias("_chunks"))
     distinct = cut.select(F.explode("_chunks").alias("_chunk")).select(name_of(F.col("_chunk")).alias("_name"), "_chunk").distinct()
     shared = distinct.groupBy("_name").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_name")
     shared = cut_lineage(shared)
-    recipes = cut.select("_id", "_chars", F.transform("_chunks", lambda c: F.struct(name_of(c).alias("name"), F.lit(0).alias("turn"))).alias("_recipe"), F.sha2("_norm", 256).alias("_sha"))
+    recipes = cut.select("_id", "_row_name", "_chars", F.transform("_chunks", lambda c: F.struct(name_of(c).alias("name"), F.lit(0).alias("turn"))).alias("_recipe"), F.sha2("_norm", 256).alias("_sha"))
     if not shared.isEmpty():
         recipes = _told_apart(cut, distinct, shared, name_of)
     else:
         recipes = recipes.withColumn("_recipe", F.transform("_recipe", lambda r: r["name"]))
-    stay = F.min(F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("z"), F.col("_id").alias("i")))
+    stay = F.min(F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_row_name").alias("r")))
     groups = recipes.groupBy(F.col("_recipe").alias("_key")).agg(stay.alias("_stay"), F.count(F.lit(1)).alias("group_size"))
-    return recipes.join(groups, F.col("_recipe") == F.col("_key")).select(
-        F.col("_id").alias(id_col),
-        F.col("_stay.i").alias("keep_id"),
-        "group_size",
-        F.col("_id").eqNullSafe(F.col("_stay.i")).alias("kept"),
-        F.col("_sha").alias("text_sha256"),
-    )
+    return recipes.join(groups, F.col("_recipe") == F.col("_key"))
 
 
 def _told_apart(cut: DataFrame, distinct: DataFrame, shared: DataFrame, name_of: Callable[[Column], Column]) -> DataFrame:
@@ -64,13 +71,21 @@ def _told_apart(cut: DataFrame, distinct: DataFrame, shared: DataFrame, name_of:
     flat = rows.select("_row", F.posexplode("_chunks").alias("_pos", "_chunk")).withColumn("_name", name_of(F.col("_chunk")))
     found = flat.join(turns, ["_name", "_chunk"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_turn"))).alias("_turns"))
     named = F.transform("_chunks", lambda c, i: F.struct(name_of(c).alias("name"), F.coalesce(F.col("_turns")[i], F.lit(0)).alias("turn")))
-    return rows.join(found, "_row", "left").select("_id", "_chars", named.alias("_recipe"), F.sha2("_norm", 256).alias("_sha"))
+    return rows.join(found, "_row", "left").select("_id", "_row_name", "_chars", named.alias("_recipe"), F.sha2("_norm", 256).alias("_sha"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that exact_groups keeps, with all their columns."""
-    gone = exact_groups(docs, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """One row of `docs` for each group of equal texts, with all its columns: of the most code points, then the least id."""
+    named = docs.withColumn("_row_name", row_name(id_col, text_col))
+    rows = _decided(named.select(F.col(id_col).alias("_id"), "_row_name", F.col(text_col).alias("_doc")))
+    told = rows.groupBy("_row_name", (F.col("_row_name") == F.col("_stay.r")).alias("_stays")).agg(F.count(F.lit(1)).alias("_n"))
+    told = cut_lineage(told.filter("NOT _stays OR _n > 1"))
+    left = join_side(named, told.select("_row_name"), "_row_name", "left_anti", F.lit(96))
+    again = told.filter("_stays").select("_row_name")
+    if not again.isEmpty():
+        # rows equal in id and text share a name, and one of them stays
+        left = left.unionByName(join_side(named, again, "_row_name", "left_semi", F.lit(96)).dropDuplicates(["_row_name"]))
+    return left.drop("_row_name")
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

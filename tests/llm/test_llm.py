@@ -188,3 +188,19 @@ def test_near_groups_of_shared_and_null_ids(spark, data, groups, kept):
     assert order(map(tuple, got)) == order(groups)
     left = order(map(tuple, jaccard_join.one_of_each(docs).collect()))
     assert left == order(kept) if kept is not None else len(left) == 2
+
+
+@pytest.mark.parametrize(
+    ("data", "kept"),
+    [
+        ([(0, _B), (1, _A), (1, _B)], [(0, _B), (1, _A)]),
+        ([(1, _A), (1, _A)], [(1, _A)]),
+        ([(5, _A), (None, _A), (None, _B)], [(5, _A), (None, _B)]),
+        ([(None, _A), (None, _A), (1, "x y"), (1, "xy")], [(None, _A), (1, "x y")]),
+        ([(1, None), (1, ""), (2, None)], None),
+    ],
+)
+def test_drop_copies_of_shared_and_null_ids(spark, data, kept):
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    left = sorted(map(tuple, exact_dedup.drop_copies(docs).collect()), key=str)
+    assert left == sorted(kept, key=str) if kept is not None else [r[0] for r in left] == [1]
