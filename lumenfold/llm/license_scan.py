@@ -68,14 +68,23 @@ SPELLINGS = (
 )
 
 
-def _steps() -> list[tuple[str, str]]:
+#: A line of a copyright notice, with a mark, a year or a place for it. The SQL still has any line that starts with the word.
+COPYRIGHT_LINE = r"(?m)^[ \t#*/;>-]*(copyright[ \t:,]*(\(c\)|©|[\[<{]|(19|20)[0-9][0-9])|\(c\)[^\n]*\b(19|20)[0-9][0-9]|©)[^\n]*$"
+SQL_COPYRIGHT_LINE = r"(?m)^[ \t#*/;>-]*(copyright|\(c\)|©)[^\n]*$"
+
+
+#: What parts the two words of a spelling: a line may end there. The SQL has a space only.
+GAP, SQL_GAP = r"(?: +| *\n *)", " "
+
+
+def _steps(copyright_line: str = COPYRIGHT_LINE, gap: str = GAP) -> list[tuple[str, str]]:
     """(pattern, replacement) pairs, in order, that both Java's and RE2's regular expressions read alike."""
     return [
         (r"\r\n?", "\n"),
-        (r"(?m)^[ \t#*/;>-]*(copyright|\(c\)|©)[^\n]*$", ""),
+        (copyright_line, ""),
         (r"(?m)^[ \t#*/;>-]*all rights reserved[^\n]*$", ""),
         (r"[^\p{L}\p{N}\n]+", " "),
-        *[(rf"\b{a}\b", b) for a, b in SPELLINGS],
+        *[(r"\b" + a.replace(" ", gap) + r"\b", b) for a, b in SPELLINGS],
         (r" *\n *", "\n"),
         (r"^[ \n]+", ""),
         (r"[ \n]+$", ""),
@@ -136,7 +145,7 @@ def op8_license_scan(spark, sf_dir: str) -> DataFrame:
 
 def _sql_canonical(text: str) -> str:
     out = f"lower(coalesce({text}, ''))"
-    for pattern, by in _steps():
+    for pattern, by in _steps(SQL_COPYRIGHT_LINE, SQL_GAP):
         by = by.replace("\n", "\\n")
         out = f"regexp_replace({out}, '{pattern}', {chr(39) + by + chr(39) if chr(92) not in by else 'chr(10)'}, 'g')"
     return out

@@ -204,3 +204,17 @@ def test_drop_copies_of_shared_and_null_ids(spark, data, kept):
     docs = spark.createDataFrame(data, "doc_id long, text string")
     left = sorted(map(tuple, exact_dedup.drop_copies(docs).collect()), key=str)
     assert left == sorted(kept, key=str) if kept is not None else [r[0] for r in left] == [1]
+
+
+def _licences(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = license_scan.scan_licenses(docs, license_scan.known_digests(spark)).select("doc_id", "license_id").distinct().collect()
+    return [sorted(r["license_id"] for r in found if r["doc_id"] == i) for i in range(len(texts))]
+
+
+def test_licences_under_any_wrap(spark):
+    import textwrap
+
+    wrap = lambda text, width: "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+    cases = [(i, "Copyright (c) 2020 A B\n\n" + wrap(t, w)) for i, t in (("MIT", license_scan._MIT), ("ISC", license_scan._ISC)) for w in range(40, 81, 2)]
+    assert _licences(spark, [t for _, t in cases]) == [[i] for i, _ in cases]
