@@ -2,7 +2,8 @@
 
 A text is made canonical (case, punctuation, copyright lines, equivalent spellings), hashed, and its digest joined to
 the digests of known licence texts. The texts looked up are the whole document and, so that a licence pasted into a
-longer document is found as well, each of its paragraphs and lines, always entire.
+longer document is found as well, each of its paragraphs and lines, and the runs of as many paragraphs as a known text
+has, always entire.
 """
 
 from __future__ import annotations
@@ -51,6 +52,22 @@ KNOWN = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+#: Full texts that the SQL doesn't hold.
+FULL = (
+    ("BSD-3-Clause", _BSD),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD),
+)
+
 #: Fixed values: (spelling, the one it equals), whole words, applied in this order.
 SPELLINGS = (
     ("licence", "license"),
@@ -99,33 +116,55 @@ def canonical(text: Column) -> Column:
     return out
 
 
-def _units(canon: str) -> Column:
-    """array<struct<scope, unit>>: the whole text, its paragraphs and its lines, without empty ones."""
+def _paragraphs(canon: Column) -> Column:
+    return F.transform(F.split(canon, r"\n\n+"), lambda p: F.translate(p, "\n", " "))
+
+
+def _units(canon: str, parts: str, firsts: dict[int, list[int]]) -> Column:
+    """array<struct<scope, unit>>: the whole text, its paragraphs, runs of them and its lines, without empty ones.
+
+    `firsts` has the hashes of the first paragraphs of the known texts by their number of paragraphs; no other runs are formed.
+    """
     one = lambda s, flat: F.struct(F.lit(s).alias("scope"), flat.alias("unit"))
-    flat = lambda c: F.translate(c, "\n", " ")
     squeeze = lambda c: F.regexp_replace(c, r"\n+", " ")
+    none = F.array().cast("array<struct<scope:string,unit:string>>")
     whole = F.array(one("text", squeeze(F.col(canon))))
-    paragraphs = F.when(F.col(canon).contains("\n\n"), F.transform(F.split(canon, r"\n\n+"), lambda p: one("paragraph", flat(p))))
+    paragraphs = F.when(F.size(parts) > 1, F.transform(parts, lambda p: one("paragraph", p)))
     lines = F.when(F.col(canon).contains("\n"), F.transform(F.split(canon, r"\n+"), lambda x: one("line", x)))
-    none = F.array().cast("array<struct<scope:string,unit:string>>")
-    return F.filter(F.concat(whole, F.coalesce(paragraphs, none), F.coalesce(lines, none)), lambda u: u["unit"] != "")
 
+    def runs(n: int) -> Column:  # shorter than the text, which is a unit itself
+        starts = F.filter(F.sequence(F.lit(1), F.size(parts) - n + 1), lambda i: F.xxhash64(F.element_at(parts, i)).isin(firsts[n]))
+        return F.coalesce(F.when(F.size(parts) > n, F.transform(starts, lambda i: one("run", F.array_join(F.slice(parts, i, F.lit(n)), " ")))), none)
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(license_id, digest) of the known texts, distinct; a digest that two licences claim is given to both."""
-    table = spark.createDataFrame(list(known), "license_id string, license_text string")
-    return table.select("license_id", F.sha2(F.regexp_replace(canonical(F.col("license_text")), r"\n+", " "), 256).alias("digest")).distinct()
+    return F.filter(F.concat(whole, F.coalesce(paragraphs, none), F.coalesce(lines, none), *[runs(n) for n in sorted(firsts)]), lambda u: u["unit"] != "")
+
+
+def known_digests(spark: SparkSession, known=KNOWN + FULL) -> DataFrame:
+    """(license_id, digest, n_paragraphs, first) of the known texts, distinct; a digest that two licences claim is given to both.
+
+    `known` has (license_id, license_text), as pairs or as a DataFrame.
+    """
+    table = known if isinstance(known, DataFrame) else spark.createDataFrame(list(known), "license_id string, license_text string")
+    canon = table.select("license_id", canonical(F.col("license_text")).alias("_canon"))
+    parts = _paragraphs(F.col("_canon"))
+    return canon.select("license_id", F.sha2(F.regexp_replace("_canon", r"\n+", " "), 256).alias("digest"), F.size(parts).alias("n_paragraphs"), F.xxhash64(parts[0]).alias("first")).distinct()
 
 
 def scan_licenses(docs: DataFrame, digests: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document, licence and scope found: id, license_id, scope (text, paragraph or line), n.
+    """A row per document, licence and scope found: id, license_id, scope (text, paragraph, run or line), n.
 
-    The digests are joined as the planner sees fit: broadcast while their known size is small, else shuffled. A null
-    or empty text has no unit and no row; repeated rows of an id add up; a null id is a group of its own; further
+    The digests are joined as the planner sees fit: broadcast while their known size is small, else shuffled; what starts
+    the known texts of several paragraphs comes to the driver. A run within a longer one that is known too counts as well.
+    A null or empty text has no unit and no row; repeated rows of an id add up; a null id is a group of its own; further
     columns of `docs` are left out, an empty table gives an empty result.
     """
-    units = docs.select(F.col(id_col), canonical(F.col(text_col)).alias("_canon")).select(id_col, F.explode(_units("_canon")).alias("_u"))
-    found = units.select(id_col, "_u.scope", F.sha2("_u.unit", 256).alias("_digest")).join(digests, F.col("_digest") == F.col("digest"))
+    firsts: dict[int, list[int]] = {}
+    for r in digests.filter("n_paragraphs > 1").select("n_paragraphs", "first").distinct().collect():
+        firsts.setdefault(r["n_paragraphs"], []).append(r["first"])
+    canon = docs.select(F.col(id_col), canonical(F.col(text_col)).alias("_canon")).select(id_col, "_canon", _paragraphs(F.col("_canon")).alias("_parts"))
+    units = canon.select(id_col, F.explode(_units("_canon", "_parts", firsts)).alias("_u"))
+    names = digests.select("license_id", "digest").distinct()
+    found = units.select(id_col, "_u.scope", F.sha2("_u.unit", 256).alias("_digest")).join(names, F.col("_digest") == F.col("digest"))
     return found.groupBy(id_col, "license_id", "scope").agg(F.count(F.lit(1)).alias("n"))
 
 

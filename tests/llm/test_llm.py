@@ -216,5 +216,10 @@ def test_licences_under_any_wrap(spark):
     import textwrap
 
     wrap = lambda text, width: "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
-    cases = [(i, "Copyright (c) 2020 A B\n\n" + wrap(t, w)) for i, t in (("MIT", license_scan._MIT), ("ISC", license_scan._ISC)) for w in range(40, 81, 2)]
+    cases = [(i, "Copyright (c) 2020 A B\n\n" + wrap(t, w)) for i, t in (("MIT", license_scan._MIT), ("ISC", license_scan._ISC), ("BSD-3-Clause", license_scan._BSD)) for w in range(40, 81, 2)]
     assert _licences(spark, [t for _, t in cases]) == [[i] for i, _ in cases]
+
+
+def test_licences_in_longer_texts(spark):
+    head, tail = "A readme of a tool.\n\nThe MIT License (MIT)\n\nCopyright 2020 A B\n\n", "\n\nAnd more.\n\nSo much."
+    assert _licences(spark, [head + license_scan._MIT + tail, head + license_scan._ISC, license_scan._APACHE + tail, head + tail]) == [["MIT"], ["ISC"], ["Apache-2.0"], []]
