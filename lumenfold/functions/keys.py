@@ -40,9 +40,13 @@ def redact_url(url: Column) -> Column:
 
 
 def redact_diagnostic(text: Column) -> Column:
-    """Bearer tokens and key=value secrets of a diagnostic text."""
-    out = F.regexp_replace(text, r"[Bb]earer +[A-Za-z0-9._~+/=-]+", "Bearer " + REDACTED)
-    return F.regexp_replace(out, r"(token|secret|password|api_key)( *[=:] *)[^ ,;&]+", "$1$2" + REDACTED)
+    """Bearer tokens, key=value secrets and urls (query values, hash) of a diagnostic text, in any case."""
+    out = F.regexp_replace(text, r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer " + REDACTED)
+    out = F.regexp_replace(out, r"(?i)(token|secret|password|api[_-]?key)( *[=:] *)[^\s,;&]+", "$1$2" + REDACTED)
+    out = F.regexp_replace(out, r"(?i)(https?://[^\s\"'<>#]*)#[^\s\"'<>]*", "$1")
+    # each match goes on where the one before ended
+    value = r"(?i)((?:https?://[^\s\"'<>?]*\?|(?<!\A)\G&)(?:[^\s\"'<>&=]*&)*[^\s\"'<>&=]*)=[^\s\"'<>&]*"
+    return F.regexp_replace(out, value, "$1=" + REDACTED)
 
 
 def host_of(url: Column) -> Column:

@@ -47,9 +47,17 @@ def interleave(rows: DataFrame, group: str, *order: Column) -> DataFrame:
 
 
 def numbered_ids(rows: DataFrame, base: str, *order: Column) -> DataFrame:
-    """K7: collision-free ids: the second holder of a name gets -2, and so on."""
-    rn = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    return rows.withColumn("unique_id", F.when(rn == 1, F.col(base)).otherwise(F.concat_ws("-", F.col(base), rn)))
+    """K7: collision-free ids: the second holder of a name gets -2, and so on, without numbers that make a given name.
+
+    The first holder of a name keeps it. Ids of two names never clash with each other, as the last number is the own one.
+    """
+    given = r"(?s)^(.*)-([2-9]|[1-9][0-9]{1,16})$"
+    taken = rows.select(F.col(base).alias("_name")).distinct().filter(F.col("_name").rlike(given))
+    taken = taken.groupBy(F.regexp_extract("_name", given, 1).alias("_base")).agg(F.sort_array(F.collect_list(F.regexp_extract("_name", given, 2).cast("long"))).alias("_taken"))
+    rn = F.row_number().over(Window.partitionBy(base).orderBy(*order)).cast("long")
+    numbered = rows.withColumn("_rn", rn).join(taken, F.col(base) == F.col("_base"), "left")
+    number = F.aggregate(F.coalesce("_taken", F.array().cast("array<long>")), F.col("_rn"), lambda n, t: F.when(t <= n, n + 1).otherwise(n))
+    return numbered.withColumn("unique_id", F.when(F.col("_rn") == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), number.cast("string")))).drop("_rn", "_base", "_taken")
 
 
 def runs(rows: DataFrame, group: str, value: str, *order: Column) -> DataFrame:

@@ -75,3 +75,16 @@ def test_shared_neighbours(spark):
     edges = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4)], "from_id int, to_id int")
     got = {(r["from_id"], r["to_id"]): r["shared"] for r in flows.shared_neighbours(edges, edges).collect()}
     assert got == {(1, 2): 1, (1, 3): 1, (2, 3): 1, (3, 4): 0}
+
+
+def test_numbered_ids_skip_given_names(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a-2"), (4, "a-2"), (5, "a"), (6, "a-4"), (7, None), (8, None)], "i int, name string")
+    got = {r["i"]: r["unique_id"] for r in relational.numbered_ids(rows, "name", F.col("i")).collect()}
+    assert got == {1: "a", 2: "a-3", 3: "a-2", 4: "a-2-2", 5: "a-5", 6: "a-4", 7: None, 8: None}
+
+
+def test_diagnostics_in_any_case(spark):
+    clean = lambda t: one(spark, keys.redact_diagnostic, t)
+    assert clean("TOKEN=ab API_KEY=cd api-key=ef apikey=gh") == "TOKEN=[redacted] API_KEY=[redacted] api-key=[redacted] apikey=[redacted]"
+    assert clean("BEARER abc.def") == "Bearer [redacted]"
+    assert clean("at HTTPS://a.example/p?x=1&y&z=2#h, k=1") == "at HTTPS://a.example/p?x=[redacted]&y&z=[redacted] k=1"
