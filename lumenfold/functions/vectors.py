@@ -12,22 +12,47 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Of the common length; 0 where one of the two has no length."""
+    n = F.least(F.size(a), F.size(b))
+    one, two = F.slice(a, 1, n), F.slice(b, 1, n)
+    size = F.sqrt(dot(one, one)) * F.sqrt(dot(two, two))
+    return F.when(size > 0, dot(one, two) / size).otherwise(0.0)
+
+
+def literal(a: Column) -> Column:
+    """A vector as text, eight decimals."""
+    return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: F.round(x.cast("double"), 8).cast("string")), ","), F.lit("]"))
+
+
+def parse_literal(text: Column) -> Column:
+    """Null where the text isn't a list of numbers."""
+    return F.from_json(text, "array<double>")
+
+
 def unit(a: Column) -> Column:
     norm = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.when(norm > 0, F.transform(a, lambda x: x.cast("double") / norm)).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
+def embedding_words(text: Column) -> Column:
+    """Tokens of two characters or more."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9:#.>_-]+"), lambda t: F.length(t) > 1)
+
+
 def hashing_embedding(rows: DataFrame, id_col: str, text_col: str, dims: int = 384) -> DataFrame:
-    """(id, cell, value) of the signed, weighted hashing embedding, L2 normalised, sparse; empty text gives cell 0.
+    """(id, cell, value) of the signed, weighted hashing embedding, L2 normalised, sparse; a text without tokens is cell 0.
 
-    Cell: first four bytes of a token's SHA-256 modulo `dims`; the parity of byte 4 gives the sign, byte 5 modulo 5 the weight.
+    Cell: first four bytes of a token's SHA-256 modulo `dims`; byte 4 gives the sign (odd is positive), byte 5 the weight.
+    Cells that cancel out to 0 stay. One shuffle, by document: the norm is a window over the sums of the same partition.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z0-9:#.>_-]+"), lambda t: t != "")
+    words = embedding_words(F.col(text_col))
     words = F.when(F.size(words) > 0, words).otherwise(F.array(F.lit(None).cast("string")))
     flat = rows.select(F.col(id_col), F.explode(words).alias("_t")).withColumn("_h", F.sha2("_t", 256))
     byte = lambda at, n: F.conv(F.substring("_h", at, n), 16, 10).cast("long")
-    value = F.when(byte(9, 2) % 2 == 0, 1.0).otherwise(-1.0) * (1 + (byte(11, 2) % 5) / 10.0)
+    value = F.when(byte(9, 2) % 2 == 1, 1.0).otherwise(-1.0) * (1 + (byte(11, 2) % 5) / 5.0)
     cells = flat.select(id_col, F.coalesce(byte(1, 8) % dims, F.lit(0)).alias("cell"), F.when(F.col("_t").isNull(), 1.0).otherwise(value).alias("_v"))
     sums = cells.groupBy(id_col, "cell").agg(F.sum("_v").alias("_v"))
-    norms = sums.groupBy(F.col(id_col).alias("_id")).agg(F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_n"))
-    return sums.join(norms, F.col(id_col).eqNullSafe(F.col("_id"))).select(id_col, "cell", F.when(F.col("_n") > 0, F.col("_v") / F.col("_n")).otherwise(0.0).alias("value"))
+    # a document's cells, `dims` at most
+    lists = sums.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_n"), F.collect_list(F.struct("cell", "_v")).alias("_c"))
+    return lists.select(id_col, "_n", F.explode("_c").alias("_e")).select(id_col, "_e.cell", F.when(F.col("_n") > 0, F.col("_e._v") / F.col("_n")).otherwise(0.0).alias("value"))

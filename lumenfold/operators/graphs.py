@@ -1,38 +1,74 @@
-"""Similarity graph, neighbours, degrees and retrieval."""
+"""Similarity graph, neighbours, paths and retrieval over nodes (node_id, type, label, properties) and edges (from_id, to_id)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.functions.vectors import dot, unit
+#: Queries of a block: its vectors go along with every task, so their size has a bound.
+BLOCK = 4096
+
+
+def _units(rows: list, dims: int) -> np.ndarray:
+    out = np.zeros((len(rows), dims))
+    for i, v in enumerate(rows):
+        if v is not None:
+            out[i, : min(dims, len(v))] = np.nan_to_num(np.asarray(v[:dims], dtype=float))
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm > 0, norm, 1.0)
+
 
+def _best_of_block(ids: list, block: np.ndarray, k: int, least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = np.array(ids)
+        for pdf in batches:
+            for at in range(0, len(pdf), 2048):
+                part = pdf.iloc[at : at + 2048]
+                others = part["_id"].to_numpy()
+                scores = np.round(block @ _units(list(part["_v"]), block.shape[1]).T, 6)
+                scores[names[:, None] == others[None, :]] = -2.0
+                floor = np.maximum(np.partition(scores, -k, axis=1)[:, -k], least) if len(others) >= k else np.full(len(names), least)
+                a, b = np.nonzero(scores >= floor[:, None])  # more than k where some tie
+                yield pd.DataFrame({"a": names[a], "b": others[b], "score": scores[a, b]})
 
-def nearest(vectors: DataFrame, id_col: str, vector_col: str, k: int, least: float, nodes: int = 5000, planes: list[list[float]] | None = None) -> DataFrame:
-    """(a, b, score) of each vector's k nearest by cosine, at `least` or more.
+    return run
 
-    A graph shows its newest nodes, those of the `nodes` largest ids, so the exact form compares a bounded number of
-    vectors. With `planes`, all vectors take part, and those on the same sides of all planes meet.
+
+def nearest(vectors: DataFrame, id_col: str, vector_col: str, k: int, least: float, queries: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b, score, rank): the k nearest of `vectors` to each of `queries` (all, if none are given) by cosine, at `least` or more.
+
+    Exact. The queries go in blocks of `block` at most through all vectors, and every batch keeps its k best for each
+    of them, so what is shuffled grows with the batches, not with the pairs. A vector isn't its own neighbour; ties go by
+    id. Work is queries times vectors: state a set of queries where the table is large.
     """
-    if not planes:
-        vectors = vectors.orderBy(F.col(id_col).desc()).limit(nodes)
-    units = vectors.select(F.col(id_col).alias("_id"), unit(F.col(vector_col)).alias("_v"))
-    if planes:
-        side = F.concat(*[F.when(dot(F.col("_v"), F.array(*[F.lit(float(x)) for x in p])) >= 0, "1").otherwise("0") for p in planes])
-        units = units.withColumn("_block", side)
-        a, b = units.toDF("a", "_va", "_block"), units.toDF("b", "_vb", "_block")
-        pairs = a.join(b, "_block").filter("a <> b")
-    else:
-        a, b = units.toDF("a", "_va"), units.toDF("b", "_vb")
-        pairs = a.join(b, F.col("a") != F.col("b"))
-    scored = pairs.select("a", "b", F.round(dot(F.col("_va"), F.col("_vb")), 6).alias("score")).filter(F.col("score") >= least)
+    rows = vectors.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v"))
+    asked = rows if queries is None else queries.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v"))
+    kind = vectors.schema[id_col].dataType.simpleString()
+    total = asked.count()
+    blocks = max(1, -(-total * 5 // (block * 4)))  # by hash, so a block is fuller than others
+    out = None
+    for i in range(blocks):
+        some = asked.filter(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == i).toPandas()
+        if not len(some) and out is not None:
+            continue
+        dims = max((len(v) for v in some["_v"] if v is not None), default=1)
+        best = rows.mapInPandas(_best_of_block(some["_id"].tolist(), _units(list(some["_v"]), dims), k, least), f"a {kind}, b {kind}, score double")
+        out = best if out is None else out.unionByName(best)
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("score").desc(), "b"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def similarity_graph(vectors: DataFrame, id_col: str, vector_col: str, k: int = 8, least: float = 0.72, cap: int = 40000) -> DataFrame:
-    """Undirected edges (from_id, to_id, score), the larger score of the two directions, the best `cap` of them."""
-    edges = nearest(vectors, id_col, vector_col, k, least).select(F.least("a", "b").alias("from_id"), F.greatest("a", "b").alias("to_id"), "score")
+def similarity_graph(vectors: DataFrame, id_col: str, vector_col: str, k: int = 8, least: float = 0.72, nodes: int = 5000, cap: int = 40000) -> DataFrame:
+    """Undirected edges (from_id, to_id, score), the larger score of the two directions, the best `cap` of them.
+
+    A graph shows its newest nodes, those of the `nodes` largest ids.
+    """
+    newest = vectors.orderBy(F.col(id_col).desc()).limit(nodes)
+    edges = nearest(newest, id_col, vector_col, k, least).select(F.least("a", "b").alias("from_id"), F.greatest("a", "b").alias("to_id"), "score")
     return edges.groupBy("from_id", "to_id").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "from_id", "to_id").limit(cap)
 
 
@@ -41,6 +77,101 @@ def degrees(edges: DataFrame, a: str = "from_id", b: str = "to_id") -> DataFrame
     return edges.select(F.explode(F.array(a, b)).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def ranked_neighbours(edges: DataFrame, n: int = 5) -> DataFrame:
+    """The n best neighbours of every node by score, ties by id."""
+    both = edges.select(F.explode(F.array(F.struct(F.col("from_id").alias("id"), F.col("to_id").alias("neighbour"), "score"), F.struct(F.col("to_id").alias("id"), F.col("from_id").alias("neighbour"), "score"))).alias("e")).select("e.*")
+    w = Window.partitionBy("id").orderBy(F.col("score").desc(), "neighbour")
+    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
+def search_nodes(nodes: DataFrame, text: str, limit: int = 20, type_: str | None = None) -> DataFrame:
+    """Nodes whose id, type, label or properties hold the text in any case; the type is filtered before the limit. No text finds nothing."""
+    needle = text.strip().lower()
+    hay = F.lower(F.concat_ws(" ", F.col("node_id").cast("string"), "type", "label", F.to_json("properties")))
+    found = nodes.filter(F.lit(bool(needle)) & hay.contains(needle))
+    return (found.filter(F.col("type") == type_) if type_ else found).orderBy("node_id").limit(max(0, limit))
+
+
+def incident(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """R2: (node_id, edge columns) of the edges at each of `ids` (one column); a loop once."""
+    asked = ids.toDF("node_id").distinct()
+    out = edges.join(asked, F.col("from_id") == F.col("node_id"))
+    return out.unionByName(edges.filter("from_id <> to_id").join(asked, F.col("to_id") == F.col("node_id")))
+
+
+def recommend(nodes: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
+    """(seed_id, node_id, rank): other nodes of the seed's taxonomy, of its type where it has none, by id."""
+    key = F.coalesce(F.concat(F.lit("x:"), F.col("taxonomy_id")), F.lit(None))
+    first = Window.partitionBy("_key").orderBy("node_id")
+    by_term = nodes.filter("taxonomy_id IS NOT NULL").select("node_id", key.alias("_key"))
+    by_type = nodes.select("node_id", F.concat(F.lit("t:"), F.col("type")).alias("_key"))
+    # the first limit + 1 of each key are enough, as only the seed itself is left out
+    listed = by_term.unionByName(by_type).withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= limit + 1)
+    asked = seeds.select(F.col("node_id").alias("seed_id"), F.coalesce(key, F.concat(F.lit("t:"), F.col("type"))).alias("_key"))
+    found = asked.join(listed, "_key").filter("node_id <> seed_id")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("seed_id").orderBy("node_id"))).filter(F.col("rank") <= limit).select("seed_id", "node_id", "rank")
+
+
+def induced(nodes: DataFrame, edges: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes whose id or label hold the text, and edges with both ends among them."""
+    kept = nodes.filter(F.lower(F.concat_ws(" ", F.col("node_id").cast("string"), "label")).contains(text.strip().lower()))
+    ids = kept.select(F.col("node_id").alias("_id"))
+    return kept, edges.join(ids, F.col("from_id") == F.col("_id"), "left_semi").join(ids, F.col("to_id") == F.col("_id"), "left_semi")
+
+
+def distances(edges: DataFrame, sources: DataFrame, most: int = 12) -> DataFrame:
+    """(source, node, hops, before): fewest undirected hops from each source, and the least node before on such a path.
+
+    One join with the edges a hop, from the frontier only, against what was reached before; at most `most` hops.
+    """
+    both = edges.select(F.col("from_id").alias("_u"), F.col("to_id").alias("_v")).unionByName(edges.select(F.col("to_id").alias("_u"), F.col("from_id").alias("_v"))).filter("_u <> _v").distinct()
+    start = sources.toDF("source").distinct()
+    reached = start.select("source", F.col("source").alias("node"), F.lit(0).alias("hops"), F.lit(None).cast(edges.schema["from_id"].dataType).alias("before"))
+    frontier = reached
+    for hop in range(1, most + 1):
+        step = frontier.join(both, F.col("node") == F.col("_u")).groupBy("source", F.col("_v").alias("node")).agg(F.min("_u").alias("before"))
+        frontier = step.join(reached.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(hop).alias("hops"), "before").checkpoint()
+        if frontier.isEmpty():
+            break
+        reached = reached.unionByName(frontier)
+    return reached
+
+
+#: Weights of the facets that two screens share.
+FACET_WEIGHTS = {"style": 0.22, "layout": 0.14, "contrast_mode": 0.2, "imagery_density": 0.16, "type_scale": 0.12, "composition_energy": 0.08, "chrome_weight": 0.06}
+TAG_WEIGHT, INDUSTRY_WEIGHT = 0.12, 0.06
+
+
+def facet_overlap(a: str, b: str) -> Column:
+    """Score of two structs of facets: equal values, share of craft tags, any industry in common; 1 at most."""
+    out = F.lit(0.0)
+    for name, weight in FACET_WEIGHTS.items():
+        x, y = F.col(f"{a}.{name}"), F.col(f"{b}.{name}")
+        out = out + F.when((x != "") & (x == y), weight).otherwise(0.0)
+    low = lambda s: F.array_distinct(F.transform(F.coalesce(F.col(f"{s}.craft_tags"), F.array().cast("array<string>")), F.lower))
+    most = F.greatest(F.size(low(a)), F.size(low(b)))
+    shared = F.when((F.size(low(a)) > 0) & (F.size(low(b)) > 0), F.size(F.array_intersect(low(a), low(b))) / most).otherwise(0.0)
+    industry = F.coalesce(F.arrays_overlap(F.col(f"{a}.industry_tags"), F.col(f"{b}.industry_tags")), F.lit(False))
+    return F.least(F.lit(1.0), out + shared * TAG_WEIGHT + F.when(industry, INDUSTRY_WEIGHT).otherwise(0.0))
+
+
+def facet_profiles(screens: DataFrame, id_col: str, facets: str, threshold: float = 0.35) -> tuple[DataFrame, DataFrame]:
+    """(profiles, edges): facets are (profile, n, facets), edges (from_id, to_id, score) between profiles that overlap at the threshold or more.
+
+    Screens of equal facets are one profile, named by its least id and linked with itself; closed vocabularies bound
+    the number of profiles, and two of them meet only where they share a facet. `threshold` must be above what tags
+    and industries alone give.
+    """
+    if threshold <= TAG_WEIGHT + INDUSTRY_WEIGHT:
+        raise ValueError("profiles that share no facet are not compared")
+    profiles = screens.groupBy(F.col(facets).alias("facets")).agg(F.min(id_col).alias("profile"), F.count(F.lit(1)).alias("n"))
+    keys = F.array_compact(F.array(*[F.when(F.col(f"facets.{n}") != "", F.concat(F.lit(n + ":"), F.col(f"facets.{n}"))) for n in FACET_WEIGHTS]))
+    keyed = profiles.select("profile", "facets", F.explode(keys).alias("_k"))
+    a, b = keyed.select(F.col("profile").alias("from_id"), F.col("facets").alias("fa"), "_k"), keyed.select(F.col("profile").alias("to_id"), F.col("facets").alias("fb"), "_k")
+    met = a.join(b, "_k").filter("from_id <= to_id").dropDuplicates(["from_id", "to_id"])
+    return profiles, met.withColumn("score", F.round(facet_overlap("fa", "fb"), 6)).filter(F.col("score") >= threshold).select("from_id", "to_id", "score")
+
+
 def fuse_ranks(rankings: list[DataFrame], key: str, rank: str, constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion."""
     rows = rankings[0].select(key, rank)
@@ -50,7 +181,7 @@ def fuse_ranks(rankings: list[DataFrame], key: str, rank: str, constant: int = 6
 
 
 def facet_score(matches: dict[str, tuple[Column, int]]) -> Column:
-    """Sum of the points of the conditions that hold."""
+    """Sum of the points of the conditions that hold."""
     out = F.lit(0)
     for condition, points in matches.values():
         out = out + F.when(condition, points).otherwise(0)

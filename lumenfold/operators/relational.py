@@ -60,6 +60,102 @@ def numbered_ids(rows: DataFrame, base: str, *order: Column) -> DataFrame:
     return numbered.withColumn("unique_id", F.when(F.col("_rn") == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), number.cast("string")))).drop("_rn", "_base", "_taken")
 
 
+def best_then_top(rows: DataFrame, capture: str, category: str, score: str, n: int, categories: list[str] | None = None, *ties: Column) -> DataFrame:
+    """K4: the best row of each (capture, category), then the n best of each category, in the order of `categories`."""
+    if categories:
+        rows = rows.filter(F.col(category).isin(*categories))
+    best = latest(rows, [capture, category], F.col(score).desc(), *ties)
+    place = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col(category)) if categories else F.lit(0)
+    return top_n(best, [category], n, F.col(score).desc(), F.col(capture), *ties).withColumn("category_order", place)
+
+
+def first_per_key(docs: list[DataFrame], key: str) -> DataFrame:
+    """Rows of several tables, of which the first table that has a key gives its row."""
+    every = docs[0].withColumn("_source", F.lit(0))
+    for i, d in enumerate(docs[1:], 1):
+        every = every.unionByName(d.withColumn("_source", F.lit(i)))
+    return latest(every, [key], F.col("_source")).drop("_source")
+
+
+def first_distinct(rows: DataFrame, groups: list[str], key: str, n: int, *order: Column) -> DataFrame:
+    """S3: the first row of each key in a group, at most n of them in order."""
+    return top_n(latest(rows, [*groups, key], *order), groups, n, *order)
+
+
+def avoid_keys(rows: DataFrame, key: str, *known: DataFrame) -> DataFrame:
+    """Rows whose key none of `known` (one column each) has."""
+    every = known[0].toDF("_known")
+    for k in known[1:]:
+        every = every.unionByName(k.toDF("_known"))
+    return rows.join(every.distinct(), F.col(key) == F.col("_known"), "left_anti")
+
+
+def drop_existing_urls(urls: DataFrame, key: str, position: str, existing: DataFrame) -> DataFrame:
+    """A row per url that is kept, with what was skipped before: existing keys first, then repeated ones.
+
+    `existing` has one column of keys. Urls without a key are left out of both counts.
+    """
+    known = existing.toDF("_known").distinct().withColumn("_there", F.lit(True))
+    keyed = urls.filter(F.col(key) != "").join(known, F.col(key) == F.col("_known"), "left").groupBy(key).agg(F.min(position).alias(position), F.count(F.lit(1)).alias("_n"), F.max("_there").alias("_there"))
+    return keyed.select(key, position, F.coalesce("_there", F.lit(False)).alias("existing"), F.when(F.col("_there"), F.col("_n")).otherwise(0).cast("long").alias("skipped_existing"), F.when(F.col("_there"), 0).otherwise(F.col("_n") - 1).cast("long").alias("skipped_duplicate"))
+
+
+def pending_vectors(captures: DataFrame, analyses: DataFrame, vectors: DataFrame, key: str, *order: Column, limit: int | None = None) -> DataFrame:
+    """Captures with a complete analysis and without a vector."""
+    done = analyses.filter("status = 'complete'").select(key).distinct()
+    out = captures.join(done, key, "left_semi").join(vectors.select(key), key, "left_anti")
+    return out if limit is None else out.orderBy(*order).limit(limit)
+
+
+def cache_split(requests: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
+    """Requests with `hit`, and the cached columns where there is one."""
+    return requests.join(cache.withColumn("_hit", F.lit(True)), keys, "left").withColumn("hit", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def first_match(rows: DataFrame, others: DataFrame, on: list[str], pick: str) -> DataFrame:
+    """Rows with the least `pick` of the others that share `on`, as `matched`; null without one."""
+    first = others.groupBy(*on).agg(F.min(pick).alias("matched"))
+    return rows.join(first, on, "left")
+
+
+def two_step_match(rows: DataFrame, others: DataFrame, first: str, second: list[str], value: str) -> DataFrame:
+    """`value` of the other with the same `first`, else the least one of those that share `second`."""
+    by_id = others.filter(F.col(first).isNotNull()).groupBy(first).agg(F.min(value).alias("_one"))
+    by_rest = others.groupBy(*second).agg(F.min(value).alias("_two"))
+    return rows.join(by_id, first, "left").join(by_rest, second, "left").withColumn(value, F.coalesce("_one", "_two")).drop("_one", "_two")
+
+
+def host_tags(catalogs: DataFrame, host: str, tag: str, *order: Column, most: int = 3) -> DataFrame:
+    """The first `most` different tags of each host, in order."""
+    named = latest(catalogs.filter(f"{host} <> '' AND {tag} IS NOT NULL"), [host, tag], *order)
+    ranked = top_n(named, [host], most, *order)
+    return ranked.groupBy(host).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(tag).alias("t")))), lambda r: r["t"]).alias("tags"))
+
+
+def with_host_tags(captures: DataFrame, index: DataFrame, host: str) -> DataFrame:
+    """Captures, or a stream of them, with the tags of their host; none is an empty list. `index` is a catalog, a row a host."""
+    return captures.join(index, host, "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+
+
+def resolve_scope(rows: DataFrame, projects: DataFrame) -> DataFrame:
+    """The scope given, else the stored one, else that of the project: columns given_scope, stored_scope, project_id."""
+    table = projects.select("project_id", F.col("scope").alias("_scope"))
+    return rows.join(table, "project_id", "left").withColumn("scope", F.coalesce("given_scope", "stored_scope", "_scope")).drop("_scope")
+
+
+def project_counters(projects: DataFrame, captures: DataFrame, references: DataFrame, key: str, at: str) -> DataFrame:
+    """Captures, references and last activity of every project, also of those without any."""
+    caps = captures.groupBy(key).agg(F.count(F.lit(1)).alias("captures"), F.max(at).alias("last_activity"))
+    refs = references.groupBy(key).agg(F.count(F.lit(1)).alias("references"))
+    return projects.select(key).join(caps, key, "left").join(refs, key, "left").select(key, F.coalesce("captures", F.lit(0)).alias("captures"), F.coalesce("references", F.lit(0)).alias("references"), "last_activity")
+
+
+def grouped_items(items: DataFrame, keys: list[str], kind: str, kinds: list[str], value: str, *order: str) -> DataFrame:
+    """A sorted list of values for each kind."""
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col(kind) == k, F.struct(*order, F.col(value).alias("_value"))))), lambda s: s["_value"]).alias(k) for k in kinds]
+    return items.groupBy(*keys).agg(*lists)
+
+
 def runs(rows: DataFrame, group: str, value: str, *order: Column) -> DataFrame:
     """Consecutive equal values of a group become one row: run number, length."""
     w = Window.partitionBy(group).orderBy(*order)

@@ -4,82 +4,105 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenfold.functions import keys, vectors
-from lumenfold.operators import flows, geometry, graphs, quality, relational, rollups
+from lumenfold.functions import keys
+from lumenfold.operators import flows, graphs, relational, rollups
+from lumenfold.plans import layout, library, pages, urls  # noqa: F401  they register their queries
+from lumenfold.plans.base import ORACLES, QUERIES, query
 from lumenfold.streaming import jobs
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+_SIM = """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM (SELECT * FROM embeddings ORDER BY vec_id DESC LIMIT 5000) a JOIN (SELECT * FROM embeddings ORDER BY vec_id DESC LIMIT 5000) b ON a.vec_id <> b.vec_id"""
+_KNN = f"k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM ({_SIM}) WHERE score >= 0.2 QUALIFY rank <= 8)"
+_EDGES = f"WITH {_KNN}, e AS (SELECT least(a, b) AS from_id, greatest(a, b) AS to_id, max(score) AS score FROM k GROUP BY ALL)"
+_GRAPH = f"{_EDGES}, g AS (SELECT * FROM e ORDER BY score DESC, from_id, to_id LIMIT 40000), n AS (SELECT from_id AS id, to_id AS neighbour FROM g UNION SELECT to_id, from_id FROM g)"
+_JOBS = "j AS (SELECT event_id, user_id AS job_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'capturing' WHEN 'click' THEN 'indexing' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'failed' END AS stage, ts FROM events)"
+_TARGET = "t AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 < 2), u AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'X' END AS o_orderstatus, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 3 > 0)"
+
 
+def _upsert_sides(t):
+    o = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    k = F.col("o_orderkey")
+    return o.filter(k % 3 < 2), o.filter(k % 3 > 0).select(k, F.when(k % 2 == 0, "X").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
 
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
-        if sql:
-            ORACLES[name] = sql
-        return f
 
-    return add
+@query("j5_nearest", """WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM s WHERE score >= 0.2 QUALIFY rank <= 8""")
+def _(t):
+    return graphs.nearest(t("embeddings"), "vec_id", "embedding", 8, 0.2).withColumn("rank", F.col("rank").cast("long"))
 
 
-_U = "'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\\?[^#]*)?(#.*)?$'"
+@query("r22_ranked_neighbours", f"{_EDGES}, g AS (SELECT * FROM e ORDER BY score DESC, from_id, to_id LIMIT 40000), n AS (SELECT from_id AS id, to_id AS neighbour, score FROM g UNION ALL SELECT to_id, from_id, score FROM g) SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, neighbour) AS rank FROM n QUALIFY rank <= 5")
+def _(t):
+    return graphs.ranked_neighbours(graphs.similarity_graph(t("embeddings"), "vec_id", "embedding", 8, 0.2)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("b1_capture_key", f"SELECT page_id, lower(regexp_replace(regexp_extract(trim(url), {_U}, 2), '^www\\.', '')) || regexp_replace(regexp_extract(trim(url), {_U}, 3), '/+$', '') AS key FROM pages WHERE regexp_matches(url, {_U}) UNION ALL SELECT page_id, regexp_replace(lower(trim(url)), '/+$', '') FROM pages WHERE NOT regexp_matches(url, {_U})")
+@query("b20_slug", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
 def _(t):
-    return t("pages").select("page_id", keys.capture_key(F.col("url")).alias("key"))
+    return t("part").select("p_partkey", keys.slug(F.col("p_name")).alias("slug"))
 
 
-@query("b4_join_key", f"""WITH u AS (SELECT page_id, url, lower(regexp_extract(url, {_U}, 1)) AS s, lower(regexp_extract(url, {_U}, 2)) AS h, regexp_replace(regexp_extract(url, {_U}, 3), '/+$', '') AS p FROM pages)
-SELECT page_id, CASE WHEN s IN ('http', 'https') THEN s || '://' || CASE WHEN s = 'https' THEN regexp_replace(h, ':443$', '') ELSE regexp_replace(h, ':80$', '') END || CASE WHEN p = '' THEN '/' ELSE p END END AS key FROM u""")
+@query("k7_numbered_ids", "SELECT p_partkey, CASE WHEN rn = 1 THEN p_name ELSE p_name || '-' || rn END AS unique_id FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rn FROM part)")
 def _(t):
-    return t("pages").select("page_id", keys.join_key(F.col("url")).alias("key"))
+    return relational.numbered_ids(t("part"), "p_name", F.col("p_partkey")).select("p_partkey", "unique_id")
 
 
-@query("b5_redact_url", f"SELECT page_id, CASE WHEN regexp_matches(url, {_U}) THEN regexp_extract(url, {_U}, 1) || '://' || regexp_extract(url, {_U}, 2) || regexp_extract(url, {_U}, 3) || regexp_replace(regexp_extract(url, {_U}, 4), '=[^&]*', '=[redacted]', 'g') ELSE '[invalid-url]' END AS redacted FROM pages")
+@query("d19_runs", """WITH c AS (SELECT *, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS c FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM c) SELECT conv_id, run::BIGINT AS run, role, count(*) AS length FROM r GROUP BY ALL""")
 def _(t):
-    return t("pages").select("page_id", keys.redact_url(F.col("url")).alias("redacted"))
+    return relational.runs(t("conversations"), "conv_id", "role", F.col("turn"))
 
 
-@query("b8_redact_diagnostic", "SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[Bb]earer +[A-Za-z0-9._~+/=-]+', 'Bearer [redacted]', 'g'), '(token|secret|password|api_key)( *[=:] *)[^ ,;&]+', '\\1\\2[redacted]', 'g')) AS redacted_sha256 FROM documents")
+@query("f2_seed_edges", """WITH s AS (SELECT conv_id, role AS from_id, lead(role) OVER w AS to_id, row_number() OVER w - 1 AS step FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT *, 0.8::DOUBLE AS confidence FROM s WHERE to_id IS NOT NULL AND from_id <> to_id""")
 def _(t):
-    return t("documents").select("doc_id", F.sha2(keys.redact_diagnostic(F.col("text")), 256).alias("redacted_sha256"))
+    return flows.seed_edges(t("conversations"), "conv_id", "role", F.col("turn"))
 
 
-@query("b12_site_identity", f"SELECT page_id, substr(sha256(lower(regexp_extract(url, {_U}, 2))), 1, 20) AS site_id, lower(regexp_extract(url, {_U}, 3)) AS route, substr(sha256(lower(regexp_extract(url, {_U}, 2)) || '|' || lower(regexp_extract(url, {_U}, 3))), 1, 20) AS page_key FROM pages")
+@query("t4_retries", f"""WITH {_JOBS}, a AS (SELECT job_id, count(*) FILTER (stage = 'failed') AS attempts, max({{'ts': ts, 'id': event_id, 's': stage}}) FILTER (stage IN ('failed', 'complete')) AS l FROM j GROUP BY job_id)
+SELECT job_id, attempts, CASE WHEN l IS NULL THEN 'ok' WHEN l.s = 'complete' THEN 'complete' WHEN attempts < 3 THEN 'queued' ELSE 'failed' END AS status FROM a""")
 def _(t):
-    host, path = keys.host_of(F.col("url")), keys.path_of(F.col("url"))
-    return t("pages").select("page_id", keys.short_hash(host).alias("site_id"), path.alias("route"), keys.short_hash(F.concat_ws("|", host, path)).alias("page_key"))
+    return jobs.retries(jobs.job_events(t("events")), 3)
 
 
-@query("b20_slug", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
+@query("t2_health_windows", f"""WITH {_JOBS}, w AS (SELECT date_trunc('day', ts) AS window_start, count(*) FILTER (stage IN ('queued', 'capturing', 'indexing')) AS open, count(*) FILTER (stage = 'failed') AS failed FROM j GROUP BY 1)
+SELECT *, CASE WHEN failed > 20 THEN 'critical' WHEN failed > 0 OR open > 0 THEN 'warn' ELSE 'ok' END AS health FROM w""")
 def _(t):
-    return t("part").select("p_partkey", keys.slug(F.col("p_name")).alias("slug"))
+    return jobs.health_windows(jobs.job_events(t("events")))
 
 
-@query("b21_tokens", "SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2))::INT AS n_tokens FROM documents")
+@query("t10_recovered", f"""WITH {_JOBS}, s AS (SELECT job_id, stage, ts AS updated_at FROM j QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) = 1), m AS (SELECT max(updated_at) AS now FROM s)
+SELECT job_id, CASE WHEN stage IN ('capturing', 'indexing') THEN 'queued' ELSE stage END AS stage, updated_at, stage IN ('capturing', 'indexing') AS recovered FROM s, m WHERE stage NOT IN ('complete', 'failed') OR updated_at >= now - INTERVAL 6 HOUR""")
 def _(t):
-    return t("documents").select("doc_id", F.size(keys.tokens(F.col("text"))).alias("n_tokens"))
+    states = jobs.current_state(jobs.job_events(t("events")))
+    now = states.agg(F.max("updated_at")).first()[0]
+    return jobs.recovered(states, F.lit(now), "6 hours")
 
 
-@query("b28_hashing_embedding", """WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9:#.>_-]+'), lambda x: x <> '')) AS t FROM documents),
-h AS (SELECT doc_id, sha256(t) AS h FROM w),
-c AS (SELECT doc_id, ('0x' || substr(h, 1, 8))::BIGINT % 384 AS cell, CASE WHEN ('0x' || substr(h, 9, 2))::BIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * (1 + (('0x' || substr(h, 11, 2))::BIGINT % 5) / 10.0::DOUBLE) AS v FROM h),
-s AS (SELECT doc_id, cell, sum(v) AS v FROM c GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM s GROUP BY ALL)
-SELECT doc_id, cell, round(v / n, 6) + 0.0 AS value FROM s JOIN n USING (doc_id)""")
+@query("k11_queue_order", f"""WITH {_JOBS}, s AS (SELECT job_id, stage, ts AS updated_at FROM j QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) = 1),
+q AS (SELECT job_id, job_id % 8 AS shard, stage IN ('capturing', 'indexing') AS recovered, CASE WHEN job_id % 3 = 0 THEN job_id % 11 END AS position, updated_at AS created_at FROM s WHERE stage IN ('capturing', 'indexing', 'queued'))
+SELECT shard, job_id, recovered, row_number() OVER (PARTITION BY shard ORDER BY recovered DESC, position NULLS LAST, created_at, job_id) AS place FROM q""")
 def _(t):
-    out = vectors.hashing_embedding(t("documents"), "doc_id", "text")
-    return out.select("doc_id", "cell", (F.round("value", 6) + 0.0).alias("value"))
+    states = jobs.recovered(jobs.current_state(jobs.job_events(t("events"))), F.lit("2000-01-01").cast("timestamp"))
+    queue = states.withColumn("shard", F.col("job_id") % 8).withColumn("position", F.when(F.col("job_id") % 3 == 0, F.col("job_id") % 11)).withColumnRenamed("updated_at", "created_at")
+    return jobs.queue_order(queue).select("shard", "job_id", "recovered", F.col("place").cast("long").alias("place"))
 
 
-_SIM = """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM (SELECT * FROM embeddings ORDER BY vec_id DESC LIMIT 5000) a JOIN (SELECT * FROM embeddings ORDER BY vec_id DESC LIMIT 5000) b ON a.vec_id <> b.vec_id"""
-_KNN = f"k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM ({_SIM}) WHERE score >= 0.2 QUALIFY rank <= 8)"
-_EDGES = f"WITH {_KNN}, e AS (SELECT least(a, b) AS from_id, greatest(a, b) AS to_id, max(score) AS score FROM k GROUP BY ALL)"
+@query("k12_live", f"WITH {_JOBS} SELECT job_id, stage, ts AS updated_at FROM (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) = 1) WHERE stage IN ('capturing', 'indexing')")
+def _(t):
+    return jobs.live(jobs.current_state(jobs.job_events(t("events"))))
 
 
-@query("j5_nearest", f"WITH {_KNN} SELECT a, b, score, rank FROM k")
+@query("t3_claims", f"""WITH {_JOBS}, s AS (SELECT job_id, CASE WHEN stage = 'queued' THEN 'queued' ELSE 'running' END AS status, ts AS updated_at FROM j WHERE stage IN ('queued', 'capturing', 'indexing') QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) = 1), m AS (SELECT max(updated_at) AS now FROM s)
+SELECT job_id, status, updated_at AS created_at, updated_at, status = 'running' AS reclaimed FROM s, m WHERE status = 'queued' OR updated_at < now - INTERVAL 4 MINUTE ORDER BY reclaimed, created_at, job_id LIMIT 16""")
 def _(t):
-    return graphs.nearest(t("embeddings"), "vec_id", "embedding", 8, 0.2).withColumn("rank", F.col("rank").cast("long"))
+    open_jobs = jobs.job_events(t("events")).filter(F.col("stage").isin("queued", "capturing", "indexing"))
+    states = jobs.current_state(open_jobs).select("job_id", F.when(F.col("stage") == "queued", "queued").otherwise("running").alias("status"), F.col("updated_at").alias("created_at"), "updated_at")
+    now = states.agg(F.max("updated_at")).first()[0]
+    return jobs.claims(states, F.lit(now), 16)
+
+
+@query("b21_tokens", "SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2))::INT AS n_tokens FROM documents")
+def _(t):
+    return t("documents").select("doc_id", F.size(keys.tokens(F.col("text"))).alias("n_tokens"))
 
 
 @query("r20_similarity_graph", f"{_EDGES} SELECT * FROM e ORDER BY score DESC, from_id, to_id LIMIT 40000")
@@ -108,20 +131,6 @@ def _(t):
     return relational.interleave(t("part"), "p_brand", F.col("p_name"), F.col("p_partkey")).select("p_brand", "p_partkey", F.col("turn").cast("long").alias("turn"))
 
 
-@query("k7_numbered_ids", "SELECT p_partkey, CASE WHEN rn = 1 THEN p_name ELSE p_name || '-' || rn END AS unique_id FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rn FROM part)")
-def _(t):
-    return relational.numbered_ids(t("part"), "p_name", F.col("p_partkey")).select("p_partkey", "unique_id")
-
-
-_TARGET = "t AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 < 2), u AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'X' END AS o_orderstatus, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 3 > 0)"
-
-
-def _upsert_sides(t):
-    o = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    k = F.col("o_orderkey")
-    return o.filter(k % 3 < 2), o.filter(k % 3 > 0).select(k, F.when(k % 2 == 0, "X").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
-
-
 @query("a9_upsert", f"WITH {_TARGET} SELECT * FROM u UNION ALL SELECT * FROM t WHERE o_orderkey NOT IN (SELECT o_orderkey FROM u)")
 def _(t):
     return relational.upsert(*_upsert_sides(t), ["o_orderkey"])
@@ -143,12 +152,6 @@ def _(t):
     return relational.delete_cascade(t("orders"), t("lineitem"), victims, "o_orderkey", "l_orderkey")[1].groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d19_runs", """WITH c AS (SELECT *, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS c FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-r AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM c) SELECT conv_id, run::BIGINT AS run, role, count(*) AS length FROM r GROUP BY ALL""")
-def _(t):
-    return relational.runs(t("conversations"), "conv_id", "role", F.col("turn"))
-
-
 @query("v2_duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def _(t):
     return relational.duplicate_keys(t("lineitem"), ["l_orderkey", "l_linenumber"])
@@ -159,65 +162,6 @@ def _(t):
     return relational.dangling(t("lineitem"), t("orders").filter("o_orderstatus <> 'F'"), "l_orderkey", "o_orderkey").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-_BOXES = """b AS (SELECT l_orderkey AS viewport, l_suppkey % 2 AS parent, ordinal, l_quantity * 20 AS x, ordinal * 40.0::DOUBLE AS y, round(l_discount * 1000) + 20 AS width, round(l_tax * 1000) + 20 AS height
-FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS ordinal FROM lineitem)),
-p AS (SELECT a.viewport, a.parent, a.ordinal AS oa, b.ordinal AS ob, greatest(b.x - a.x - a.width, a.x - b.x - b.width) AS gx, greatest(b.y - a.y - a.height, a.y - b.y - b.height) AS gy,
-least(a.y + a.height, b.y + b.height) > greatest(a.y, b.y) AS vy, least(a.x + a.width, b.x + b.width) > greatest(a.x, b.x) AS vx FROM b a JOIN b b ON a.viewport = b.viewport AND a.parent = b.parent AND a.ordinal < b.ordinal)"""
-
-
-def _boxes(t):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    rows = t("lineitem").withColumn("ordinal", F.row_number().over(order).cast("long"))
-    return rows.select(F.col("l_orderkey").alias("viewport"), (F.col("l_suppkey") % 2).alias("parent"), "ordinal", (F.col("l_quantity") * 20).alias("x"), (F.col("ordinal") * 40.0).alias("y"), (F.round(F.col("l_discount") * 1000) + 20).alias("width"), (F.round(F.col("l_tax") * 1000) + 20).alias("height"))
-
-
-@query("c11_spacing_scale", f"""WITH {_BOXES}, g AS (SELECT gx AS gap, 'x' AS d FROM p WHERE vy UNION ALL SELECT gy, 'y' FROM p WHERE vx)
-SELECT floor(gap * 2 + 0.5) / 2 AS value, count(*) AS n, string_agg(DISTINCT d, ',' ORDER BY d) AS directions FROM g WHERE gap BETWEEN 0 AND 512 GROUP BY 1 HAVING count(*) >= 2""")
-def _(t):
-    return geometry.spacing_scale(_boxes(t), ["viewport", "parent"])
-
-
-@query("c14_relations", f"WITH {_BOXES} SELECT viewport, parent, oa AS ordinal_a, ob AS ordinal_b, CASE WHEN gx < 0 AND gy < 0 THEN 'overlaps' WHEN gx >= gy THEN 'left_of' ELSE 'above' END AS relation, greatest(0.0::DOUBLE, gx, gy) AS gap FROM p")
-def _(t):
-    return geometry.relations(_boxes(t), ["viewport", "parent"])
-
-
-@query("c8_clusters")
-def _(t):
-    return geometry.clusters_1d(_boxes(t), ["viewport"], "x")
-
-
-@query("c4_resize", """WITH s AS (SELECT o_custkey, o_totalprice, lead(o_totalprice) OVER w AS nxt, row_number() OVER w AS step FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
-SELECT o_custkey, step, round(nxt / o_totalprice, 6) AS ratio FROM s WHERE nxt IS NOT NULL AND abs(nxt / o_totalprice - 1) >= 0.05""")
-def _(t):
-    return geometry.changes(t("orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice").withColumn("step", F.col("step").cast("long"))
-
-
-@query("g2_quality", """WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((least(1.0::DOUBLE, greatest(0.0::DOUBLE, l_quantity / 47)) * 2.0 + least(1.0::DOUBLE, greatest(0.0::DOUBLE, l_discount * 9.7::DOUBLE)) * 1.0 + least(1.0::DOUBLE, greatest(0.0::DOUBLE, l_tax * 12.3::DOUBLE)) * 1.1) / 4.1, 4) AS overall FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, overall, CASE WHEN overall >= 0.95 THEN 'excellent' WHEN overall >= 0.8 THEN 'good' WHEN overall >= 0.5 THEN 'fair' ELSE 'poor' END AS rating FROM q""")
-def _(t):
-    q = quality.weighted_quality({"a": F.col("l_quantity") / 47, "b": F.col("l_discount") * 9.7, "c": F.col("l_tax") * 12.3}, {"a": 2.0, "b": 1.0, "c": 1.1})
-    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", q.alias("q")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "q.overall", "q.rating")
-
-
-@query("g11_cost_rollup", """WITH c AS (SELECT l_linenumber, l_linestatus, CASE WHEN l_linestatus = 'F' AND l_returnflag = 'A' THEN 0.0 WHEN l_returnflag IN ('A', 'N') THEN (l_quantity * 0.03::DOUBLE + l_extendedprice * 0.13::DOUBLE) / 1e6::DOUBLE END AS usd, l_orderkey FROM lineitem)
-SELECT l_orderkey, CASE WHEN count(usd) = count(*) THEN round(sum(usd), 6) END AS usd, count(*) AS stages FROM c GROUP BY l_orderkey""")
-def _(t):
-    usd = quality.stage_cost(F.col("l_returnflag"), F.col("l_quantity"), F.col("l_extendedprice"), (F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "A"), [("^[AN]$", 0.03, 0.13)])
-    return quality.cost_rollup(t("lineitem").withColumn("usd", usd), ["l_orderkey"], "usd")
-
-
-_JOBS = "j AS (SELECT event_id, user_id AS job_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'capturing' WHEN 'click' THEN 'indexing' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'failed' END AS stage, ts FROM events)"
-
-
-@query("g13_tallies", f"""WITH {_JOBS}, n AS (SELECT job_id, count(*) FILTER (stage = 'queued') AS queued, count(*) FILTER (stage = 'capturing') AS capturing, count(*) FILTER (stage = 'indexing') AS indexing, count(*) FILTER (stage = 'complete') AS complete, count(*) FILTER (stage = 'failed') AS failed FROM j GROUP BY job_id)
-SELECT *, CASE WHEN failed = 0 THEN 'ok' WHEN failed * 2 > complete + failed THEN 'critical' ELSE 'degraded' END AS health FROM n""")
-def _(t):
-    return quality.tallies(jobs.job_events(t("events")), ["job_id"])
-
-
 @query("t1_current_state", f"WITH {_JOBS} SELECT job_id, stage, ts AS updated_at FROM j QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) = 1")
 def _(t):
     return jobs.current_state(jobs.job_events(t("events")))
@@ -239,12 +183,6 @@ def _(t):
     return jobs.last_events(jobs.job_events(t("events")), 5).select("job_id", "event_id", "stage", F.col("rank").cast("long").alias("rank"))
 
 
-@query("r25_facet_score", "SELECT p_partkey, CASE WHEN p_type = 'STANDARD' THEN 5 ELSE 0 END + CASE WHEN p_brand = 'Brand#1' THEN 4 ELSE 0 END + CASE WHEN p_size > 25 THEN 3 ELSE 0 END AS score FROM part")
-def _(t):
-    points = {"category": (F.col("p_type") == "STANDARD", 5), "signature": (F.col("p_brand") == "Brand#1", 4), "size": (F.col("p_size") > 25, 3)}
-    return t("part").select("p_partkey", graphs.facet_score(points).alias("score"))
-
-
 @query("r28_fused_ranks", """WITH a AS (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part), b AS (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS rank FROM part)
 SELECT p_partkey, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL""")
 def _(t):
@@ -252,25 +190,11 @@ def _(t):
     return graphs.fuse_ranks([by(F.col("p_retailprice").desc(), F.col("p_partkey")), by(F.col("p_size"), F.col("p_partkey"))], "p_partkey", "rank")
 
 
-@query("b2_unique_urls", f"WITH k AS ({ORACLES['b1_capture_key']}) SELECT key, min(page_id) AS page_id, count(*) - 1 AS skipped_duplicate FROM k WHERE key <> '' GROUP BY key")
-def _(t):
-    return rollups.unique_urls(t("pages"), keys.capture_key(F.col("url")), "page_id")
-
-
 @query("e20_layout_shift", "SELECT user_id, round(coalesce(sum(value) FILTER (event_type <> 'click'), 0.0), 6) AS cumulative_layout_shift FROM events GROUP BY user_id")
 def _(t):
     return rollups.layout_shift(t("events"), ["user_id"], F.col("value"), F.col("event_type") == "click")
 
 
-@query("f2_seed_edges", """WITH s AS (SELECT conv_id, role AS from_id, lead(role) OVER w AS to_id, row_number() OVER w - 1 AS step FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT *, 0.8::DOUBLE AS confidence FROM s WHERE to_id IS NOT NULL AND from_id <> to_id""")
-def _(t):
-    return flows.seed_edges(t("conversations"), "conv_id", "role", F.col("turn"))
-
-
-_GRAPH = f"{_EDGES}, g AS (SELECT * FROM e ORDER BY score DESC, from_id, to_id LIMIT 40000), n AS (SELECT from_id AS id, to_id AS neighbour FROM g UNION SELECT to_id, from_id FROM g)"
-
-
 @query("r3_neighbours", f"{_GRAPH} SELECT id, neighbour FROM n")
 def _(t):
     return flows.neighbours(graphs.similarity_graph(t("embeddings"), "vec_id", "embedding", 8, 0.2))
@@ -282,13 +206,6 @@ def _(t):
     return flows.shared_neighbours(edges, edges)
 
 
-@query("g3_aggregate_quality", """WITH m AS (SELECT l_orderkey, avg(least(1.0::DOUBLE, l_quantity / 47)) AS a, avg(least(1.0::DOUBLE, l_discount * 9.7::DOUBLE)) AS b, avg(least(1.0::DOUBLE, l_tax * 12.3::DOUBLE)) AS c FROM lineitem GROUP BY l_orderkey),
-q AS (SELECT l_orderkey, round((a * 2.0::DOUBLE + b * 1.0::DOUBLE + c * 1.1::DOUBLE) / 4.1::DOUBLE, 4) AS overall FROM m)
-SELECT l_orderkey, overall, CASE WHEN overall >= 0.95 THEN 'excellent' WHEN overall >= 0.8 THEN 'good' WHEN overall >= 0.5 THEN 'fair' ELSE 'poor' END AS rating FROM q""")
-def _(t):
-    return rollups.aggregate_quality(t("lineitem"), ["l_orderkey"], {"a": F.col("l_quantity") / 47, "b": F.col("l_discount") * 9.7, "c": F.col("l_tax") * 12.3}, {"a": 2.0, "b": 1.0, "c": 1.1})
-
-
 @query("g4_run_status", """WITH s AS (SELECT l_orderkey, CASE l_returnflag WHEN 'A' THEN 'complete' WHEN 'N' THEN 'partial' WHEN 'R' THEN 'blocked' END AS s FROM lineitem)
 SELECT l_orderkey, CASE WHEN count(*) FILTER (s = 'blocked') = count(*) THEN 'blocked' WHEN count(*) FILTER (s = 'complete') = count(*) THEN 'complete' WHEN count(*) FILTER (s IN ('complete', 'partial')) > 0 THEN 'partial' ELSE 'failed' END AS status FROM s GROUP BY l_orderkey""")
 def _(t):
@@ -338,11 +255,6 @@ def _(t):
     return rollups.stale_subjects(docs.select("doc_id", F.sha2("text", 256).alias("digest")), masked, "doc_id", "digest")
 
 
-@query("t4_retries", f"WITH {_JOBS}, a AS (SELECT job_id, count(*) FILTER (stage = 'failed') AS attempts FROM j GROUP BY job_id) SELECT *, CASE WHEN attempts = 0 THEN 'ok' WHEN attempts < 3 THEN 'queued' ELSE 'failed' END AS status FROM a")
-def _(t):
-    return jobs.retries(jobs.job_events(t("events")), 3)
-
-
 @query("t9_running_cost", "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS calls, round(sum(value), 4) AS usd FROM events GROUP BY ALL")
 def _(t):
     return jobs.running_cost(t("events"), "ts", "event_type", "value")
