@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import SPACE_CLASS, cut_lineage, whole_text
+from lumenfold.llm.common import SPACE_CLASS, cut_lineage, join_hot, packed, whole_text
 from lumenfold.llm.words import join_side, row_name
 
 #: A chunk has MIN_CHARS characters, then goes on to the next mark, or for MAX_MORE characters where none comes.
@@ -54,38 +54,45 @@ def _decided(rows: DataFrame, name_of: Callable[[Column], Column] = F.xxhash64)
     distinct = cut.select(F.explode("_chunks").alias("_chunk")).select(name_of(F.col("_chunk")).alias("_name"), "_chunk").distinct()
     shared = distinct.groupBy("_name").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_name")
     shared = cut_lineage(shared)
-    recipes = cut.select("_id", "_row_name", "_chars", F.transform("_chunks", lambda c: F.struct(name_of(c).alias("name"), F.lit(0).alias("turn"))).alias("_recipe"), F.sha2("_norm", 256).alias("_sha"))
+    recipes = cut.select("_id", "_row_name", "_chars", F.transform("_chunks", lambda c: name_of(c)).alias("_recipe"), F.sha2("_norm", 256).alias("_sha"))
     if not shared.isEmpty():
         recipes = _told_apart(cut, distinct, shared, name_of)
-    else:
-        recipes = recipes.withColumn("_recipe", F.transform("_recipe", lambda r: r["name"]))
     stay = F.min(F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_row_name").alias("r")))
-    groups = recipes.groupBy(F.col("_recipe").alias("_key")).agg(stay.alias("_stay"), F.count(F.lit(1)).alias("group_size"))
-    return recipes.join(groups, F.col("_recipe") == F.col("_key"))
+    groups = recipes.groupBy("_recipe").agg(stay.alias("_stay"), F.count(F.lit(1)).alias("_rows"))
+    # only groups of two or more are joined; a row of its own is its own group
+    groups = cut_lineage(groups.filter("_rows > 1").withColumn("group_size", F.col("_rows")))
+    alone = F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_row_name").alias("r"))
+    found = join_hot(recipes, groups, "_recipe", "_rows", F.array(F.xxhash64("_id", "_row_name")))
+    return found.select("_id", "_row_name", "_sha", F.coalesce("_stay", alone).alias("_stay"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"))
 
 
 def _told_apart(cut: DataFrame, distinct: DataFrame, shared: DataFrame, name_of: Callable[[Column], Column]) -> DataFrame:
-    """Recipes where chunks that share a name are told apart by their turn among the texts of that name."""
+    """Recipes of names and turns: chunks that share a name are told apart by their turn among the texts of that name."""
     turns = distinct.join(shared, "_name", "left_semi").withColumn("_turn", F.row_number().over(Window.partitionBy("_name").orderBy("_chunk")))
     rows = cut_lineage(cut.withColumn("_row", F.monotonically_increasing_id()))
     flat = rows.select("_row", F.posexplode("_chunks").alias("_pos", "_chunk")).withColumn("_name", name_of(F.col("_chunk")))
     found = flat.join(turns, ["_name", "_chunk"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_turn"))).alias("_turns"))
-    named = F.transform("_chunks", lambda c, i: F.struct(name_of(c).alias("name"), F.coalesce(F.col("_turns")[i], F.lit(0)).alias("turn")))
+    named = F.flatten(F.transform("_chunks", lambda c, i: F.array(name_of(c), F.coalesce(F.col("_turns")[i], F.lit(0)).cast("long"))))
     return rows.join(found, "_row", "left").select("_id", "_row_name", "_chars", named.alias("_recipe"), F.sha2("_norm", 256).alias("_sha"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of `docs` for each group of equal texts, with all its columns: of the most code points, then the least id."""
-    named = docs.withColumn("_row_name", row_name(id_col, text_col))
-    rows = _decided(named.select(F.col(id_col).alias("_id"), "_row_name", F.col(text_col).alias("_doc")))
+    """One row of `docs` for each group of equal texts, with all its columns: of the most code points, then the least id.
+
+    A null text is an empty one, all of these are one group; a null id comes after all others. Of rows equal in id and
+    text one stays. An empty table gives an empty result; names of columns are free.
+    """
+    name = row_name(id_col, text_col)
+    rows = _decided(docs.select(F.col(id_col).alias("_id"), name.alias("_row_name"), F.col(text_col).alias("_doc")))
     told = rows.groupBy("_row_name", (F.col("_row_name") == F.col("_stay.r")).alias("_stays")).agg(F.count(F.lit(1)).alias("_n"))
     told = cut_lineage(told.filter("NOT _stays OR _n > 1"))
+    named = packed(docs, name.alias("_row_name"))
     left = join_side(named, told.select("_row_name"), "_row_name", "left_anti", F.lit(96))
     again = told.filter("_stays").select("_row_name")
     if not again.isEmpty():
         # rows equal in id and text share a name, and one of them stays
         left = left.unionByName(join_side(named, again, "_row_name", "left_semi", F.lit(96)).dropDuplicates(["_row_name"]))
-    return left.drop("_row_name")
+    return left.select("row.*")
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import whole_text
+from lumenfold.llm.common import cut_lineage, join_hot, whole_text
+from lumenfold.llm.words import is_small
 
 
 @dataclass(frozen=True)
@@ -99,12 +100,16 @@ def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
         order = F.when(F.col("rule") == r.key, F.lit(i)).otherwise(order)
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     flat = held.filter(F.size("spans") > 0).withColumn("o", order).filter("o IS NOT NULL").withColumn("k", F.element_at(kinds, F.col("o") + 1))
-    per_blob = flat.groupBy(F.col("blob_sha").alias("_sha")).agg(
+    per_blob = flat.groupBy("blob_sha").agg(
         F.array_sort(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("o").alias("order"), s["end"].alias("end"), F.col("k").alias("kind")))))).alias("findings")
     )
     paths = docs.select(F.col(id_col), F.sha2(whole_text(text_col), 256).alias("blob_sha"))
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
-    return paths.join(per_blob, F.col("blob_sha") == F.col("_sha"), "left").select(id_col, "blob_sha", F.coalesce("findings", none).alias("findings")), news
+    # blobs with findings are few; how many paths each has is counted before any path moves
+    per_blob = cut_lineage(per_blob)
+    counts = paths.join(F.broadcast(per_blob.select("blob_sha")), "blob_sha", "left_semi") if is_small(per_blob, F.lit(96)) else paths
+    held = cut_lineage(per_blob.join(counts.groupBy("blob_sha").agg(F.count(F.lit(1)).alias("_paths")), "blob_sha"))
+    return join_hot(paths, held, "blob_sha", "_paths", F.concat(F.lit("~"), F.xxhash64(id_col).cast("string"))).select(id_col, "blob_sha", F.coalesce("findings", none).alias("findings")), news
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Groups of equal texts are vectors of bytes, words and rows. Each goes to the shard where its dot product with the
 residual capacity is highest, large ones first. The packing runs in lanes: a lane is a hash range of groups with its
-own equal part of every shard, so lanes pack side by side and their loads add up evenly. A group larger than a small
-part of a lane's shard is split by a hash of the id, as one group may hold a third of all rows.
+own equal part of every shard, so lanes pack side by side and their loads add up evenly. A group that a lane's part of
+a shard can't hold whole is cut into as few pieces as it takes, by a hash of the id, as one group may hold a third of
+all rows; all others stay whole.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import cut_lineage, running_start, whole_text, word_count
+from lumenfold.llm.common import cut_lineage, join_hot, running_start, whole_text, word_count
 
-#: Shards; groups that a lane packs, about; part of a lane's shard that one piece of a group may fill.
-SHARDS, LANE_GROUPS, PIECE_PART, OVERHEAD = 40, 40_000, 0.02, 16
+#: Shards; groups that a lane packs, about; bytes that a document has besides its text.
+SHARDS, LANE_GROUPS, OVERHEAD = 40, 40_000, 16
 
 
 def pack(sizes: np.ndarray, shards: int) -> np.ndarray:
@@ -34,17 +35,17 @@ def pack(sizes: np.ndarray, shards: int) -> np.ndarray:
 
 def _pack_lane(shards: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bytes", "words", "rows", "_group", "_piece"], ascending=[False, False, False, True, True], kind="stable")
+        pdf = pdf.sort_values(["bytes", "words", "rows", "_name"], ascending=[False, False, False, True], kind="stable")
         pdf["shard"] = pack(pdf[["bytes", "words", "rows"]].to_numpy(dtype=float), shards)
-        return pdf[["_group", "_piece", "shard"]]
+        return pdf[["_name", "rows", "shard"]]
 
     return run
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, lane_groups: int = LANE_GROUPS, piece_part: float = PIECE_PART, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, lane_groups: int = LANE_GROUPS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, size (UTF-8 bytes plus 16), words, text_crc32, shard, slot.
 
-    Equal texts are one group and stay in one shard unless the group is too large for that. slot counts from 0 within
+    Equal texts are one group and stay in one shard unless that can't hold them (a lane's part of it, by bytes, words or rows). slot counts from 0 within
     a shard, without gaps, by ranges of a hash of the id, then by id. A null text is empty (size 16); null ids are placed like
     others; rows that repeat an id are documents of their own; an empty table gives an empty result; further columns
     are left out.
@@ -54,17 +55,20 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, lane_groups: int = LA
         F.col(id_col).alias("_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), word_count(F.col(text_col)).alias("words"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("_group")
     )
     narrow = cut_lineage(narrow)
-    groups = narrow.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows"), F.max("size").alias("_size"))
-    n_groups, total = groups.agg(F.count(F.lit(1)), F.sum(F.col("_rows") * F.col("_size"))).first()
+    groups = cut_lineage(narrow.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows"), F.max("size").alias("_size"), F.max("words").alias("_words")))
+    n_groups, n_rows, n_bytes, n_words = groups.agg(F.count(F.lit(1)), F.sum("_rows"), F.sum(F.col("_rows") * F.col("_size")), F.sum(F.col("_rows") * F.col("_words"))).first()
     lanes = max(1, -(-n_groups // lane_groups))
-    limit = max(1.0, piece_part * (total or 0) / (shards * lanes))
-    pieces = groups.select(F.col("_group").alias("_g"), F.least(F.col("_rows"), F.ceil(F.col("_rows") * F.col("_size") / F.lit(limit))).alias("_pieces"))
-    cut = narrow.join(pieces, F.col("_group") == F.col("_g")).withColumn("_piece", F.pmod(F.xxhash64(F.col("_id"), F.lit("piece")), F.col("_pieces"))).drop("_g", "_pieces")
-    vectors = cut.groupBy("_group", "_piece").agg(F.sum("size").alias("bytes"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("rows"))
-    lane = F.pmod(F.xxhash64("_group", "_piece"), F.lit(lanes))
-    placed = vectors.withColumn("_lane", lane).groupBy("_lane").applyInPandas(_pack_lane(shards), "_group string, _piece long, shard int")
-    placed = placed.withColumnsRenamed({"_group": "_pg", "_piece": "_pp"})
-    sharded = cut.join(placed, (F.col("_group") == F.col("_pg")) & (F.col("_piece") == F.col("_pp"))).select("_id", "size", "words", "text_crc32", "shard")
+    part = lambda amount, total: F.ceil(amount * (shards * lanes) / F.lit(max(1, total or 0)))
+    rows = F.col("_rows")
+    pieces = F.least(rows, F.greatest(F.lit(1), part(rows, n_rows), part(rows * F.col("_size"), n_bytes), part(rows * F.col("_words"), n_words)))
+    # of groups in several pieces there are at most as many as parts of shards, for each of three sizes
+    several = groups.select(F.col("_group").alias("_g"), pieces.alias("_pieces")).filter("_pieces > 1")
+    cut = narrow.join(F.broadcast(several), F.col("_group") == F.col("_g"), "left")
+    piece = F.pmod(F.xxhash64(F.col("_id"), F.lit("piece")), F.coalesce("_pieces", F.lit(1)))
+    cut = cut.withColumn("_name", F.concat_ws(":", "_group", piece)).drop("_g", "_pieces")
+    vectors = cut.groupBy("_name").agg(F.sum("size").alias("bytes"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("rows"))
+    placed = vectors.withColumn("_lane", F.pmod(F.xxhash64("_name"), F.lit(lanes))).groupBy("_lane").applyInPandas(_pack_lane(shards), "_name string, rows long, shard int")
+    sharded = join_hot(cut, cut_lineage(placed), "_name", "rows", F.concat(F.lit("~"), F.xxhash64("_id").cast("string"))).select("_id", "size", "words", "text_crc32", "shard")
     sharded = cut_lineage(sharded.withColumn("_range", F.pmod(F.xxhash64(F.col("_id")), F.lit(512))))
     slots = running_start(sharded, ["shard"], "_range", ["_id", "size", "text_crc32"], F.lit(1), "slot")
     return slots.select(F.col("_id").alias(id_col), "size", "words", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
