@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding.
 
 A text is split into short words. Each word is a contiguous array of part boundaries and of the ranks of adjacent
-parts; the least rank is looked for again and again, its boundary deleted, and the ranks beside it refreshed. Words
-longer than LONG bytes, for which scanning again and again would be quadratic, keep their ranks in a heap instead.
+parts; the least rank is looked for again and again, its boundary deleted, and the ranks beside it refreshed. New words
+of equal length are the rows of one matrix, so that each step is done for all of them at once. Words longer than LONG
+bytes, for which scanning again and again would be quadratic, keep their ranks in a heap instead.
 """
 
 from __future__ import annotations
@@ -11,20 +12,24 @@ import heapq
 import json
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LONG, CACHED_WORDS = 96, 200_000
+from lumenfold.llm.words import keyed_texts
+
+#: Bytes of a long word; words that a task remembers; characters that it codes at once.
+LONG, CACHED_WORDS, AT_ONCE = 96, 1 << 16, 1 << 19
 #: Fixed value: the pattern by which byte-level tokenizers of this family split a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: White space beside white space or at an end of the text.
-_UNEVEN = re.compile(r"\s\s|\A\s|\s\Z").search
+#: A space between two other characters belongs to the word after it, so a text falls apart there.
+_APART = re.compile(r"(?<=\S) (?=\S)")
 ID_BITS = 24
 _NONE, _ID = 1 << 62, (1 << ID_BITS) - 1
 
@@ -51,6 +56,8 @@ class Vocabulary:
         for rank, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             self.merges[ids[a], ids[b]] = rank << ID_BITS | ids[a + b]
+        #: the same, as sorted keys (left << ID_BITS | right) and values
+        self.pairs = np.array(sorted((a << ID_BITS | b, v) for (a, b), v in self.merges.items()), np.int64).reshape(-1, 2).T.copy()
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         size = max(*ids.values(), *self.special.values(), 0) + 1
         self.bytes_of = [b""] * size
@@ -59,22 +66,61 @@ class Vocabulary:
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
 
-    def merge(self, word: bytes) -> list[int]:
-        parts = [self.byte_ids[b] for b in word]
-        return self._merge_scan(parts) if len(parts) <= LONG else self._merge_heap(parts)
-
-    def _merge_scan(self, parts: list[int]) -> list[int]:
-        get = self.merges.get
-        ranks = [get(pair, _NONE) for pair in zip(parts, parts[1:], strict=False)]
-        while ranks and (least := min(ranks)) != _NONE:
-            i = ranks.index(least)  # the leftmost of ties
-            new = parts[i] = least & _ID
-            del parts[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = get((new, parts[i + 1]), _NONE)
-            if i:
-                ranks[i - 1] = get((parts[i - 1], new), _NONE)
-        return parts
+    def merge_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, number of ids of each)."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        return self.merge_flat(np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw)))
+
+    def merge_flat(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that lie in `data` one after the other."""
+        begin, counts, done = np.cumsum(lengths) - lengths, np.zeros(len(lengths), np.int64), []
+        table = np.array(self.byte_ids, np.int64)
+        for n in np.unique(lengths).tolist():
+            rows = np.flatnonzero(lengths == n)
+            if n > LONG:
+                done += [(rows[j : j + 1], np.array([self._merge_heap(table[data[begin[i] : begin[i] + n]].tolist())])) for j, i in enumerate(rows.tolist())]
+            else:
+                done += self._merge_rows(rows, table[data[begin[rows][:, None] + np.arange(n)]])
+        for rows, parts in done:
+            counts[rows] = parts.shape[1]
+        flat, begin = np.empty(counts.sum(), "<u4"), np.cumsum(counts) - counts
+        for rows, parts in done:
+            flat[begin[rows][:, None] + np.arange(parts.shape[1])] = parts
+        return flat, counts
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys, values = self.pairs
+        pair = left << ID_BITS | right
+        at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+        return np.where(keys[at] == pair, values[at], _NONE)
+
+    def _merge_rows(self, rows: np.ndarray, parts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, ids) of words of one length: `parts` has a word in each row."""
+        if parts.shape[1] < 2 or not self.pairs.shape[1]:
+            yield rows, parts
+            return
+        ranks = self._ranks(parts[:, :-1], parts[:, 1:])
+        while len(rows):
+            i = ranks.argmin(axis=1)  # the leftmost of ties
+            every = np.arange(len(rows))
+            least = ranks[every, i]
+            live = least != _NONE
+            yield rows[~live], parts[~live]
+            rows, parts, ranks, i, least = rows[live], parts[live], ranks[live], i[live], least[live]
+            every, width = every[: len(rows)], parts.shape[1] - 1
+            if not len(rows):
+                return
+            parts[every, i] = least & _ID
+            beside = np.arange(width)
+            keep = beside + (beside > i[:, None])
+            parts = np.take_along_axis(parts, keep, 1)
+            if width == 1:
+                yield rows, parts
+                return
+            ranks = np.take_along_axis(ranks, keep[:, :-1] + (beside[:-1] == i[:, None]), 1)
+            left, right = i > 0, i < width - 1
+            ranks[every[left], i[left] - 1] = self._ranks(parts[every[left], i[left] - 1], parts[every[left], i[left]])
+            ranks[every[right], i[right]] = self._ranks(parts[every[right], i[right]], parts[every[right], i[right] + 1])
 
     def _merge_heap(self, parts: list[int]) -> list[int]:
         n = len(parts)
@@ -98,56 +144,91 @@ class Vocabulary:
         return [p for p, live in zip(parts, alive, strict=True) if live]
 
 
-class _Cache(dict):
-    """Packed ids of what was met so far, by `code`; forgets all of it when full, and keeps nothing very long."""
-
-    def __init__(self, code):
-        self.code = code
-
-    def __missing__(self, key: str) -> bytes:
-        out = self.code(key)
-        if len(key) <= LONG:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[key] = out
-        return out
-
-
 class Coder:
-    """Encodes and decodes texts; one for each Python worker."""
+    """Encodes and decodes texts; one for each Python worker. What it remembers of words has a fixed bound."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, pack = vocabulary, struct.Struct
-        shapes = [pack(f"<{n}I").pack for n in range(LONG + 1)]
-
-        def of_word(word: str) -> bytes:
-            ids = vocabulary.merge(word.encode("utf-8", "surrogatepass"))
-            return shapes[len(ids)](*ids) if len(ids) <= LONG else np.array(ids, dtype="<u4").tobytes()
-
-        self.find = regex.compile(PATTERN).findall
-        self.words = _Cache(of_word)
-        self.spaced = _Cache(lambda piece: b"".join(map(self.words.__getitem__, self.find(" " + piece))))
+        self.vocabulary, self.find = vocabulary, regex.compile(PATTERN).findall
+        #: packed ids of what follows a space up to the next one
+        self.spaced: dict[str, bytes] = {}
         names = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
-    def _plain(self, text: str) -> bytes:
-        """A space between two other characters belongs to the word after it, so the text falls apart there."""
-        if _UNEVEN(text):
-            return b"".join(map(self.words.__getitem__, self.find(text)))
-        first, *pieces = text.split(" ")
-        return b"".join([*map(self.words.__getitem__, self.find(first)), *map(self.spaced.__getitem__, pieces)])
+    def _packed(self, texts: list[list[str]]) -> list[bytes]:
+        """Packed ids of texts that are lists of words."""
+        flat, counts = self.vocabulary.merge_all([w for words in texts for w in words])
+        ends = np.r_[0, np.cumsum(counts)][np.cumsum([len(words) for words in texts], dtype=np.int64)] * 4
+        data, start, out = flat.tobytes(), 0, []
+        for end in ends.tolist():
+            out.append(data[start:end])
+            start = end
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
+        new = [p for p in pieces if p not in self.spaced]
+        if len(self.spaced) + len(new) > CACHED_WORDS:
+            self.spaced.clear()
+            new = list(pieces)
+        if not new:
+            return
+        words = self.find(" " + " ".join(new))
+        first = [i for i, w in enumerate(words) if w[0] == " "]
+        if len(first) == len(new):
+            split = [words[i:j] for i, j in zip(first, [*first[1:], len(words)], strict=True)]
+        else:  # some hold white space
+            split = [self.find(" " + p) for p in new]
+        self.spaced.update(zip(new, self._packed(split), strict=True))
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        split = [_APART.split(t) for t in texts]
+        self._learn({p for s in split for p in s[1:]})
+        spaced, first = self.spaced.__getitem__, self._packed([self.find(s[0]) for s in split])
+        return [b"".join([f, *map(spaced, s[1:])]) for f, s in zip(first, split, strict=True)]
+
+    def _long(self, text: str) -> bytes:
+        """A text beyond AT_ONCE characters, in parts that end where it falls apart."""
+        out, start = [], 0
+        while start < len(text):
+            end = _APART.search(text, start + AT_ONCE)
+            stop = end.start() if end else len(text)
+            out += self._plain([text[start:stop]])
+            start = stop
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers. The strings of special tokens become those tokens."""
-        if not any(name in text for name in self.vocabulary.special):
-            return self._plain(text)
-        parts = self.special.split(text)
-        return b"".join(self._plain(p) if (i := self.vocabulary.special.get(p)) is None else struct.pack("<I", i) for p in parts)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        special, out, plain = self.vocabulary.special, [b""] * len(texts), []
+        for i, t in enumerate(texts):
+            if any(name in t for name in special):
+                out[i] = b"".join(self._long(p) if p not in special else struct.pack("<I", special[p]) for p in self.special.split(t))
+            elif len(t) > AT_ONCE:
+                out[i] = self._long(t)
+            else:
+                plain.append(i)
+        for i, ids in zip(plain, self._plain([texts[i] for i in plain]), strict=True):
+            out[i] = ids
+        return out
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
+def _slices(texts: Iterable[str | None]) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of about AT_ONCE characters together."""
+    first, held, size = 0, [], 0
+    for i, t in enumerate(texts):
+        held.append(t or "")
+        size += len(held[-1])
+        if size >= AT_ONCE:
+            yield first, held
+            first, held, size = i + 1, [], 0
+    if held:
+        yield first, held
+
+
 def encode(text: Column, vocabulary: Vocabulary) -> Column:
     """Binary column: the ids, packed as little-endian unsigned 32-bit integers; null counts as empty."""
 
@@ -155,7 +236,7 @@ def encode(text: Column, vocabulary: Vocabulary) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = Coder(vocabulary)
         for texts in batches:
-            yield pd.Series([coder.encode(t or "") for t in texts], dtype=object)
+            yield pd.Series([x for _, some in _slices(texts) for x in coder.encode_all(some)], dtype=object)
 
     return run(text)
 
@@ -180,14 +261,16 @@ def encode_and_decode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "do
     left out (`encode` and `decode` add a column to any table).
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(vocabulary)
-        for pdf in batches:
-            ids = [coder.encode(t or "") for t in pdf["_text"]]
-            yield pd.DataFrame({"_id": pdf["_id"], "ids": pd.Series(ids, dtype=object), "decoded": pd.Series([coder.decode(x) for x in ids], dtype=object)})
+        for batch in batches:
+            for first, texts in _slices(t for _, t in keyed_texts(batch)):
+                ids = coder.encode_all(texts)
+                columns = [batch.column(0).slice(first, len(ids)), pa.array(ids, pa.binary()), pa.array([coder.decode(x) for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["_id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, f"_id {kind}, ids binary, decoded string").withColumnRenamed("_id", id_col)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, ids binary, decoded string").withColumnRenamed("_id", id_col)
 
 
 def vocabulary_path() -> str:

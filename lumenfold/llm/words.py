@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +16,7 @@ from lumenfold.llm.fingerprint import kgram_hashes
 BROADCAST_BYTES = 32 << 20
 #: Ids that are null sort after all others.
 NULL_ID = 2**63 - 1
-_CACHED = 300_000
+_CACHED = 1 << 16
 
 
 class WordHashes(dict):
@@ -30,6 +33,13 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def keyed_texts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple]:
+    """(key, text) of a batch of two columns; few texts at a time are Python objects, the others stay as they came."""
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Runs of [^\\x20\\x09-\\x0D], in UTF-8: what bytes.split() takes for words."""
     return (text or "").encode("utf-8", "surrogatepass").split()
