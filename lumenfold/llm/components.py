@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import cut_lineage
+from lumenfold.llm.common import cut_lineage, join_hot
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,15 +16,16 @@ def components(links: DataFrame) -> DataFrame:
     """
     ends = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     edges = cut_lineage(ends.union(ends.select("v", "u")).filter("u <> v").distinct())
-    labels = edges.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("id")).alias("component"))
-    labels = cut_lineage(labels)
+    labels = cut_lineage(edges.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("id")).alias("component"), F.count(F.lit(1)).alias("_links")))
     while True:
-        near = edges.join(labels.select(F.col("id").alias("v"), "component"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("_near"))
-        step = labels.join(near, "id").select("id", F.col("component").alias("_old"), F.least("component", "_near").alias("_new"))
+        ends = labels.select(F.col("id").alias("v"), "component", "_links")
+        near = join_hot(edges, ends, "v", "_links", -F.abs(F.col("u")) - 1).groupBy(F.col("u").alias("id")).agg(F.min("component").alias("_near"))
+        step = cut_lineage(labels.join(near, "id").select("id", "_links", F.col("component").alias("_old"), F.least("component", "_near").alias("_new")))
         # a label is an end itself, so its own label is there too
-        jump = step.select(F.col("id").alias("_new"), F.col("_new").alias("_far"))
-        after = cut_lineage(step.join(jump, "_new").select("id", "_old", F.least("_new", "_far").alias("component")))
+        heads = step.groupBy("_new").agg(F.count(F.lit(1)).alias("_n"))
+        jump = cut_lineage(heads.join(step.select(F.col("id").alias("_new"), F.col("_new").alias("_far")), "_new"))
+        after = cut_lineage(join_hot(step, jump, "_new", "_n", -F.abs(F.col("id")) - 1).select("id", "_links", "_old", F.least("_new", "_far").alias("component")))
         changed = not after.filter("component <> _old").isEmpty()
-        labels = after.select("id", "component")
+        labels = after.select("id", "component", "_links")
         if not changed:
-            return labels
+            return labels.drop("_links")

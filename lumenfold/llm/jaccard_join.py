@@ -17,14 +17,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import cut_lineage
+from lumenfold.llm.common import cut_lineage, hot_keys, join_salted, packed
 from lumenfold.llm.components import components
-from lumenfold.llm.words import WordHashes, join_side, row_name, shingle_set
+from lumenfold.llm.words import WordHashes, join_side, keyed_texts, row_name, shingle_set
 
 #: Shingle length in words; threshold as a fraction; min-hashes, and how many of them a
 #: document shares with the hubs it is compared with first, and how many these
@@ -34,39 +34,41 @@ WORDS, OVER, UNDER, MIN_HASHES, MET, HUBS, MOST_SHARED, VERIFY = 5, 75, 100, 8,
 #: Least bits of a parity bitmap, and bits of the one that goes along with a shingle.
 BITS, FOLDED = 2048, 512
 #: Documents and shingles of a slice, how many of its documents hold a frequent shingle, and how many frequent shingles
-#: are told apart; shingles of the sets that a task hands over at once.
-SLICE, SLICE_SHINGLES, OFTEN, KEPT, HANDED = 4000, 1 << 22, 4, 1 << 18, 1 << 19
+#: are told apart; shingles of the sets that a task hands over at once. Shingles that two documents of a slice hold must
+#: count as frequent: long documents that share a passage would otherwise meet on it, all with all.
+SLICE, SLICE_SHINGLES, OFTEN, KEPT, HANDED = 4000, 1 << 21, 2, 1 << 18, 1 << 19
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, MIN_HASHES, dtype=np.uint64) | np.uint64(1)
 
 
-def _in_slices(pdf: pd.DataFrame, cache: WordHashes, k: int, most_rows: int, most_shingles: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(first row, sets of it and the next ones), with at most so many rows, and shingles but for the last set.
+def _in_slices(batches: Iterator[pa.RecordBatch], k: int, most_rows: int, most_shingles: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """(keys, sets) of slices of the batches (_key, _text), with at most so many rows, and shingles but for the last set.
 
-    A caller may clear the list when it is done with it.
+    A caller may clear the lists when it is done with them.
     """
-    first, sets, held = 0, [], 0
-    for i, text in enumerate(pdf["_text"]):
-        sets.append(shingle_set(text, cache, k))
-        held += len(sets[-1])
-        if len(sets) == most_rows or held >= most_shingles:
-            yield first, sets
-            first, sets, held = i + 1, [], 0
-    if sets:
-        yield first, sets
+    cache = WordHashes()
+    for batch in batches:
+        keys, sets, held = [], [], 0
+        for key, text in keyed_texts(batch):
+            keys.append(key)
+            sets.append(shingle_set(text, cache, k))
+            held += len(sets[-1])
+            if len(sets) == most_rows or held >= most_shingles:
+                yield keys, sets
+                keys, sets, held = [], [], 0
+        if sets:
+            yield keys, sets
 
 
 def _frequent(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
-        for pdf in batches:
-            for _, sets in _in_slices(pdf, cache, k, SLICE, SLICE_SHINGLES):
-                every = np.concatenate(sets)
-                sets.clear()
-                every.sort()
-                first, last = every[: max(len(every) - OFTEN + 1, 0)], every[OFTEN - 1 :]
-                token = np.unique(first[first == last])
-                n = np.searchsorted(every, token, "right") - np.searchsorted(every, token, "left")
-                yield pd.DataFrame({"token": token.view(np.int64), "n": n.astype(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _in_slices(batches, k, SLICE, SLICE_SHINGLES):
+            every = np.concatenate(sets)
+            sets.clear()
+            every.sort()
+            first, last = every[: max(len(every) - OFTEN + 1, 0)], every[OFTEN - 1 :]
+            token = np.unique(first[first == last])
+            n = np.searchsorted(every, token, "right") - np.searchsorted(every, token, "left")
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
     return run
 
@@ -77,9 +79,9 @@ def frequent_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     Any order of shingles gives the same links. This one only has to put the frequent ones last, so those that no slice
     holds often count as rare, and the table has a fixed size.
     """
-    counts = rows.select("_text").mapInPandas(_frequent(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "token").limit(KEPT).toPandas()
-    tokens, n = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    counts = rows.select("_key", "_text").mapInArrow(_frequent(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.col("n").desc(), "token").limit(KEPT).toArrow()
+    tokens, n = top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(tokens)
     return tokens[order], n[order]
 
@@ -120,37 +122,38 @@ def bits_for(n: int) -> int:
     return max(BITS, 1 << (n - 1).bit_length())
 
 
+_LONGS = pa.list_(pa.int64())
+_SIGNED = pa.schema([("_key", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("mins", _LONGS), ("bits", _LONGS), ("fold", _LONGS), ("common", pa.int64()), ("shared", pa.int32()), ("prefix", _LONGS)])
+
+
 def _sign(k: int, tokens: np.ndarray, counts: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
-        for pdf in batches:
-            keys = pdf["_key"].to_numpy()
-            for first, sets in _in_slices(pdf, cache, k, SLICE, HANDED):
-                out = []
-                for key, s in zip(keys[first : first + len(sets)], sets, strict=True):
-                    n = len(s)
-                    if not n:
-                        out.append((key, 0, None, None, None, None, 0, 0, None))
-                        continue
-                    seen = _counts_of(s, tokens, counts)
-                    order = np.argsort(seen, kind="stable")  # ties in the order of hashes
-                    shared = choose_shared(seen[order], n)
-                    prefix = s[order[: n - least_overlap(n) + shared]]
-                    mins = [int((s * m).min()) >> 1 for m in _MULTIPLIERS]
-                    out.append((key, n, xxhash.xxh3_128_digest(s.tobytes()), np.array(mins, np.int64), parity_bits(s, bits_for(n)), parity_bits(s, FOLDED), int(seen.mean()), shared, prefix.view(np.int64)))
-                sets.clear()
-                yield pd.DataFrame(out, columns=["_key", "n", "digest", "mins", "bits", "fold", "common", "shared", "prefix"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, sets in _in_slices(batches, k, SLICE, HANDED):
+            out = []
+            for key, s in zip(keys, sets, strict=True):
+                n = len(s)
+                if not n:
+                    out.append((key, 0, None, None, None, None, 0, 0, None))
+                    continue
+                seen = _counts_of(s, tokens, counts)
+                order = np.argsort(seen, kind="stable")  # ties in the order of hashes
+                shared = choose_shared(seen[order], n)
+                prefix = s[order[: n - least_overlap(n) + shared]]
+                mins = [int((s * m).min()) >> 1 for m in _MULTIPLIERS]
+                out.append((key, n, xxhash.xxh3_128_digest(s.tobytes()), np.array(mins, np.int64), parity_bits(s, bits_for(n)), parity_bits(s, FOLDED), int(seen.mean()), shared, prefix.view(np.int64)))
+            sets.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(column, type=field.type) for column, field in zip(zip(*out, strict=True), _SIGNED, strict=True)], schema=_SIGNED)
 
     return run
 
 
 def _sets(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
-        for pdf in batches:
-            keys = pdf["_key"].to_numpy()
-            for first, sets in _in_slices(pdf, cache, k, SLICE, HANDED):
-                yield pd.DataFrame({"_key": keys[first : first + len(sets)], "set": pd.Series([s.view(np.int64) for s in sets], dtype=object)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, sets in _in_slices(batches, k, SLICE, HANDED):
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            values = np.concatenate(sets).view(np.int64)
+            sets.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["_key", "set"])
 
     return run
 
@@ -182,14 +185,15 @@ def _compare(rows: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, repeats
     ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct())
     bits = join_side(reps.select("_key", "n", "bits"), ids, "_key", "left_semi", F.lit(16)).repartition("_key")  # dealt once, read twice
     side = lambda t, key, x: t.select(F.col("_key").alias(key), *[F.col(c).alias(f"_{c}{x}") for c in t.columns if c != "_key"])
-    near = pairs.join(side(bits, "a", 1), "a").join(side(bits, "b", 2), "b")
+    hubs = hot_keys(pairs, "a")  # a hub may be compared with a third of all
+    near = join_salted(pairs, side(bits, "a", 1), "a", hubs, F.col("b")).join(side(bits, "b", 2), "b")
     near = near.select("a", "b", (F.col("_n1") + F.col("_n2")).alias("_sum"), _least_difference().alias("_differ"))
     near = cut_lineage(near.withColumn("_far", (OVER + UNDER) * F.col("_differ") > (UNDER - OVER) * F.col("_sum")))
     close = near.filter("NOT _far").select("a", "b")
     some = cut_lineage(close.select(F.explode(F.array("a", "b")).alias("_key")).distinct())
-    sets = join_side(rows, some, "_key", "left_semi", F.lit(16)).mapInPandas(_sets(k), "_key long, set array<long>")
+    sets = join_side(rows, some, "_key", "left_semi", F.lit(16)).mapInArrow(_sets(k), "_key long, set array<long>")
     sets = sets.dropDuplicates(["_key"]) if repeats else sets.repartition("_key")
-    both = close.join(side(sets, "b", 2), "b").join(side(sets, "a", 1), "a")
+    both = join_salted(close.join(side(sets, "b", 2), "b"), side(sets, "a", 1), "a", hot_keys(close, "a"), F.col("b"))
     both = both.withColumn("_both", F.size(F.array_intersect("_set1", "_set2"))).withColumn("_all", F.size("_set1") + F.size("_set2") - F.col("_both"))
     apart = 1 - F.col("_both") / F.col("_all")
     told = both.select("a", "b", (UNDER * F.col("_both") >= OVER * F.col("_all")).alias("linked"), apart.alias("low"), apart.alias("high"))
@@ -235,7 +239,7 @@ def _linked(docs: DataFrame, k: int, text_col: str, key: Column, names: DataFram
     rows = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
     repeats = names is not None
     tokens, counts = frequent_shingles(rows, k)
-    signed = rows.mapInPandas(_sign(k, tokens, counts), "_key long, n int, digest binary, mins array<long>, bits array<long>, fold array<long>, common long, shared int, prefix array<long>")
+    signed = rows.mapInArrow(_sign(k, tokens, counts), "_key long, n int, digest binary, mins array<long>, bits array<long>, fold array<long>, common long, shared int, prefix array<long>")
     signed = cut_lineage(signed.dropDuplicates(["_key"]) if repeats else signed)
 
     classes = signed.filter("n > 0").groupBy("digest").agg(F.min("_key").alias("rep"))
@@ -295,18 +299,22 @@ def _linked(docs: DataFrame, k: int, text_col: str, key: Column, names: DataFram
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS) -> DataFrame:
-    """One row of `docs` for each group, that of the least id, with all its columns; rows without shingles all stay."""
+    """One row of `docs` for each group, that of the least id, with all its columns; rows without shingles all stay.
+
+    Such rows are those of a null or empty text. A null id comes after all others; of rows equal in id and text one
+    stays. An empty table gives an empty result; names of columns are free.
+    """
     key, names = _nodes(docs, id_col, text_col)
     nodes = _linked(docs, k, text_col, key, names)
     gone = cut_lineage(nodes.filter("_key <> _rep").select("_key"))
-    keyed = docs.withColumn("_key", key)
+    keyed = packed(docs, key.alias("_key"))
     left = join_side(keyed, gone, "_key", "left_anti", F.lit(16))
     if names is not None:
         # rows equal in id and text share a key, and one of them stays
         again = cut_lineage(nodes.filter("_key = _rep AND n > 0").join(names.filter("_rows > 1"), "_key", "left_semi").select("_key"))
         one = join_side(keyed, again, "_key", "left_semi", F.lit(16)).dropDuplicates(["_key"])
         left = join_side(left, again, "_key", "left_anti", F.lit(16)).unionByName(one)
-    return left.drop("_key")
+    return left.select("row.*")
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
