@@ -99,14 +99,17 @@ def fingerprint(text: Column, k: int = K, w: int = WINDOW) -> Column:
 def in_ranges(docs: DataFrame, id_col: str, text_col: str, ranges: int) -> DataFrame:
     """(_range, _ghost, _key, _text) with each row in the range of its id and, as a ghost, after the range above.
 
-    Ranges are equal parts of the span of ids, so a range's successor in descending order is known from one small
+    Ranges hold about as many rows each, so a range's successor in descending order is known from one small
     table of the largest id in each range.
     """
+    from pyspark.ml.feature import Bucketizer  # tasks that import this module don't need it
+
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    low, high = docs.agg(F.min(id_col).cast("long"), F.max(id_col).cast("long")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // ranges))
-    place = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(F.floor((F.col(id_col).cast("decimal(20,0)") - F.lit(low)) / F.lit(width))).cast("long")
+    cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or [0]
+    splits = [-float("inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    # ids that are one as doubles share a range
+    docs = Bucketizer(splits=splits, inputCol="_double", outputCol="_bucket", handleInvalid="keep").transform(docs.select(id_col, text_col, F.col(id_col).cast("double").alias("_double")))
+    place = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(F.col("_bucket")).cast("long")
     rows = docs.select(key.alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(id_col).alias("_id"), place.alias("_range"))
     heads = [tuple(r) for r in rows.groupBy("_range").agg(F.max("_key")).collect()]  # a row for each of `ranges`
     heads.sort(reverse=True)

@@ -85,6 +85,8 @@ SPELLINGS = (
 )
 
 
+#: Digests that go along with every task at most, about 100 bytes each.
+BROADCAST_DIGESTS = 100_000
 #: A line of a copyright notice, with a mark, a year or a place for it. The SQL still has any line that starts with the word.
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;>-]*(copyright[ \t:,]*(\(c\)|©|[\[<{]|(19|20)[0-9][0-9])|\(c\)[^\n]*\b(19|20)[0-9][0-9]|©)[^\n]*$"
 SQL_COPYRIGHT_LINE = r"(?m)^[ \t#*/;>-]*(copyright|\(c\)|©)[^\n]*$"
@@ -111,8 +113,17 @@ def _steps(copyright_line: str = COPYRIGHT_LINE, gap: str = GAP) -> list[tuple[s
 def canonical(text: Column) -> Column:
     """The canonical text, lines kept; null counts as empty."""
     out = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, by in _steps():
-        out = F.regexp_replace(out, pattern, by)
+    steps = _steps()
+    spelled = [s for s in steps if s[0].startswith(r"\b")]
+    any_spelling = "|".join(pattern for pattern, _ in spelled)
+    for i, (pattern, by) in enumerate(steps):
+        if (pattern, by) not in spelled:
+            out = F.regexp_replace(out, pattern, by)
+        elif steps[i - 1] not in spelled:  # few texts hold any of the spellings
+            chain = out
+            for p, b in spelled:
+                chain = F.regexp_replace(chain, p, b)
+            out = F.when(out.rlike(any_spelling), chain).otherwise(out)
     return out
 
 
@@ -153,8 +164,8 @@ def known_digests(spark: SparkSession, known=KNOWN + FULL) -> DataFrame:
 def scan_licenses(docs: DataFrame, digests: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document, licence and scope found: id, license_id, scope (text, paragraph, run or line), n.
 
-    The digests are joined as the planner sees fit: broadcast while their known size is small, else shuffled; what starts
-    the known texts of several paragraphs comes to the driver. A run within a longer one that is known too counts as well.
+    Up to BROADCAST_DIGESTS digests are broadcast, more are joined by a shuffle; what starts the known texts of several
+    paragraphs comes to the driver. A run within a longer one that is known too counts as well.
     A null or empty text has no unit and no row; repeated rows of an id add up; a null id is a group of its own; further
     columns of `docs` are left out, an empty table gives an empty result.
     """
@@ -164,6 +175,7 @@ def scan_licenses(docs: DataFrame, digests: DataFrame, id_col: str = "doc_id", t
     canon = docs.select(F.col(id_col), canonical(F.col(text_col)).alias("_canon")).select(id_col, "_canon", _paragraphs(F.col("_canon")).alias("_parts"))
     units = canon.select(id_col, F.explode(_units("_canon", "_parts", firsts)).alias("_u"))
     names = digests.select("license_id", "digest").distinct()
+    names = F.broadcast(names) if names.count() <= BROADCAST_DIGESTS else names
     found = units.select(id_col, "_u.scope", F.sha2("_u.unit", 256).alias("_digest")).join(names, F.col("_digest") == F.col("digest"))
     return found.groupBy(id_col, "license_id", "scope").agg(F.count(F.lit(1)).alias("n"))
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import cut_lineage, running_start, word_count
+from lumenfold.llm.common import cut_lineage, packed, running_start, word_count
+from lumenfold.llm.words import row_name
 
 #: Weights of the sources in code point order, null last, repeating; share of all words that the mix holds; epochs at most.
 WEIGHTS, SHARE, EPOCHS, SEED = (5, 2, 1), 1.5, 2, "mix-1"
@@ -50,26 +51,45 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     table gives an empty result, further columns are left out. The order depends on ids and seed alone, so reruns and
     recomputed partitions agree.
     """
-    sized = cut_lineage(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"), F.lit(None).cast("string").alias("_name"))
+    return _mixed(rows, weights, share, epochs, seed).select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "start", "taken")
+
+
+def _mixed(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    """(_id, _name, source, size, source_size, target, start, taken) of rows (_id, _source, _text, _name)."""
+    sized = cut_lineage(rows.select("_id", F.col("_source").alias("source"), word_count(F.col("_text")).alias("size"), "_name"))
     keyed = sized.withColumn("_key", key_of("_id", seed)).withColumn("_range", F.substring("_key", 1, 3))
-    placed = running_start(keyed, ["source"], "_range", ["_key", "size"], F.col("size"), "start")
+    placed = running_start(keyed, ["source"], "_range", ["_key", "size", "_name"], F.col("size"), "start")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs)
     targets = targets.withColumnRenamed("source", "_source")
     out = placed.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left")
     whole = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.floor("target").cast("long") - whole * F.col("source_size")
     taken = whole * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("start")))
-    return out.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "start", taken.cast("long").alias("taken"))
+    return out.select("_id", "_name", "source", "size", "source_size", "target", "start", taken.cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
-    """The rows of `docs` as often as the mix takes them, whole: the document that a cut falls into is taken whole.
+    """The rows of `docs` as often as the mix takes them, whole, with all their columns.
 
-    A document of no words is taken as often as its source has whole epochs, once at least.
+    The document that a cut falls into is taken whole. One of no words (a null text too) is taken as often as its
+    source has whole epochs, once at least. Null ids and the null source are taken like others. Rows that share an id
+    are told apart by their text; rows equal in both are taken as often as all of them together. An empty table gives
+    an empty result; names of columns are free.
     """
-    taken = mix_sources(docs, id_col, source_col, text_col, **how).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(1))).cast("int").alias("_copies"))
-    picked = docs.join(taken.filter("_copies > 0"), F.col(id_col).eqNullSafe(F.col("_id")))
-    return picked.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    name = row_name(id_col, text_col)
+    narrow = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"), name.alias("_name"))
+    mixed = _mixed(narrow, **how)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.greatest(F.lit(1), whole)).cast("int")
+    taken = mixed.withColumn("_copies", copies).groupBy("_name").agg(F.sum("_copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    taken = cut_lineage(taken.filter("_copies > 0"))
+    picked = packed(docs, name.alias("_name")).join(taken, "_name")
+    again = taken.filter("_rows > 1").select("_name")
+    if not again.isEmpty():
+        one = picked.join(again, "_name", "left_semi").dropDuplicates(["_name"])
+        picked = picked.join(again, "_name", "left_anti").unionByName(one)
+    return picked.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.common import packed
+
 #: Grades; hashed features; rated rows that a fit takes at most; rows that must show a feature; least
 #: deviation, in standard errors, of the mean grade of these rows; ridge; steps.
 GRADES, FEATURES, SAMPLE, LEAST_ROWS, LEAST_Z, RIDGE, STEPS = 3, 1 << 18, 6000, 4, 3.5, 1e-4, 150
@@ -24,7 +26,7 @@ GRADES, FEATURES, SAMPLE, LEAST_ROWS, LEAST_Z, RIDGE, STEPS = 3, 1 << 18, 6000,
 TAIL = 0.75
 #: Letters of a word's stem; value of a word or stem that occurs, however long the text.
 STEM, OCCURS = 5, 0.3
-_CACHED = 200_000
+_CACHED = 1 << 16
 
 
 def grade_of(quality: Column, toxic: Column) -> Column:
@@ -118,7 +120,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, classes:
 
 
 def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most `sample` rated documents, those of least id hash; `ratings` has the id and `grade` (null: unrated)."""
+    """Fit on at most `sample` rated documents, those of least id hash; `ratings` has the id and `grade` (null: unrated).
+
+    Ids are integers. An id that is repeated counts once, with its least text and grade, so no more than `sample` rows
+    reach the driver and reruns agree.
+    """
     order = F.md5(F.col("_id").cast("string"))
     rated = ratings.select(F.col(id_col).alias("_id"), "grade").filter("_id IS NOT NULL AND grade IS NOT NULL").groupBy("_id").agg(F.min("grade").alias("grade"))
     # ids that are rated but have no document count towards the bound
@@ -131,8 +137,9 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, id_col: str
             got = [features.of(t) for t in pdf["_text"]]
             yield pd.DataFrame({"_id": pdf["_id"], "grade": pdf["grade"], "cells": pd.Series([c.astype("<i4").tobytes() for c, _ in got], dtype=object), "values": pd.Series([x.astype("<f4").tobytes() for _, x in got], dtype=object)})
 
+    picked = picked.groupBy("_id").agg(F.min("_text").alias("_text"), F.min("grade").alias("grade"))
     rows = picked.select("_id", "grade", "_text").mapInPandas(run, "_id long, grade int, cells binary, values binary").toPandas()
-    rows = rows.drop_duplicates("_id").sort_values("_id")
+    rows = rows.sort_values("_id")
     return fit([(np.frombuffer(c, "<i4").astype(np.int64), np.frombuffer(x, "<f4").astype(float)) for c, x in zip(rows["cells"], rows["values"], strict=True)], rows["grade"].to_numpy(dtype=np.int64))
 
 
@@ -156,7 +163,7 @@ def keep_good(docs: DataFrame, ratings: DataFrame, tail: float = TAIL, id_col: s
     fit an id counts once); an empty table gives an empty result. Without any rating every document is kept.
     """
     model = train(docs, ratings, id_col=id_col, text_col=text_col)
-    return docs.withColumn("_rated", rate(F.col(text_col), model)).filter(F.col("_rated.tail") >= tail).drop("_rated")
+    return packed(docs, rate(F.col(text_col), model).alias("_rated")).filter(F.col("_rated.tail") >= tail).select("row.*")
 
 
 def label_grades(spark, sf_dir: str) -> DataFrame:
