@@ -173,7 +173,7 @@ e AS (SELECT viewport, row_number() OVER (PARTITION BY viewport ORDER BY y, sect
 
 @query("d19_spine", f"WITH {_SPINE} SELECT * FROM e")
 def _(t):
-    return sections.spine(_sections(t), ["viewport"], F.lit(900.0))
+    return sections.spine(_sections(t), ["viewport"], F.lit(900.0)).withColumn("height", F.round("height", 3))
 
 
 @query("d19_spine_summary", f"""WITH {_SPINE}, f AS (SELECT viewport, category, min(band) AS first FROM e GROUP BY ALL), a AS (SELECT viewport, string_agg(category, ' → ' ORDER BY first) AS page_arc FROM f GROUP BY viewport) SELECT viewport, page_arc FROM a""")
