@@ -148,7 +148,7 @@ def test_quality_on_held_out_rows(spark):
     model = quality.train(docs, even)
     got = docs.join(odd, "doc_id").select("grade", (quality.rate(quality.F.col("text"), model)["tail"] >= quality.TAIL).alias("kept")).toPandas()
     share = got.groupby("grade")["kept"].mean()
-    assert share[0] < 0.05 and share[1] < 0.4 and share[2] > 0.95
+    assert share[0] < 0.02 and share[1] < 0.3 and share[2] > 0.95
 
 
 def test_pipeline(spark, tmp_path):
@@ -223,3 +223,168 @@ def test_licences_under_any_wrap(spark):
 def test_licences_in_longer_texts(spark):
     head, tail = "A readme of a tool.\n\nThe MIT License (MIT)\n\nCopyright 2020 A B\n\n", "\n\nAnd more.\n\nSo much."
     assert _licences(spark, [head + license_scan._MIT + tail, head + license_scan._ISC, license_scan._APACHE + tail, head + tail]) == [["MIT"], ["ISC"], ["Apache-2.0"], []]
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, row string, _id string, _name string, _key string, _copies int, _copy int, _gone string, _rated string, _row_name string, _n int, component string"
+
+
+def _clashing(spark, data):
+    return spark.createDataFrame([(i, t, "en", s, 0, "r", "i", "n", "k", 7, 8, "g", "q", "w", 9, "c") for i, t, s in data], CLASH)
+
+
+@pytest.mark.parametrize("name", ["quality", "exact", "near", "mix"])
+@pytest.mark.parametrize("empty", [True, False])
+def test_filters_keep_columns_of_any_name(spark, name, empty):
+    docs = _clashing(spark, [] if empty else [(1, _A, "a"), (2, _B, None), (None, None, "b"), (3, "word " * 20_000, "b")])
+    forms = {"quality": lambda d: quality.keep_good(d, spark.createDataFrame([], "doc_id long, grade int")), "exact": exact_dedup.drop_copies, "near": jaccard_join.one_of_each, "mix": mixing.mixed_documents}
+    out = forms[name](docs)
+    assert out.columns == docs.columns
+    got = {tuple(r) for r in out.collect()}
+    assert got == {tuple(r) for r in docs.collect()}
+
+
+def test_mixed_documents_by_brute_force(spark):
+    data = [(i, " ".join(["w"] * (i % 7)), "abc"[i % 3] if i % 5 else None) for i in range(60)] + [(7, "other text", "a"), (None, "x y", "a"), (None, "z", "b"), (4, "w w w w", "b"), (4, "w w w w", "b")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    mixed = mixing.mix_sources(docs).collect()
+    want: dict = {}
+    for r in mixed:
+        whole = int(r["target"] // r["source_size"]) if r["source_size"] else 0
+        n = -(-r["taken"] // r["size"]) if r["size"] else max(1, whole)
+        want[r["doc_id"], r["source"], r["size"]] = want.get((r["doc_id"], r["source"], r["size"]), 0) + n
+    got: dict = {}
+    for r in mixing.mixed_documents(docs).collect():
+        key = (r["doc_id"], r["source"], len((r["text"] or "").split()))
+        got[key] = got.get(key, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+
+
+def test_shards_keep_groups_whole(spark):
+    out = queries.QUERIES["op5_sharding"](spark, "/root/testdata/sf0.01").select("doc_id", "shard", "size").toPandas()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").toPandas()
+    both = out.merge(docs, on="doc_id")
+    loads = both.groupby("shard")["size"].sum()
+    groups = both.groupby("text").agg(shards=("shard", "nunique"), size=("size", "sum"))
+    assert (groups["shards"][groups["size"] <= loads.mean()] == 1).all()
+    # a plain packing of the same groups, one lane: the same shard for each
+    vectors = both.assign(words=[len([w for w in t.encode().split()]) for t in both["text"]], rows=1).groupby("text").agg(size=("size", "sum"), words=("words", "sum"), rows=("rows", "sum")).reset_index()
+    vectors["name"] = [hashlib.sha256(t.encode()).hexdigest() + ":0" for t in vectors["text"]]
+    if (groups["shards"] > 1).any():
+        return
+    vectors = vectors.sort_values(["size", "words", "rows", "name"], ascending=[False, False, False, True])
+    totals = vectors[["size", "words", "rows"]].sum() / 40
+    residual, want = [[1.0, 1.0, 1.0] for _ in range(40)], {}
+    for t, *v in vectors[["text", "size", "words", "rows"]].itertuples(index=False):
+        v = [x / n for x, n in zip(v, totals, strict=True)]
+        best = max(range(40), key=lambda s: (round(sum(a * b for a, b in zip(residual[s], v, strict=True)), 12), -s))
+        residual[best] = [a - b for a, b in zip(residual[best], v, strict=True)]
+        want[t] = best
+    same = sum(want[t] == s for t, s in zip(both["text"], both["shard"], strict=True))
+    assert same >= 0.9 * len(both)
+
+
+def test_likeness_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").filter("length(text) < 3000").orderBy(fingerprint.F.desc("doc_id")).limit(40)
+    rows_ = docs.collect()
+    got = {r["doc_id"]: r for r in fingerprint.compare_neighbours(docs).collect()}
+
+    def chosen(text, k=fingerprint.K, w=fingerprint.WINDOW):
+        k = min(k, len(text))
+        grams = fingerprint.kgram_hashes(np.frombuffer(text.encode("utf-32-le"), np.uint32), k) if text else []
+        top = [int(g) >> (64 - fingerprint.HASH_BITS) for g in grams]
+        w = min(w, len(top))
+        return {top[max(i for i in range(s, s + w) if top[i] == min(top[s : s + w]))] for s in range(len(top) - w + 1)} if top else set()
+
+    for i, d in enumerate(rows_):
+        nxt, part = rows_[(i + 1) % len(rows_)]["text"], len(d["text"]) // 3
+        a, b, e = chosen(d["text"]), chosen(nxt), chosen(d["text"][: len(d["text"]) - part] + nxt[:part])
+        like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+        assert abs(got[d["doc_id"]]["near_edited"] - like(a, e)) < 1e-9
+        assert abs(got[d["doc_id"]]["near_next"] - like(a, b)) < 1e-9
+
+
+def test_one_outlying_id_leaves_the_ranges_even(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(1000)] + [(10**15, "far")], "doc_id long, text string")
+    ranges = fingerprint.in_ranges(docs, "doc_id", "text", 16).filter("_ghost = 0").groupBy("_range").count().collect()
+    assert len(ranges) == 16 and max(r["count"] for r in ranges) < 200
+
+
+def test_fit_against_a_grid(spark):
+    """One feature and two thresholds: the likelihood of the fit is that of the best of a fine grid."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2, 400)
+    u = rng.logistic(size=400) + 2.5 * x
+    grades = (u > 0.5).astype(int) + (u > 2.0).astype(int)
+    rows_ = [(np.array([5] if v else [], dtype=np.int64), np.array([1.0] if v else [])) for v in x]
+    model = quality.fit(rows_, grades)
+
+    def loss(weight, cuts):
+        sig = lambda z: 1 / (1 + np.exp(-z))
+        upper, lower = np.r_[cuts, np.inf][grades] - weight * x, np.r_[-np.inf, cuts][grades] - weight * x
+        return -np.mean(np.log(np.maximum(sig(upper) - sig(lower), 1e-12)))
+
+    grid = min(loss(w, np.array([a, a + g])) for w in np.arange(1, 4, 0.1) for a in np.arange(-0.5, 1.5, 0.1) for g in np.arange(0.5, 3, 0.1))
+    assert loss(float(model.weights[5]), model.thresholds) < grid + 0.005
+    assert model.thresholds[0] < model.thresholds[1]
+
+
+def test_stages_by_brute_force(spark, tmp_path):
+    """What each stage of the pipeline keeps, from what the one before it kept."""
+    import corpus_pipeline
+
+    docs, kept = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        kept.append({r["doc_id"]: r["text"] for r in docs.collect()})
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+    after = [*kept[1:], {r["doc_id"]: r["text"] for r in docs.collect()}]
+    model, features = quality.train(spark.read.parquet(f"{SF}/documents.parquet"), quality.label_grades(spark, SF)), quality.Features()
+    assert set(after[0]) == {i for i, t in kept[0].items() if model.tails(t, features)[-1] >= quality.TAIL}
+    groups: dict = {}
+    for i, t in kept[1].items():
+        groups.setdefault("".join((t or "").translate({c: None for c in (32, *range(9, 14))})), []).append((-len(t or ""), i))
+    assert set(after[1]) == {min(g)[1] for g in groups.values()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").encode().lower().split()) else set() for i, t in kept[2].items()}
+    links = {(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    least = {i: i for i in sets}
+    while any(least[a] != least[b] for a, b in links):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert set(after[2]) == {i for i in sets if least[i] == i}
+    assert set(after[3]) <= set(kept[3])
+
+
+def test_repeats_of_shared_and_null_ids(spark):
+    """Documents of one id, or without one, are told apart; equal rows are decided alike."""
+    a, b = " ".join(f"p{i}" for i in range(40)), " ".join(f"q{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, a), (1, b), (1, b), (2, a + " " + b), (None, b), (None, "x y")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs).collect()), key=str)
+    assert got == [(1, 40, 0), (1, 40, 0), (1, 40, 0), (2, 80, 80), (None, 2, 0), (None, 40, 40)]
+    spans = substring_dedup.remove_repeats(docs).filter("doc_id = 2").first()["repeats"]
+    assert [tuple(s) for s in spans] == [(0, 80)]
+
+
+def test_repeats_by_brute_force(spark):
+    random.seed(11)
+    words = [f"w{i}" for i in range(30)]
+    passages = [random.choices(words, k=random.randint(20, 60)) for _ in range(6)]
+    texts = []
+    for i in range(60):
+        t = random.choices(words, k=random.randint(0, 60))
+        for _ in range(random.randint(0, 3)):
+            p = random.choice(passages)
+            start = random.randint(0, len(p) // 2)
+            t[random.randint(0, len(t)) : 0] = p[start : start + random.randint(15, 60)]
+        texts.append(t)
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        gone = [False] * len(t)
+        for s in range(len(t) - 19):
+            win = tuple(t[s : s + 20])
+            if win in seen:
+                gone[s : s + 20] = [True] * 20
+            seen.add(win)
+        want[i] = (sum(gone), " ".join(w for w, g in zip(t, gone, strict=True) if not g))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: (r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == want and sum(n for n, _ in want.values()) > 500
