@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.functions.lineage import written
+
 #: Queries of a block: its vectors go along with every task, so their size has a bound.
 BLOCK = 4096
 
@@ -130,7 +132,7 @@ def distances(edges: DataFrame, sources: DataFrame, most: int = 12) -> DataFrame
     frontier = reached
     for hop in range(1, most + 1):
         step = frontier.join(both, F.col("node") == F.col("_u")).groupBy("source", F.col("_v").alias("node")).agg(F.min("_u").alias("before"))
-        frontier = step.join(reached.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(hop).alias("hops"), "before").checkpoint()
+        frontier = written(step.join(reached.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(hop).alias("hops"), "before"))
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)

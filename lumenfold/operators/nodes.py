@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.keys import stable_id
+from lumenfold.functions.lineage import written
 
 #: Elements without an end, and those whose text isn't shown.
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
@@ -88,11 +89,11 @@ def ancestors(nodes: DataFrame, most: int = 64) -> DataFrame:
     is written once.
     """
     up = nodes.filter("parent_id IS NOT NULL").select("capture", "node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"))
-    known, reach = up.checkpoint(), 1
+    known, reach = written(up), 1
     while reach < most:
         far = known.filter(F.col("depth") == reach).select("capture", "node_id", F.col("ancestor_id").alias("_mid"))
         more = far.join(known.select("capture", F.col("node_id").alias("_mid"), "ancestor_id", F.col("depth").alias("_d")), ["capture", "_mid"])
-        more = more.select("capture", "node_id", "ancestor_id", (F.col("_d") + reach).alias("depth")).filter(F.col("depth") <= most).checkpoint()
+        more = written(more.select("capture", "node_id", "ancestor_id", (F.col("_d") + reach).alias("depth")).filter(F.col("depth") <= most))
         if more.isEmpty():
             break
         known, reach = known.unionByName(more), reach * 2

@@ -390,7 +390,6 @@ def test_nearest_in_small_blocks(spark):
 
 def test_paths_and_recommendations(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 5), (5, 4)], "from_id long, to_id long")
-    spark.sparkContext.setCheckpointDir("/tmp/lumenfold-tests")
     got = {r["node"]: (r["hops"], r["before"]) for r in graphs.distances(edges, spark.createDataFrame([(1,)], "i long")).collect()}
     assert got == {1: (0, None), 2: (1, 1), 5: (1, 1), 3: (2, 2), 4: (2, 5)}
     nodes = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "b", "x"), (4, "a", None), (5, "a", None)], "node_id long, type string, taxonomy_id string")

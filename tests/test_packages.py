@@ -59,7 +59,6 @@ HTML = """<html><head><title>T</title></head><body><nav aria-label="Breadcrumb">
 
 
 def test_nodes_and_ontology(spark):
-    spark.sparkContext.setCheckpointDir("/tmp/lumenfold-tests")
     pages = spark.createDataFrame([(1, HTML), (2, None)], "page_id long, html string")
     n = nodes.page_nodes(pages).cache()
     tags = {r["tag"]: r["node_id"] for r in n.collect()}
