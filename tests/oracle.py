@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 
 def views(sf_dir: str):
@@ -12,6 +13,13 @@ def views(sf_dir: str):
     return con
 
 
+def _text(v) -> str:
+    """Nulls are alike, and a whole number is one whether its column has nulls, and so is of floats, or not."""
+    if pd.api.types.is_scalar(v) and pd.isna(v):
+        return "null"
+    return str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
+
+
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple(str(v) for v in r) for r in df.itertuples(index=False))
+    return sorted(tuple(map(_text, r)) for r in df.itertuples(index=False))
