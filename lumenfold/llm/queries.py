@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import bpe, exact_dedup, fingerprint, jaccard_join, license_scan, mixing, piece_bpe, quality, secret_scan, sharding, substring_dedup
+from lumenfold.llm import bpe, exact_dedup, fingerprint, jaccard_join, license_scan, mixing, piece_bpe, quality, secret_scan, sharding, spelling, substring_dedup
 
-MODULES = (mixing, secret_scan, bpe, fingerprint, sharding, quality, exact_dedup, license_scan, substring_dedup, jaccard_join, piece_bpe)
+MODULES = (mixing, secret_scan, bpe, fingerprint, sharding, quality, exact_dedup, license_scan, substring_dedup, jaccard_join, piece_bpe, spelling)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op11_piece_bpe": piece_bpe.op11_piece_bpe,
+    "op12_spelling": spelling.op12_spelling,
 }
 
 ORACLES = {k: v for m in MODULES for k, v in m.SQL.items()}
