@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import bpe, exact_dedup, fingerprint, jaccard_join, license_scan, mixing, piece_bpe, quality, secret_scan, sharding, spelling, substring_dedup
+from lumenfold.llm import bpe, conversation_repair, exact_dedup, fingerprint, jaccard_join, license_scan, mixing, piece_bpe, quality, secret_scan, sharding, spelling, substring_dedup
 
-MODULES = (mixing, secret_scan, bpe, fingerprint, sharding, quality, exact_dedup, license_scan, substring_dedup, jaccard_join, piece_bpe, spelling)
+MODULES = (mixing, secret_scan, bpe, fingerprint, sharding, quality, exact_dedup, license_scan, substring_dedup, jaccard_join, piece_bpe, spelling, conversation_repair)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op11_piece_bpe": piece_bpe.op11_piece_bpe,
     "op12_spelling": spelling.op12_spelling,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
 ORACLES = {k: v for m in MODULES for k, v in m.SQL.items()}
