@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.functions.keys import half_up
+from lumenfold.functions.keys import half_up, is_consent_section
 from lumenfold.functions.looks import union_box
 
 #: Sections of a viewport, steps of a recipe, least size of large media, bands of a spine.
@@ -168,10 +168,191 @@ def composition_clusters(sections: DataFrame) -> DataFrame:
 
 
 def hint_score(signature_parts: Column, hint_parts: Column) -> Column:
-    """Part of a hint's roles that a signature has in order, and 0.15 for all of them; 1 at most."""
-    found = F.aggregate(signature_parts, F.lit(0), lambda at, role: F.when((at < F.size(hint_parts)) & (role == F.get(hint_parts, at)), at + 1).otherwise(at))
-    part = found / F.size(hint_parts)
-    return F.when(F.size(hint_parts) > 0, F.least(F.lit(1.0), part + F.when(found == F.size(hint_parts), 0.15).otherwise(0.0))).otherwise(0.0)
+    """Part of a hint's roles that a signature has in order, roles it lacks being passed over, and 0.15 for all of them."""
+    plain = F.transform(hint_parts, lambda r: F.when(r == "media_large", "media").when(r == "cta_pair", "cta").otherwise(r))
+
+    def step(found: Column, role: Column) -> Column:
+        at = F.array_position(F.slice(signature_parts, found["next"] + 1, F.greatest(F.lit(0), F.size(signature_parts) - found["next"])), role).cast("int")
+        return F.struct((found["n"] + F.when(at > 0, 1).otherwise(0)).alias("n"), (found["next"] + at).alias("next"))
+
+    n = F.aggregate(plain, F.struct(F.lit(0).alias("n"), F.lit(0).alias("next")), step)["n"]
+    some = (F.size(hint_parts) > 0) & (F.size(signature_parts) > 0)
+    return F.when(some, n / F.size(hint_parts) + F.when(n == F.size(hint_parts), 0.15).otherwise(0.0)).otherwise(0.0)
+
+
+#: What a section's texts speak of.
+SPEAKS = {
+    "quotes": "testimonial|review|customer|kunde|quote|partner logo|trusted by|as seen",
+    "shop": r"cart|checkout|inventory|in stock|out of stock|add to (cart|bag)|kaufen|warenkorb|preis|price|€|\$|buy now|shop now",
+    "contact": "sign|log|email|subscribe|newsletter|demo|contact",
+    "faq": "faq|häufig|questions",
+    "prices": r"price|pricing|plan|€|\$|monat|month",
+    "consent": "cookie|consent|einwilligung|zustimmung|datenschutz.*einstell|alle akzeptieren|accept all cookies|manage cookies|cmp",
+}
+#: Least score of a hint; confidence of a hint that holds nothing and of one that holds all; its greatest value.
+LEAST_HINT, HINT_BASE, HINT_SHARE, HINT_MOST = 0.66, 0.55, 0.35, 0.9
+
+
+def _features(height: Column) -> dict[str, Column]:
+    """What the rules of D16 ask, of columns tag, box, media_box, signature and text_signals."""
+    tag, sig, y = F.lower(F.coalesce("tag", F.lit(""))), F.col("signature"), F.col("box.y")
+    said = F.lower(F.array_join(F.coalesce("text_signals", F.array().cast("array<string>")), " "))
+    media = F.coalesce("media_box", "box")
+    roles = F.filter(F.split(sig, ">"), lambda r: r != "")
+    has_media = F.array_contains(roles, "media")
+    top = lambda least, share: y <= F.greatest(F.lit(least), height * share)
+    return {
+        "tag": tag, "said": said, "y": y, "tall": F.col("box.height"), "roles": roles,
+        "above": top(64.0, 0.32), "near_top": top(80.0, 0.45),
+        "media": has_media, "heading": sig.contains("heading"), "cta": sig.contains("cta"), "form": sig.contains("form"), "list": sig.contains("list"), "body": sig.contains("body"),
+        "nav": sig.contains("nav") | tag.isin("nav", "header"), "leads_with_media": sig.startswith("media"),
+        "media_only": (F.size(roles) > 0) & F.forall(roles, lambda r: r.isin("media", "media_large")),
+        "tall_media": has_media & (media["height"] >= F.greatest(F.lit(260.0), height * 0.32)),
+        "full_bleed": has_media & (media["width"] >= F.greatest(F.lit(880.0), height * 0.92)) & (media["height"] >= F.greatest(F.lit(320.0), height * 0.42)),
+    } | {k: said.rlike(v) for k, v in SPEAKS.items()}
+
+
+def _decisions(f: dict[str, Column], height: Column) -> list[tuple[Column, Column, str, Column, str | Column]]:
+    """(condition, term, category, confidence, method), the first that holds counts; terms and confidences are fixed values."""
+    pick = lambda *pairs: F.coalesce(*[F.when(c, v) for c, v in pairs[:-1]], F.lit(pairs[-1]))
+    says = lambda words: f["said"].rlike(words)
+    lead = pick((says("newsletter|subscribe"), "cta_newsletter"), (says("demo"), "cta_demo"), (says("contact"), "contact"), "lead_form")
+    either = f["heading"] | f["cta"]
+    bleeding = pick((f["heading"] & f["cta"] & f["leads_with_media"], "hero_media_above"), (f["heading"] & f["cta"], "hero_split_cta"), (f["media_only"] | f["leads_with_media"], "hero_media_above"), (f["cta"], "hero"), "hero_centered")
+    headed = pick((f["media"] & f["leads_with_media"], "hero_media_above"), (f["media"], "hero_split_cta"), (f["cta"], "hero"), "hero_centered")
+    sure = F.lit
+    return [
+        ((f["tag"] == "header") | (f["nav"] & f["near_top"] & (f["tall"] < 160)), F.lit("global_nav"), "nav", sure(0.9), "header_nav_heuristic"),
+        ((f["tag"] == "footer") | (f["nav"] & (f["y"] > height)), F.lit("footer"), "nav", sure(0.88), "footer_heuristic"),
+        (f["form"] & f["contact"], lead, "form", sure(0.82), "form_text_heuristic"),
+        (f["faq"] & f["list"], F.lit("faq"), "content", sure(0.84), "faq_heuristic"),
+        (f["prices"] & (f["list"] | f["cta"]), F.lit("pricing"), "commerce", sure(0.83), "pricing_heuristic"),
+        (f["quotes"], F.lit("testimonials"), "social_proof", sure(0.8), "testimonial_heuristic"),
+        (f["consent"], F.lit("cookie_consent"), "cookie_consent", sure(0.9), "cookie_consent_text_heuristic"),
+        (f["above"] & f["full_bleed"], bleeding, "hero", F.when(either, 0.86).otherwise(0.8), F.when(either, "hero_position_heuristic").otherwise("hero_tall_media_heuristic")),
+        (f["above"] & f["heading"] & f["media"] & f["cta"], headed, "hero", sure(0.86), "hero_position_heuristic"),
+        (f["near_top"] & f["tall_media"] & ~f["full_bleed"], F.when(either, "feature_spotlight").otherwise("feature_grid"), "feature", sure(0.74), "near_top_media_card_heuristic"),
+        (f["media"] & f["heading"] & f["cta"], F.lit("feature_spotlight"), "feature", sure(0.78), "media_heading_cta_heuristic"),
+        (f["tall_media"] & f["media_only"], F.lit("feature_spotlight"), "feature", sure(0.72), "tall_media_block_heuristic"),
+        (f["heading"] & f["list"] & ~f["form"], F.lit("feature_grid"), "feature", sure(0.74), "heading_list_heuristic"),
+        (f["heading"] & f["cta"] & ~f["media"], F.lit("cta_band"), "conversion", sure(0.76), "heading_cta_heuristic"),
+        (f["heading"] & f["body"] & ~f["media"] & ~f["cta"] & ~f["form"], F.lit("content_block"), "content", sure(0.7), "heading_body_heuristic"),
+    ]
+
+
+_SITUATION = ("signature", "_broad", "_above", "_quotes", "_shop")
+
+
+def _best_hints(situations: DataFrame, hints: DataFrame) -> DataFrame:
+    """(situation, _entry): the best entry of the catalog for each kind of section; of equal ones the first."""
+    thin = F.col("signature").isin("body", "unknown")
+    wide = lambda *roles: F.forall("_all", lambda h: (F.size(h) == 1) & h[0].isin(*roles))
+    entries = hints.filter("entity_type IN ('section', 'pattern')").groupBy("entry_id", "category", "place").agg(F.collect_list("hint").alias("_all")).withColumns({"_media": wide("media", "media_large"), "_body": wide("body")})
+    plain = F.explode(F.array_distinct(F.flatten("_all")))
+    named = lambda r: F.when(r == "media_large", "media").when(r == "cta_pair", "cta").otherwise(r)
+    by_role = entries.select("*", plain.alias("_role")).withColumn("_role", named(F.col("_role"))).withColumnRenamed("category", "_category")
+    met = situations.select(*_SITUATION, F.explode(F.array_distinct(F.split("signature", ">"))).alias("_role")).join(by_role, "_role").drop("_role").dropDuplicates([*_SITUATION, "entry_id"])
+    proof = F.col("_category") == "social_proof"
+    barred = (F.col("_media") & F.col("_broad") & proof) | (proof & thin & ~F.col("_quotes"))
+    barred = barred | (F.col("_body") & thin & (((F.col("_category") == "commerce") & ~F.col("_shop")) | (F.col("_category") == "feedback"))) | ((F.col("_category") == "hero") & ~F.col("_above"))
+    roles = F.filter(F.split("signature", ">"), lambda r: r != "")
+    scored = met.filter(~barred).withColumn("_score", F.array_max(F.transform("_all", lambda h: hint_score(roles, h)))).filter(F.col("_score") >= LEAST_HINT)
+    best = F.min(F.struct((-F.col("_score")).alias("s"), F.col("place"), F.col("entry_id"), F.col("_category").alias("category")))
+    return scored.groupBy(*_SITUATION).agg(best.alias("_entry"))
+
+
+def classify_sections(sections: DataFrame, viewport_height: Column, hints: DataFrame | None = None) -> DataFrame:
+    """Sections with taxonomy_id, category, confidence and method.
+
+    The rules by position, roles and words come first, in their order; then the best entry of a catalog (`hints`:
+    entry_id, entity_type, category, place, hint as an array of roles, a row a hint); then the tag; then a content block.
+    Entries meet the kinds of sections, not the sections, and only where they share a role. `sections` has tag, box,
+    media_box (null without large media), signature and text_signals.
+    """
+    f = _features(viewport_height)
+    way = lambda when, term, kind, sure, method: F.when(F.coalesce(when, F.lit(False)), F.struct(term.alias("taxonomy_id"), F.lit(kind).alias("category"), sure.cast("double").alias("confidence"), (F.lit(method) if isinstance(method, str) else method).alias("method")))
+    prefixed = lambda term: F.concat(F.lit("dig:section."), term)
+    rules = F.coalesce(*[way(c, prefixed(term), kind, sure, method) for c, term, kind, sure, method in _decisions(f, viewport_height)])
+    last = F.coalesce(way(f["tag"] == "article", F.lit("dig:section.article"), "content", F.lit(0.8), "article_tag"), way(F.lit(True), F.lit("dig:section.content_block"), "content", F.lit(0.55), "fallback_content_block"))
+    flags = {"_broad": f["tall_media"] | f["near_top"], "_above": f["above"], "_quotes": f["quotes"], "_shop": f["shop"]}
+    rows = sections.withColumns({"_rule": rules, "_last": last} | {k: F.coalesce(v, F.lit(False)) for k, v in flags.items()})
+    hinted = F.lit(None).cast("struct<taxonomy_id:string,category:string,confidence:double,method:string>")
+    if hints is not None:
+        found = _best_hints(rows.filter("_rule IS NULL").select(*_SITUATION).distinct(), hints)
+        rows = rows.join(found, list(_SITUATION), "left")
+        by_hint = F.struct(F.col("_entry.entry_id").alias("taxonomy_id"), F.col("_entry.category").alias("category"), F.least(F.lit(HINT_MOST), HINT_BASE - F.col("_entry.s") * HINT_SHARE).alias("confidence"), F.lit("catalog_composition_hint").alias("method"))
+        hinted = F.when(F.col("_entry").isNotNull(), by_hint)
+    return rows.withColumn("_c", F.coalesce("_rule", hinted, "_last")).select(*sections.columns, "_c.*")
+
+
+#: Sections that are looked at, heroes among them, distance of two of a kind, height of a wrapper and of a strip.
+MOST_LOOKS, MOST_HEROES, APART, WRAPPER, STRIP = 14, 1, 120, 2800, 120
+#: What words in a category, roles in a signature and the viewport add to a section's confidence.
+CATEGORY_POINTS = (("hero", 2.0), ("feature", 1.0), ("cta|conversion|pricing|commerce", 0.8), ("nav|form", 0.5), ("social_proof", -0.35))
+ROLE_POINTS = (("media", 0.6), ("cta", 0.5), ("heading", 0.35))
+VIEWPORT_POINTS = (("desktop", 1.2), ("tablet", 0.2), ("mobile", -0.3))
+
+
+def look_scores(sections: DataFrame, keys: list[str]) -> DataFrame:
+    """Sections with score, skip (page wrappers and consent overlays), band_y and kind (their signature with plain media)."""
+    frame = union_box(F.transform("steps", lambda s: s["box"]))
+    tall = F.coalesce(frame["height"], F.lit(0.0))
+    thin = F.col("signature").isin("body", "unknown")
+    wrapper = thin & (tall >= WRAPPER)
+    consent = is_consent_section(F.col("taxonomy_id"), F.col("category"), F.concat(F.coalesce("text_signals", F.array().cast("array<string>")), F.array("signature")))
+    roles = F.filter(F.split("signature", ">"), lambda r: r != "")
+    early = F.row_number().over(Window.partitionBy(*keys).orderBy("ordinal", "section_id")) <= 3
+    category = F.lower("category")
+    points = [(category.rlike(words), p) for words, p in CATEGORY_POINTS[:4]] + [(F.col("signature").contains(role), p) for role, p in ROLE_POINTS]
+    points += [(early, 0.4), (category.rlike(CATEGORY_POINTS[4][0]), CATEGORY_POINTS[4][1]), (F.size(roles) >= 3, 0.45), ((F.size(roles) == 1) & thin, -0.5)]
+    points += [((tall > 0) & (tall < STRIP), -1.2), (tall >= WRAPPER, -1.5), (wrapper, -2.0), (consent, -3.0)]
+    points += [(F.col("viewport_name") == name, p) for name, p in VIEWPORT_POINTS]
+    score = F.col("confidence")
+    for when, p in points:
+        score = score + F.when(when, p).otherwise(0.0)
+    kind = F.array_join(F.transform(roles, lambda r: F.when(r == "media_large", "media").otherwise(r)), ">")
+    return sections.withColumns({"score": F.round(score, 9), "skip": F.coalesce(wrapper | consent, F.lit(False)), "band_y": F.when(F.size("steps") > 0, F.get("steps", F.lit(0))["box"]["y"]), "kind": kind})
+
+
+def _picked(keys: list[str], most: int):
+    """One pass over the sections of each page, best first, that holds what is picked only."""
+    per_category, per_kind = max(2, -(-most // 3)), max(2, -(-most // 5))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, chosen = None, []
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                now = tuple(r[: len(keys)])
+                if now != page:
+                    page, chosen = now, []
+                if len(chosen) >= most:
+                    continue
+                category, hero, y = (r.category or "").lower() or "unknown", "hero" in (r.category or "").lower(), r.band_y
+                alike = [c for c in chosen if c[0] == r.section_id]
+                near = (hero or r.kind == "media") and y == y and y is not None and any(c[4] is not None and abs(c[4] - y) < APART for c in chosen)
+                full = sum(c[1] == category for c in chosen) >= per_category or sum(c[2] == r.kind for c in chosen) >= per_kind
+                if alike or near or full or (hero and sum(c[3] for c in chosen) >= MOST_HEROES):
+                    continue
+                chosen.append((r.section_id, category, r.kind, hero, y if y == y else None))
+                out.append((*now, r.section_id, len(chosen), r.score))
+            yield pd.DataFrame(out, columns=[*keys, "section_id", "pick", "score"])
+
+    return run
+
+
+def pick_sections(sections: DataFrame, keys: list[str], most: int = MOST_LOOKS) -> DataFrame:
+    """(keys, section_id, pick, score): up to `most` sections of a page by score, of many kinds.
+
+    One hero, a third of the picks from one category and a fifth with one signature at most (two at least), and heroes
+    or media only 120 pixels from all that is picked. `sections` has section_id, ordinal (order of the page),
+    category, taxonomy_id, signature, text_signals, confidence, viewport_name and steps.
+    """
+    ranked = look_scores(sections, keys).filter("NOT skip")
+    kinds = dict(sections.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "section_id"))
+    ordered = ranked.repartition(*keys).sortWithinPartitions(*keys, F.col("score").desc(), "ordinal", "section_id")
+    return ordered.select(*keys, "section_id", "category", "kind", "band_y", "score").mapInPandas(_picked(keys, most), f"{schema}, pick long, score double")
 
 
 #: Fixed value: words that show that a thin section means something.
