@@ -209,7 +209,7 @@ def test_demotion_and_hints(spark):
     assert row("content", "body", "short", 500) == "thin_empty_content"
     assert row("nav", "unknown", "tiny", 500, "catalog_composition_hint", 0.9) == "catalog_body_overmatch"
     score = lambda a, b: spark.range(1).select(sections.hint_score(F.split(F.lit(a), ">"), F.split(F.lit(b), ">"))).first()[0]
-    assert score("media>heading>cta", "media>cta") == 1.0 and score("heading", "media>heading") == 0.0 and score("media>x", "media>cta") == 0.5
+    assert score("media>heading>cta", "media>cta") == 1.15 and score("heading", "media>heading") == 0.5 and score("media>x", "media>cta") == 0.5
 
 
 def test_section_roots(spark):
