@@ -17,6 +17,8 @@ from lumenfold.llm.words import join_side, row_name
 
 #: A chunk has MIN_CHARS characters, then goes on to the next mark, or for MAX_MORE characters where none comes.
 MIN_CHARS, MAX_MORE, MARKS = 256, 1792, ".!?;:|…。！？।"
+#: Rows alike that are told apart at once.
+BLOCK = 1 << 16
 CHUNK = rf"(?s).{{1,{MIN_CHARS}}}+[^{MARKS}]{{0,{MAX_MORE}}}+[{MARKS}]?"
 
 
@@ -32,23 +34,24 @@ def chunks_of(text: Column) -> Column:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
-    Of equal texts the one with the most code points stays, then the smallest id. Nulls: a null text is empty, empty
-    texts are one group, a null id comes after all others. Rows that repeat an id with equal texts share its
-    decision. Any further columns of `docs` are left out; an empty table gives an empty result. `name_of` names a
-    chunk; names need not be unique, as they are verified.
+    Of equal texts the one with the most code points stays, then the smallest id; `kept` is true for one row of a group,
+    whichever it is of rows alike in all of this. Nulls: a null text is empty, empty texts are one group, a null id comes
+    after all others. Any further columns of `docs` are left out; an empty table gives an empty result. `name_of` names
+    a chunk; names need not be unique, as they are verified.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.lit(None).cast("string").alias("_row_name"), F.col(text_col).alias("_doc"))
-    return _decided(rows, name_of).select(
-        F.col("_id").alias(id_col),
-        F.col("_stay.i").alias("keep_id"),
-        "group_size",
-        F.col("_id").eqNullSafe(F.col("_stay.i")).alias("kept"),
-        F.col("_sha").alias("text_sha256"),
-    )
-
-
-def _decided(rows: DataFrame, name_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """Each of `rows` (_id, _row_name, _doc) with _sha, its group_size and the row that stays of its group, as _stay (c, z, i, r)."""
+    found = cut_lineage(_decided(rows, name_of, F.col("_chars")).select("_id", F.col("_stay.i").alias("keep_id"), "group_size", (F.col("_id").eqNullSafe(F.col("_stay.i")) & (F.col("_chars") == -F.col("_stay.c"))).alias("_first"), "_sha"))
+    # the rows of a group that could stay are alike, so their number is enough to mark one of them
+    alike = found.filter("_first AND group_size > 1").groupBy("_id", "keep_id", "group_size", "_sha").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = alike.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / BLOCK)))).withColumn("_from", F.col("_block") * BLOCK + 1)
+    each = blocks.select("_id", "keep_id", "group_size", "_sha", F.explode(F.sequence("_from", F.least(F.col("_n"), F.col("_from") + BLOCK - 1))).alias("_k"))
+    columns = [F.col("_id").alias(id_col), "keep_id", "group_size"]
+    out = found.filter("NOT _first OR group_size = 1").select(*columns, F.col("_first").alias("kept"), F.col("_sha").alias("text_sha256"))
+    return out.unionByName(each.select(*columns, (F.col("_k") == 1).alias("kept"), F.col("_sha").alias("text_sha256")))
+
+
+def _decided(rows: DataFrame, name_of: Callable[[Column], Column] = F.xxhash64, *more: Column) -> DataFrame:
+    """Each of `rows` (_id, _row_name, _doc) with _sha, its group_size and the row that stays of its group, as _stay (c, z, i, r); `more` may name _chars."""
     base = rows.select("_id", "_row_name", whole_text("_doc").alias("_text"), normalised("_doc").alias("_norm"))
     cut = base.select("_id", "_row_name", F.length("_text").alias("_chars"), "_norm", chunks_of(F.col("_norm")).alias("_chunks"))
     distinct = cut.select(F.explode("_chunks").alias("_chunk")).select(name_of(F.col("_chunk")).alias("_name"), "_chunk").distinct()
@@ -63,7 +66,7 @@ def _decided(rows: DataFrame, name_of: Callable[[Column], Column] = F.xxhash64)
     groups = cut_lineage(groups.filter("_rows > 1").withColumn("group_size", F.col("_rows")))
     alone = F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_row_name").alias("r"))
     found = join_hot(recipes, groups, "_recipe", "_rows", F.array(F.xxhash64("_id", "_row_name")))
-    return found.select("_id", "_row_name", "_sha", F.coalesce("_stay", alone).alias("_stay"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"))
+    return found.select("_id", "_row_name", "_sha", *more, F.coalesce("_stay", alone).alias("_stay"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"))
 
 
 def _told_apart(cut: DataFrame, distinct: DataFrame, shared: DataFrame, name_of: Callable[[Column], Column]) -> DataFrame:
@@ -104,5 +107,5 @@ SQL = {
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')) AS text_sha256 FROM documents),
 r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id NULLS LAST) AS keep_id,
       count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM r""",
+SELECT doc_id, keep_id, group_size, row_number() OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id NULLS LAST) = 1 AS kept, text_sha256 FROM r""",
 }

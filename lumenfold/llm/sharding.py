@@ -3,8 +3,8 @@
 Groups of equal texts are vectors of bytes, words and rows. Each goes to the shard where its dot product with the
 residual capacity is highest, large ones first. The packing runs in lanes: a lane is a hash range of groups with its
 own equal part of every shard, so lanes pack side by side and their loads add up evenly. A group that a lane's part of
-a shard can't hold whole is cut into as few pieces as it takes, by a hash of the id, as one group may hold a third of
-all rows; all others stay whole.
+a shard can't hold whole is cut into as few pieces as it takes, row by row, as one group may hold a third of all rows,
+and its rows may share an id or have none; all others stay whole.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import cut_lineage, join_hot, running_start, whole_text, word_count
+from lumenfold.llm.words import join_side
 
 #: Shards; groups that a lane packs, about; bytes that a document has besides its text.
 SHARDS, LANE_GROUPS, OVERHEAD = 40, 40_000, 16
@@ -46,15 +47,16 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, lane_groups: int = LA
     """A row per document: id, size (UTF-8 bytes plus 16), words, text_crc32, shard, slot.
 
     Equal texts are one group and stay in one shard unless that can't hold them (a lane's part of it, by bytes, words or rows). slot counts from 0 within
-    a shard, without gaps, by ranges of a hash of the id, then by id. A null text is empty (size 16); null ids are placed like
-    others; rows that repeat an id are documents of their own; an empty table gives an empty result; further columns
+    a shard, without gaps. A null text is empty (size 16); rows without an id, or that repeat one, are documents of their
+    own and placed like others; an empty table gives an empty result; further columns
     are left out.
     """
     text = whole_text(text_col)
     narrow = docs.select(
         F.col(id_col).alias("_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), word_count(F.col(text_col)).alias("words"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("_group")
     )
-    narrow = cut_lineage(narrow)
+    # a number of its own for each row, which holds from here on as it is written
+    narrow = cut_lineage(narrow.withColumn("_row", F.monotonically_increasing_id()))
     groups = cut_lineage(narrow.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows"), F.max("size").alias("_size"), F.max("words").alias("_words")))
     n_groups, n_rows, n_bytes, n_words = groups.agg(F.count(F.lit(1)), F.sum("_rows"), F.sum(F.col("_rows") * F.col("_size")), F.sum(F.col("_rows") * F.col("_words"))).first()
     lanes = max(1, -(-n_groups // lane_groups))
@@ -62,15 +64,14 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, lane_groups: int = LA
     rows = F.col("_rows")
     pieces = F.least(rows, F.greatest(F.lit(1), part(rows, n_rows), part(rows * F.col("_size"), n_bytes), part(rows * F.col("_words"), n_words)))
     # of groups in several pieces there are at most as many as parts of shards, for each of three sizes
-    several = groups.select(F.col("_group").alias("_g"), pieces.alias("_pieces")).filter("_pieces > 1")
-    cut = narrow.join(F.broadcast(several), F.col("_group") == F.col("_g"), "left")
-    piece = F.pmod(F.xxhash64(F.col("_id"), F.lit("piece")), F.coalesce("_pieces", F.lit(1)))
-    cut = cut.withColumn("_name", F.concat_ws(":", "_group", piece)).drop("_g", "_pieces")
+    several = groups.select("_group", pieces.alias("_pieces")).filter("_pieces > 1")
+    piece = F.pmod(F.xxhash64("_row", F.lit("piece")), F.coalesce("_pieces", F.lit(1)))
+    cut = join_side(narrow, several, "_group", "left", F.lit(96)).withColumn("_name", F.concat_ws(":", "_group", piece)).drop("_pieces")
     vectors = cut.groupBy("_name").agg(F.sum("size").alias("bytes"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("rows"))
     placed = vectors.withColumn("_lane", F.pmod(F.xxhash64("_name"), F.lit(lanes))).groupBy("_lane").applyInPandas(_pack_lane(shards), "_name string, rows long, shard int")
-    sharded = join_hot(cut, cut_lineage(placed), "_name", "rows", F.concat(F.lit("~"), F.xxhash64("_id").cast("string"))).select("_id", "size", "words", "text_crc32", "shard")
-    sharded = cut_lineage(sharded.withColumn("_range", F.pmod(F.xxhash64(F.col("_id")), F.lit(512))))
-    slots = running_start(sharded, ["shard"], "_range", ["_id", "size", "text_crc32"], F.lit(1), "slot")
+    sharded = join_hot(cut, cut_lineage(placed), "_name", "rows", F.concat(F.lit("~"), F.xxhash64("_row").cast("string"))).select("_id", "_row", "size", "words", "text_crc32", "shard")
+    sharded = cut_lineage(sharded.withColumn("_range", F.pmod(F.xxhash64("_row"), F.lit(512))))
+    slots = running_start(sharded, ["shard"], "_range", ["_row"], F.lit(1), "slot")
     return slots.select(F.col("_id").alias(id_col), "size", "words", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
 
 
