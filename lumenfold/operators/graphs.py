@@ -40,15 +40,16 @@ def _best_of_block(ids: list, block: np.ndarray, k: int, least: float):
     return run
 
 
-def nearest(vectors: DataFrame, id_col: str, vector_col: str, k: int, least: float, queries: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
-    """(a, b, score, rank): the k nearest of `vectors` to each of `queries` (all, if none are given) by cosine, at `least` or more.
+def nearest(vectors: DataFrame, id_col: str, vector_col: str, k: int, least: float, queries: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b, score, rank): the k nearest of `vectors` to each of the stated `queries` by cosine, at `least` or more.
 
     Exact. The queries go in blocks of `block` at most through all vectors, and every batch keeps its k best for each
     of them, so what is shuffled grows with the batches, not with the pairs. A vector isn't its own neighbour; ties go by
-    id. Work is queries times vectors: state a set of queries where the table is large.
+    id. Work is queries times vectors: `neighbours` is the way for queries that grow with the table. Restrict `vectors`
+    for a search of one kind or of a set of ids.
     """
     rows = vectors.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v"))
-    asked = rows if queries is None else queries.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v"))
+    asked = queries.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v"))
     kind = vectors.schema[id_col].dataType.simpleString()
     total = asked.count()
     blocks = max(1, -(-total * 5 // (block * 4)))  # by hash, so a block is fuller than others
@@ -64,13 +65,109 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, k: int, least: flo
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+#: Rows that the cells are fitted on, rows of a cell about, cells at most, queries that the probes are fitted on, rows of a block.
+SAMPLE, PER_CELL, MOST_CELLS, TRIED, CELL_BLOCK = 50_000, 1000, 4096, 256, 8192
+#: Part of the true neighbours that a search finds.
+RECALL = 0.93
+
+
+def fit_cells(vectors: DataFrame, id_col: str, vector_col: str, cells: int | None = None, rounds: int = 8) -> np.ndarray:
+    """Unit vectors of an inverted file's cells, by k-means on SAMPLE rows at most, those of the least hashes of their ids.
+
+    A cell has about PER_CELL rows, but there are MOST_CELLS cells at most, so they can go along with every task.
+    """
+    total = vectors.count()
+    n = cells or max(1, min(MOST_CELLS, total // PER_CELL))
+    known = vectors.filter(F.col(vector_col).isNotNull()).select(F.col(vector_col).alias("_v"), F.xxhash64(F.col(id_col)).alias("_h"))
+    share = known.filter(F.col("_h") % 1_000_003 < 1_000_003 * min(1.0, 2 * SAMPLE / max(1, total))) if total > SAMPLE else known
+    some = share.orderBy("_h").limit(SAMPLE).toPandas()["_v"]
+    units = _units(list(some), max(map(len, some), default=1))
+    rng = np.random.default_rng(7)
+    centres = units[rng.choice(len(units), min(n, len(units)), replace=False)] if len(units) else units
+    for _ in range(rounds if len(centres) > 1 else 0):
+        of = np.concatenate([(units[i : i + 4096] @ centres.T).argmax(axis=1) for i in range(0, len(units), 4096)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, units)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.where(norm > 0, norm, 1.0), centres)
+    return centres
+
+
+def _cells_of(vector: Column, centres: np.ndarray, probes: int) -> Column:
+    """The `probes` nearest cells of a vector, the nearest first."""
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vs in batches:
+            near = np.argsort(-(_units(list(vs), centres.shape[1]) @ centres.T), axis=1, kind="stable")[:, :probes]
+            yield pd.Series(list(near.astype(np.int32)))
+
+    return run(vector)
+
+
+def _least_probes(placed: DataFrame, k: int, least: float, recall: float) -> int:
+    """Cells that a query has to look into, so that `recall` of the true neighbours of TRIED rows is found; `placed` has all cells of each row in order."""
+    some = written(placed.orderBy(F.xxhash64("b", F.lit("try"))).limit(TRIED))
+    true = nearest(placed, "b", "_v", k, least, some).select("a", F.col("b").alias("_b"))
+    cell = placed.select(F.col("b").alias("_b"), F.col("_cells")[0].alias("_cell"))
+    ranks = true.join(some.select(F.col("b").alias("a"), "_cells"), "a").join(cell, "_b").select(F.array_position("_cells", F.col("_cell")).alias("r"))
+    found = ranks.groupBy("r").count().orderBy("r").collect()  # a row a cell at most
+    total, held = sum(r["count"] for r in found), 0
+    for r in found:
+        held += r["count"]
+        if held >= recall * total:
+            return r["r"]
+    return 1
+
+
+def neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int, least: float, queries: DataFrame | None = None, cells: int | None = None, probes: int | None = None, recall: float = RECALL) -> DataFrame:
+    """(a, b, score, rank) as `nearest` gives, with every vector as a query if none are stated, by an inverted file.
+
+    Every row is in one cell; a query looks into the `probes` nearest cells, if none are given into as many as find
+    `recall` of the true neighbours of a few rows. Rows and queries of a cell are dealt into blocks, and a task compares
+    one block of each, so a cell that holds a third of all rows is as many tasks as it takes; where every cell is looked
+    into, the result is exact. Nothing but the cells passes the driver. A row without a vector has no neighbours at
+    `least` above 0.
+    """
+    centres = fit_cells(vectors, id_col, vector_col, cells)
+    if not len(centres):
+        centres = np.ones((1, 1))
+    in_order = lambda df: df.select(F.col(id_col).alias("b"), F.col(vector_col).alias("_v"), _cells_of(F.col(vector_col), centres, len(centres)).alias("_cells"))
+    probes = probes or (len(centres) if len(centres) <= 8 else _least_probes(written(in_order(vectors)), k, least, recall))
+    near = lambda df: in_order(df).withColumn("_cells", F.slice("_cells", 1, probes))
+    placed = written(near(vectors))
+    asked = placed if queries is None else near(queries)
+    deal = lambda col, n, salt: F.pmod(F.xxhash64(col, F.lit(salt)), n).cast("int")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / CELL_BLOCK)).cast("int")
+    own = placed.select("b", "_v", F.col("_cells")[0].alias("_cell"))
+    looked = asked.select(F.col("b").alias("a"), F.col("_v").alias("_q"), F.explode("_cells").alias("_cell"))
+    counts = own.groupBy("_cell").agg(blocks(F.count(F.lit(1))).alias("_nv"))
+    # a row for each cell, MOST_CELLS at most
+    sizes = F.broadcast(written(counts.join(looked.groupBy("_cell").agg(blocks(F.count(F.lit(1))).alias("_nq")), "_cell")))
+    left = looked.join(sizes, "_cell").withColumn("_bq", deal("a", F.col("_nq"), "q")).select("a", "_q", "_cell", "_bq", F.explode(F.sequence(F.lit(0), F.col("_nv") - 1)).alias("_bv"))
+    right = own.join(sizes, "_cell").withColumn("_bv", deal("b", F.col("_nv"), "v")).select("b", "_v", "_cell", "_bv", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).alias("_bq"))
+    kind = vectors.schema[id_col].dataType.simpleString()
+
+    def best(asked_: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked_) or not len(rows):
+            return pd.DataFrame({"a": [], "b": [], "score": []})
+        names, found = asked_["a"].tolist(), rows.rename(columns={"b": "_id"})
+        dims = max((len(v) for v in asked_["_q"] if v is not None), default=1)
+        return pd.concat([part for i in range(0, len(names), 1024) for part in _best_of_block(names[i : i + 1024], _units(list(asked_["_q"][i : i + 1024]), dims), k, least)(iter([found]))])
+
+    keys = ["_cell", "_bq", "_bv"]
+    out = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"a {kind}, b {kind}, score double")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("score").desc(), "b"))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def similarity_graph(vectors: DataFrame, id_col: str, vector_col: str, k: int = 8, least: float = 0.72, nodes: int = 5000, cap: int = 40000) -> DataFrame:
     """Undirected edges (from_id, to_id, score), the larger score of the two directions, the best `cap` of them.
 
     A graph shows its newest nodes, those of the `nodes` largest ids.
     """
     newest = vectors.orderBy(F.col(id_col).desc()).limit(nodes)
-    edges = nearest(newest, id_col, vector_col, k, least).select(F.least("a", "b").alias("from_id"), F.greatest("a", "b").alias("to_id"), "score")
+    edges = nearest(newest, id_col, vector_col, k, least, newest).select(F.least("a", "b").alias("from_id"), F.greatest("a", "b").alias("to_id"), "score")
     return edges.groupBy("from_id", "to_id").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "from_id", "to_id").limit(cap)
 
 
@@ -121,24 +218,45 @@ def induced(nodes: DataFrame, edges: DataFrame, text: str) -> tuple[DataFrame, D
     return kept, edges.join(ids, F.col("from_id") == F.col("_id"), "left_semi").join(ids, F.col("to_id") == F.col("_id"), "left_semi")
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int = 12) -> DataFrame:
-    """(source, node, hops, before): fewest undirected hops from each source, and the least node before on such a path.
+def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(source, node, hops, before): fewest undirected hops from each source to all that it reaches, and the least node before on such a path.
 
-    One join with the edges a hop, from the frontier only, against what was reached before; at most `most` hops.
+    One join with the edges a hop, from the frontier only, against what was reached before, until nothing new is
+    reached or, where `most` is given, after that many hops. Each frontier is written, so lineage doesn't grow.
     """
-    both = edges.select(F.col("from_id").alias("_u"), F.col("to_id").alias("_v")).unionByName(edges.select(F.col("to_id").alias("_u"), F.col("from_id").alias("_v"))).filter("_u <> _v").distinct()
+    both = written(edges.select(F.col("from_id").alias("_u"), F.col("to_id").alias("_v")).unionByName(edges.select(F.col("to_id").alias("_u"), F.col("from_id").alias("_v"))).filter("_u <> _v").distinct())
     start = sources.toDF("source").distinct()
-    reached = start.select("source", F.col("source").alias("node"), F.lit(0).alias("hops"), F.lit(None).cast(edges.schema["from_id"].dataType).alias("before"))
-    frontier = reached
-    for hop in range(1, most + 1):
+    frontier = reached = written(start.select("source", F.col("source").alias("node"), F.lit(0).alias("hops"), F.lit(None).cast(edges.schema["from_id"].dataType).alias("before")))
+    hop = 0
+    while most is None or hop < most:
+        hop += 1
         step = frontier.join(both, F.col("node") == F.col("_u")).groupBy("source", F.col("_v").alias("node")).agg(F.min("_u").alias("before"))
         frontier = written(step.join(reached.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(hop).alias("hops"), "before"))
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
+        if hop % 16 == 0:
+            reached = written(reached)
     return reached
 
 
+def paths(found: DataFrame, ends: DataFrame) -> DataFrame:
+    """(source, node, hops, path) of each of `ends` (source, node) that `distances` found: the nodes from source to node.
+
+    Walks back along the nodes before, half of what is left a round: a node's way of 2^i steps is its way of 2^(i-1)
+    steps, and that of the node it leads to.
+    """
+    back = written(found.select("source", "node", F.coalesce("before", "node").alias("_at"), F.filter(F.array("before"), lambda b: b.isNotNull()).alias("_way")))
+    longest = found.agg(F.max("hops")).first()[0] or 0
+    reach = 1
+    while reach < longest:
+        on = back.select("source", F.col("node").alias("_at"), F.col("_at").alias("_next"), F.col("_way").alias("_more"))
+        back = written(back.join(on, ["source", "_at"]).select("source", "node", F.col("_next").alias("_at"), F.concat("_more", "_way").alias("_way")))
+        reach *= 2
+    out = back.join(ends, ["source", "node"], "left_semi").select("source", "node", F.concat("_way", F.array("node")).alias("path"))
+    return out.select("source", "node", (F.size("path") - 1).alias("hops"), "path")
+
+
 #: Weights of the facets that two screens share.
 FACET_WEIGHTS = {"style": 0.22, "layout": 0.14, "contrast_mode": 0.2, "imagery_density": 0.16, "type_scale": 0.12, "composition_energy": 0.08, "chrome_weight": 0.06}
 TAG_WEIGHT, INDUSTRY_WEIGHT = 0.12, 0.06

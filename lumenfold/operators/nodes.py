@@ -82,22 +82,24 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return out.astype({"parent_id": "Int64"})
 
 
-def ancestors(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """(capture, node_id, ancestor_id, depth) of every node and ancestor up to `most` levels; depth 1 is the parent.
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(capture, node_id, ancestor_id, depth) of every node and each of its ancestors up to the root; depth 1 is the parent.
 
-    Doubles: ancestors 1 to d and those of the one at depth d give 1 to 2d, so a round halves what is left. Every level
-    is written once.
+    Doubles: ancestors 1 to d and those of the one at depth d give 1 to 2d, so a round halves what is left, and ends when
+    no node has more. Every level is written once. Parents that form a circle are an error.
     """
-    up = nodes.filter("parent_id IS NOT NULL").select("capture", "node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"))
-    known, reach = written(up), 1
-    while reach < most:
+    known, reach, most = written(nodes.filter("parent_id IS NOT NULL").select("capture", "node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"))), 1, None
+    while True:
         far = known.filter(F.col("depth") == reach).select("capture", "node_id", F.col("ancestor_id").alias("_mid"))
         more = far.join(known.select("capture", F.col("node_id").alias("_mid"), "ancestor_id", F.col("depth").alias("_d")), ["capture", "_mid"])
-        more = written(more.select("capture", "node_id", "ancestor_id", (F.col("_d") + reach).alias("depth")).filter(F.col("depth") <= most))
+        more = written(more.select("capture", "node_id", "ancestor_id", (F.col("_d") + reach).alias("depth")))
         if more.isEmpty():
-            break
+            return known
         known, reach = known.unionByName(more), reach * 2
-    return known
+        if reach >= 1024:
+            most = most if most is not None else nodes.groupBy("capture").count().agg(F.max("count")).first()[0]
+            if reach > 2 * most:
+                raise ValueError("parents form a circle")
 
 
 #: Rules (term, confidence, method, tags, roles): a node with one of the tags or roles has the term.

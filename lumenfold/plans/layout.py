@@ -82,19 +82,19 @@ def _(t):
 
 
 def _viewports(t):
-    """A customer is a capture, its first three orders are viewports of rising width, and the priority names an element."""
+    """A customer is a capture, and its orders are viewports of rising width of one element."""
     order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    o = t("orders").withColumn("v", F.row_number().over(order).cast("long")).filter("v <= 3")
-    viewports = o.select(F.col("o_custkey").alias("capture"), F.col("v").alias("viewport_id"), (F.col("v") * 400.0).alias("width"), F.lit(800.0).alias("height"), F.lit(2000.0).alias("document_height"))
+    o = t("orders").withColumn("v", F.row_number().over(order).cast("long"))
+    viewports = o.select(F.col("o_custkey").alias("capture"), F.col("v").alias("viewport_id"), (F.col("v") * 400.0).alias("width"), F.lit(700.0).alias("height"), F.lit(2000.0).alias("document_height"))
     box = looks.box(F.col("o_totalprice") % 300, F.col("o_totalprice") % 1500, F.col("o_totalprice") % 350, F.col("o_totalprice") % 700)
     style = F.create_map(F.lit("display"), F.when(F.col("o_orderstatus") == "F", "grid").otherwise("block"))
     members = o.select(F.col("o_custkey").alias("capture"), F.lit("el").alias("element_id"), F.col("v").alias("viewport_id"), (F.col("o_orderstatus") != "P").alias("rendered"), (F.col("o_orderkey") % 4).alias("sibling_index"), style.alias("style"), box.alias("box"))
     return viewports, members
 
 
-_PAIRS = """o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS v FROM orders QUALIFY v <= 3),
+_PAIRS = """o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS v FROM orders),
 m AS (SELECT o_custkey AS capture, v, v * 400.0::DOUBLE AS vw, o_orderstatus AS st, o_orderkey % 4 AS si, o_totalprice % 300 AS x, o_totalprice % 1500 AS y, o_totalprice % 350 AS w, o_totalprice % 700 AS h FROM o),
-q AS (SELECT a.capture, a.v AS from_viewport, b.v AS to_viewport, a.st AS ast, b.st AS bst, a.si AS asi, b.si AS bsi, b.w / b.vw - a.w / a.vw AS dw, (b.h - a.h) / 800.0 AS dh, b.x / b.vw - a.x / a.vw AS dx, (b.y - a.y) / 2000.0 AS dy FROM m a JOIN m b ON a.capture = b.capture AND b.v = a.v + 1)"""
+q AS (SELECT a.capture, a.v AS from_viewport, b.v AS to_viewport, a.st AS ast, b.st AS bst, a.si AS asi, b.si AS bsi, b.w / b.vw - a.w / a.vw AS dw, (b.h - a.h) / 700.0 AS dh, b.x / b.vw - a.x / a.vw AS dx, (b.y - a.y) / 2000.0 AS dy FROM m a JOIN m b ON a.capture = b.capture AND b.v = a.v + 1)"""
 
 
 @query("c2_transformations", f"""WITH {_PAIRS}, r AS (SELECT *, unnest([CASE WHEN (ast <> 'P') <> (bst <> 'P') THEN CASE WHEN bst <> 'P' THEN 'show' ELSE 'hide' END END, CASE WHEN asi <> bsi THEN 'reorder' END,

@@ -203,13 +203,32 @@ def _(t):
     return graphs.recommend(n, n.filter("node_id % 50 = 0"), 5).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("r23_distances", """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, 100 + c_custkey % 40 AS b FROM customer WHERE c_custkey % 7 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT 0 AS node, 0 AS hops UNION SELECT u.b, r.hops + 1 FROM r JOIN u ON u.a = r.node WHERE r.hops < 4)
+#: Customers of a nation link it with one of forty hubs; parts of a chain, each with the next but one of its size.
+_HUBS = """e AS (SELECT DISTINCT c_nationkey AS a, 100 + c_custkey % 40 AS b FROM customer), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"""
+_CHAIN = """e AS (SELECT DISTINCT p_partkey // 40 AS a, p_partkey // 40 + 1 + (p_size = 7)::INT AS b FROM part), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT 0::BIGINT AS node, 0 AS hops UNION SELECT u.b, r.hops + 1 FROM r JOIN u ON u.a = r.node WHERE r.hops < 60 AND u.b > r.node),
+h AS (SELECT node, min(hops) AS hops FROM r GROUP BY node), p AS (SELECT h.node, h.hops, min(u.a) AS before FROM h JOIN u ON u.b = h.node JOIN h g ON g.node = u.a AND g.hops = h.hops - 1 GROUP BY ALL)"""
+
+
+def _chain(t):
+    at = F.floor(F.col("p_partkey") / 40)
+    return t("part").select(at.alias("from_id"), (at + 1 + (F.col("p_size") == 7).cast("long")).alias("to_id"))
+
+
+@query("r23_distances", f"""WITH RECURSIVE {_HUBS}, r AS (SELECT 0 AS node, 0 AS hops UNION SELECT u.b, r.hops + 1 FROM r JOIN u ON u.a = r.node WHERE r.hops < 8)
 SELECT 0 AS source, node::BIGINT AS node, min(hops)::INT AS hops FROM r GROUP BY node""")
 def _(t):
-    e = t("customer").filter("c_custkey % 7 = 0").select(F.col("c_nationkey").cast("long").alias("from_id"), (100 + F.col("c_custkey") % 40).cast("long").alias("to_id"))
+    e = t("customer").select(F.col("c_nationkey").cast("long").alias("from_id"), (100 + F.col("c_custkey") % 40).cast("long").alias("to_id"))
     start = t("nation").filter("n_nationkey = 0").select(F.col("n_nationkey").cast("long"))
-    return graphs.distances(e, start, 4).select(F.col("source").cast("int").alias("source"), "node", "hops")
+    return graphs.distances(e, start).select(F.col("source").cast("int").alias("source"), "node", "hops")
+
+
+@query("r23_paths", f"""WITH RECURSIVE {_CHAIN}, w AS (SELECT node AS goal, before AS place, before || ',' || node AS path, hops FROM p UNION ALL SELECT w.goal, p.before, p.before || ',' || w.path, w.hops FROM w JOIN p ON p.node = w.place)
+SELECT goal AS node, hops, path FROM w WHERE place = 0 UNION ALL SELECT 0, 0, '0'""")
+def _(t):
+    start = t("nation").filter("n_nationkey = 0").select(F.col("n_nationkey").cast("long").alias("source"))
+    found = graphs.distances(_chain(t), start)
+    return graphs.paths(found, found.select("source", "node")).select("node", "hops", F.array_join("path", ",").alias("path"))
 
 
 @query("r37_induced", "SELECT o_orderkey AS edge_id FROM orders WHERE contains(o_custkey::VARCHAR, '1') AND contains((o_orderkey % 500)::VARCHAR, '1') AND o_orderkey % 500 IN (SELECT c_custkey FROM customer)")

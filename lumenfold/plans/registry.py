@@ -27,7 +27,7 @@ def _upsert_sides(t):
 @query("j5_nearest", """WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
 SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM s WHERE score >= 0.2 QUALIFY rank <= 8""")
 def _(t):
-    return graphs.nearest(t("embeddings"), "vec_id", "embedding", 8, 0.2).withColumn("rank", F.col("rank").cast("long"))
+    return graphs.neighbours(t("embeddings"), "vec_id", "embedding", 8, 0.2).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("r22_ranked_neighbours", f"{_EDGES}, g AS (SELECT * FROM e ORDER BY score DESC, from_id, to_id LIMIT 40000), n AS (SELECT from_id AS id, to_id AS neighbour, score FROM g UNION ALL SELECT to_id, from_id, score FROM g) SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, neighbour) AS rank FROM n QUALIFY rank <= 5")

@@ -379,8 +379,8 @@ def test_nearest_in_small_blocks(spark):
     random.seed(1)
     rows = [(i, [random.gauss(0, 1) for _ in range(6)]) for i in range(150)] + [(150, None), (151, [0.0] * 6)]
     vecs = spark.createDataFrame(rows, "id long, v array<double>")
-    whole = graphs.nearest(vecs, "id", "v", 4, 0.1).collect()
-    blocks = graphs.nearest(vecs, "id", "v", 4, 0.1, block=20).collect()
+    whole = graphs.nearest(vecs, "id", "v", 4, 0.1, vecs).collect()
+    blocks = graphs.nearest(vecs, "id", "v", 4, 0.1, vecs, block=20).collect()
     assert sorted(map(tuple, whole)) == sorted(map(tuple, blocks))
     cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
     for i in (0, 77):
