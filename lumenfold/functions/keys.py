@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What stands for a redacted value, in text and in a query string, and for a url that can't be read.
 REDACTED, REDACTED_VALUE, INVALID = "[redacted]", "%5Bredacted%5D", "[invalid-url]"
@@ -362,3 +363,44 @@ def canonical_card(kind: str, before: dict[str, Column], look: Column, after: di
     whole = card(value(look))
     short = F.substring(value(look), F.lit(1), F.greatest(F.lit(0), F.length(value(look)) - (F.length(whole) - most)))
     return F.when(F.length(whole) <= most, whole).otherwise(F.substring(card(short), 1, most))
+
+
+#: Names of fields that hold an address, candidates of a picture, and text with css addresses.
+EVIDENCE_URLS, EVIDENCE_SRCSET, EVIDENCE_CSS = ("url", "href", "src", "current_src"), "srcset", ("css_text", "value", "source")
+
+
+def redact_evidence(value: Column, kind: T.DataType, base: Column, name: str = "") -> Column:
+    """A value of any nested type with its addresses redacted, by the names of fields or map keys, as one expression.
+
+    The type is walked when the query is built: structs, arrays and maps of any depth become field by field what they
+    are, and strings are redacted where the field they lie in says so. An array's items have no name. A record named
+    `url` whose value holds a value has that one redacted, whatever it is.
+    """
+    if isinstance(kind, T.StructType):
+        fields = {f.name: f.dataType for f in kind.fields}
+        plain = F.struct(*[redact_evidence(value[f], d, base, f).alias(f) for f, d in fields.items()])
+        inner = fields.get("value")
+        if isinstance(fields.get("name"), T.StringType) and isinstance(inner, T.StructType) and isinstance({f.name: f.dataType for f in inner.fields}.get("value"), T.StringType):
+            wrapped = F.struct(*[(redact_stored(value["value"][f.name], base) if f.name == "value" else value["value"][f.name]).alias(f.name) for f in inner.fields])
+            whole = F.struct(*[(wrapped if f == "value" else value[f]).alias(f) for f in fields])
+            plain = F.when((value["name"] == "url") & value["value"]["value"].isNotNull(), whole).otherwise(plain)
+        return F.when(value.isNotNull(), plain)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: redact_evidence(x, kind.elementType, base))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda k, v: _redact_by_key(k, v, kind.valueType, base))
+    if not isinstance(kind, T.StringType):
+        return value
+    if name in EVIDENCE_URLS:
+        return redact_stored(value, base)
+    if name == EVIDENCE_SRCSET:
+        return redact_srcset(value, base)
+    return F.when(value.rlike(r"(?i)url\("), redact_css(value, base)).otherwise(value) if name in EVIDENCE_CSS else value
+
+
+def _redact_by_key(key: Column, value: Column, kind: T.DataType, base: Column) -> Column:
+    """A map's value by its key, which is known row by row."""
+    if not isinstance(kind, T.StringType):
+        return redact_evidence(value, kind, base)
+    named = lambda n: redact_evidence(value, kind, base, n)
+    return F.when(key.isin(*EVIDENCE_URLS), named("url")).when(key == EVIDENCE_SRCSET, named(EVIDENCE_SRCSET)).when(key.isin(*EVIDENCE_CSS), named("value")).otherwise(value)

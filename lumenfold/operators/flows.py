@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.functions.keys import join_key, path_of, resolve, stable_id
+from lumenfold.functions.keys import destination_class, join_key, path_of, resolve, stable_id
 from lumenfold.operators.relational import first_per_key, latest
 
 #: Flow actions (id without its prefix, label, aliases, path hints).
@@ -58,7 +58,9 @@ def href_edges(screens: DataFrame, candidates: DataFrame) -> DataFrame:
     second = keyed.join(targets.select("_key", "_first"), "_key").filter("capture_id <> _first").groupBy("_key").agg(F.min("capture_id").alias("_second"))
     targets = targets.join(second, "_key", "left")
     links = candidates.filter(~F.coalesce(F.col("safety") == "forbid", F.lit(False)) & ~F.coalesce(F.col("destination_class").isin(*SKIPPED), F.lit(False)) & (F.col("destination") != ""))
-    links = links.join(screens.select("capture_id", F.col("url").alias("_base")), "capture_id").withColumn("_to", resolve(F.col("destination"), F.col("_base")))
+    links = links.join(screens.select("capture_id", F.col("url").alias("_base")), "capture_id")
+    # generated rather than projected, so that it is worked out once however often it is named
+    links = links.select("*", F.explode(F.array(resolve(F.col("destination"), F.col("_base")))).alias("_to"))
     links = links.withColumn("_key", join_key(F.col("_to")))
     found = links.join(targets, "_key").withColumn("to_id", F.when(F.col("_first") != F.col("capture_id"), F.col("_first")).otherwise(F.col("_second"))).filter("to_id IS NOT NULL")
     sure = clamp(F.least(F.lit(0.95), 0.55 + F.col("score") * 0.4))
@@ -240,3 +242,72 @@ def shared_neighbours(pairs: DataFrame, edges: DataFrame, a: str = "from_id", b:
     left, right = near.toDF(a, "_n"), near.toDF(b, "_n")
     met = pairs.select(a, b).join(left, a).join(right, [b, "_n"]).groupBy(a, b).agg(F.count(F.lit(1)).alias("shared"))
     return pairs.select(a, b).distinct().join(met, [a, b], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+
+
+#: Labels of controls that change or end something, and of links to small print.
+UNSAFE_LABEL = r"(?i)\b(log\s*out|sign\s*out|delete account|purchase|buy now|pay now|download)\b"
+SMALL_PRINT = r"(?i)\b(cookie|consent|privacy|impressum|legal|datenschutz|agb)\b"
+#: Landmarks by tags and roles, and the levels above a node in which they count.
+LANDMARKS = {"nav": (("nav",), ("navigation", "menubar"), 7), "main": (("main",), ("main",), 11), "footer": (("footer",), ("contentinfo",), 9)}
+#: What destination, control, place and label add to a candidate's score, which begins at 0.35.
+CLASS_POINTS = {"internal_path": 0.28, "internal_same_origin": 0.12, "fragment": 0.08, "external": -0.12, "unknown": -0.05}
+KIND_POINTS = {"link": 0.08, "nav_item": 0.08, "button": 0.05, "submit": 0.05, "tab": 0.04}
+#: Score of what is unsafe before its control and place count; candidates of a capture.
+FIRST_SCORE, UNSAFE_SCORE, MOST_CANDIDATES = 0.35, 0.05, 80
+
+
+def landmark_flags(nodes: DataFrame, closure: DataFrame) -> DataFrame:
+    """(capture, node_id, nav, main, footer) of nodes that are, or lie closely below, a landmark; `closure` as C10 gives it."""
+    role, tag = F.lower(F.coalesce(F.col("attributes")["role"], F.lit(""))), F.lower(F.coalesce("tag", F.lit("")))
+    marks = {name: tag.isin(*tags) | role.isin(*roles) for name, (tags, roles, _) in LANDMARKS.items()}
+    held = nodes.select("capture", F.col("node_id").alias("ancestor_id"), *[m.alias(f"_{n}") for n, m in marks.items()]).filter(" OR ".join(f"_{n}" for n in marks))
+    near = closure.filter(F.col("depth") <= max(levels for _, _, levels in LANDMARKS.values())).join(held, ["capture", "ancestor_id"])
+    own = held.select("capture", "ancestor_id", F.col("ancestor_id").alias("node_id"), F.lit(0).alias("depth"), *[f"_{n}" for n in marks])
+    flags = [F.max(F.col(f"_{n}") & (F.col("depth") <= levels)).alias(n) for n, (_, _, levels) in LANDMARKS.items()]
+    return near.select(own.columns).unionByName(own).groupBy("capture", "node_id").agg(*flags)
+
+
+def flow_candidates(nodes: DataFrame, closure: DataFrame, pages: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
+    """The controls of each capture that may lead somewhere, best first, 80 of a capture at most.
+
+    (capture, node_id, candidate_id, control_kind, destination, destination_class, unsafe_reason, safety, score, method,
+    name, box, rank). `nodes` has capture, node_id, parent_id, tag, attributes, text, rendered and box (null without
+    one); `pages` has capture and url. Whether a node lies in a navigation, the main part or the footer comes from the
+    closure, once for all nodes.
+    """
+    attribute = lambda n: F.coalesce(F.col("attributes")[n], F.lit(""))
+    tag, role, kind = F.lower(F.coalesce("tag", F.lit(""))), F.lower(attribute("role")), F.lower(attribute("type"))
+    href = F.trim(attribute("href"))
+    pressed = (tag == "input") & kind.isin("submit", "button", "image")
+    acts = ((tag == "a") & (href != "")) | (tag == "button") | pressed | ((tag != "input") & role.isin("link", "button", "tab", "menuitem"))
+    name = F.substring(F.trim(F.regexp_replace(F.coalesce(*[F.when(x != "", x) for x in (attribute("aria-label"), attribute("aria-labelledby"), attribute("title"), F.coalesce("text", F.lit("")))], F.lit("")), r"\s+", " ")), 1, 120)
+    height = nodes.groupBy("capture").agg(F.coalesce(F.expr("nullif(greatest(0.0D, max(box.y + box.height)), 0.0D)"), F.lit(900.0)).alias("_height"))
+    flags = landmark_flags(nodes, closure)
+    rows = nodes.filter(acts & F.coalesce("rendered", F.lit(True))).join(flags, ["capture", "node_id"], "left").join(height, "capture").join(pages.select("capture", F.col("url").alias("_page")), "capture", "left")
+    rows = rows.withColumns({n: F.coalesce(n, F.lit(False)) for n in LANDMARKS})
+    control = (
+        F.when(role == "tab", "tab").when((tag == "a") | (role == "link"), F.when(F.col("nav"), "nav_item").otherwise("link"))
+        .when((tag == "button") | (role == "button"), F.when(kind == "submit", "submit").otherwise("button")).when(pressed, F.when(kind == "submit", "submit").otherwise("button")).otherwise("other")
+    )
+    rows = rows.withColumns({"control_kind": control, "name": name, "_href": F.when(href != "", href)}).filter("_href IS NOT NULL OR control_kind IN ('button', 'submit', 'tab')")
+    # generated rather than projected, so that each is worked out once however often it is named
+    rows = rows.select("*", F.explode(F.array(resolve(F.col("_href"), F.col("_page")))).alias("_to"))
+    rows = rows.select("*", F.explode(F.array(destination_class(F.col("_href"), F.col("_page"), F.col("_to")))).alias("_d"))
+    label = F.col("name").rlike(UNSAFE_LABEL)
+    unsafe = label & (F.col("_d.destination_class") != "action_unsafe")
+    rows = rows.withColumns({"destination": F.col("_d.destination"), "destination_class": F.when(unsafe, "action_unsafe").otherwise(F.col("_d.destination_class")), "unsafe_reason": F.when(unsafe, "label").otherwise(F.col("_d.unsafe_reason"))})
+    add = lambda when, p: F.when(F.coalesce(when, F.lit(False)), p).otherwise(0.0)
+    score = F.when(F.col("destination_class") == "action_unsafe", UNSAFE_SCORE).otherwise(FIRST_SCORE)
+    for column, points in (("destination_class", CLASS_POINTS), ("control_kind", KIND_POINTS)):
+        for value, p in points.items():
+            score = score + add(F.col(column) == value, p)
+    score = score + add(F.col("main"), 0.12) + add(F.col("nav"), 0.06) + add(F.col("footer"), -0.2) + add(F.col("name").rlike(SMALL_PRINT), -0.25) + add(F.length("name") >= 2, 0.06) + 0.04
+    score = score + add(F.col("box.y") < F.col("_height") * 1.1, 0.08) + add(F.col("box.width") * F.col("box.height") > 4000, 0.03)
+    safety = (
+        F.when(F.col("destination_class") == "action_unsafe", "forbid").when(F.col("destination_class").isin("external", "fragment") | F.col("control_kind").isin("link", "nav_item"), "href_join_only")
+        .when(F.col("destination_class").isin("internal_path", "internal_same_origin"), "allow_activate").otherwise("href_join_only")
+    )
+    out = rows.withColumns({"score": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4), "safety": safety, "method": F.when(F.col("_href").isNotNull(), "link_href_scan").otherwise("control_role_scan")})
+    rank = F.row_number().over(Window.partitionBy("capture").orderBy(F.col("score").desc(), F.col("node_id").cast("string"))).cast("long")
+    out = out.withColumn("rank", rank).filter(F.col("rank") <= most).withColumn("candidate_id", stable_id("cand", F.col("capture"), F.col("node_id"), F.col("control_kind"), length=16))
+    return out.select("capture", "node_id", "candidate_id", "control_kind", "destination", "destination_class", "unsafe_reason", "safety", "score", "method", "name", "box", "rank")

@@ -44,6 +44,18 @@ def _(t):
     return t("pages").select("page_id", keys.redact_url(F.col("url")).alias("redacted"))
 
 
+@query("b10_redact_evidence", f"""WITH {_PARTS}, r AS (SELECT page_id, url, CASE WHEN ok THEN {_REDACTED} ELSE '[invalid-url]' END AS red FROM x)
+SELECT page_id, red AS href, red AS listed, red || ' 2x' AS in_map, url AS plain, red AS wrapped, 'a{{background:url(' || red || ')}}' AS css, url AS source FROM r""")
+def _(t):
+    url = F.col("url")
+    css = F.concat(F.lit("a{background:url("), url, F.lit(")}"))
+    named = F.struct(F.lit("url").alias("name"), F.struct(url.alias("value"), F.lit(1).alias("line")).alias("value"))
+    record = F.struct(F.struct(url.alias("href"), url.alias("label")).alias("link"), F.array(F.struct(F.array(F.struct(url.alias("src"))).alias("images"))).alias("items"), F.create_map(F.lit("srcset"), F.concat(url, F.lit(" 2x")), F.lit("alt"), url).alias("attributes"), F.struct(css.alias("css_text"), url.alias("source")).alias("sheet"), named.alias("entry"))
+    rows = t("pages").select("page_id", "url", record.alias("e"))
+    clean = rows.select("page_id", keys.redact_evidence(F.col("e"), rows.schema["e"].dataType, url).alias("e"))
+    return clean.select("page_id", F.col("e.link.href").alias("href"), F.col("e.items")[0]["images"][0]["src"].alias("listed"), F.col("e.attributes")["srcset"].alias("in_map"), F.col("e.link.label").alias("plain"), F.col("e.entry.value.value").alias("wrapped"), F.col("e.sheet.css_text").alias("css"), F.col("e.sheet.source").alias("source"))
+
+
 @query("b8_redact_diagnostic", f"""WITH {_PARTS}, r AS (SELECT page_id, CASE WHEN ok THEN {_REDACTED} ELSE '[invalid-url]' END AS red FROM x)
 SELECT page_id, sha256('at ' || red || ' with Bearer [redacted] and TOKEN=[redacted]') AS redacted_sha256 FROM r""")
 def _(t):
