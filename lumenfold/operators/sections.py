@@ -421,3 +421,28 @@ def crop_reason(sig: Column, category: Column, frame: Column, limits: tuple[int,
         .when((F.lower(category) == "nav") & (frame["height"] < 160) & ~sig.contains("cta"), "nav_chrome")
         .otherwise("selected_geometry")
     )
+
+
+#: Insights and steps of a page that only measures tell of, roles of a chain, characters of an interpretation.
+MOST_INSIGHTS, MOST_FLOW, MOST_CHAIN, MOST_TOLD = 8, 12, 6, 160
+
+
+def measured_recipes(sections: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(insights, steps) of pages from their sections alone, desktop ones where there are any.
+
+    insights: keys, place, signature, category, interpretation, evidence_refs, the first eight by category and
+    signature; steps: keys, step, section_label, signature, the first twelve. `sections` has ordinal, viewport_name,
+    category, signature, taxonomy_id, text_signals, steps (role) and gap_px.
+    """
+    desktop = F.col("viewport_name") == "desktop"
+    known = F.max(F.coalesce(desktop, F.lit(False))).over(Window.partitionBy(*keys))
+    chosen = sections.withColumn("_any", known).filter(~F.col("_any") | desktop).withColumn("step", F.row_number().over(Window.partitionBy(*keys).orderBy("ordinal", "section_id")).cast("long"))
+    steps = chosen.filter(F.col("step") <= MOST_FLOW).select(*keys, "step", F.concat_ws(" · ", "category", "signature").alias("section_label"), "signature")
+    first = chosen.withColumn("_again", F.row_number().over(Window.partitionBy(*keys, "category", "signature").orderBy("step"))).filter("_again = 1")
+    first = first.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("step")).cast("long")).filter(F.col("place") <= MOST_INSIGHTS)
+    roles = F.slice(F.transform("steps", lambda s: s["role"]), 1, MOST_CHAIN)
+    chain = F.when(F.size(roles) > 0, F.array_join(roles, " → ")).otherwise("section stack")
+    mean = half_up(F.aggregate("gap_px", F.lit(0.0), lambda a, g: a + g) / F.size("gap_px"))
+    hint = F.when(F.size("gap_px") > 0, F.concat(F.lit("gaps ~"), mean.cast("string"), F.lit("px"))).otherwise("measured stack")
+    refs = F.concat(F.array("taxonomy_id"), F.slice(F.coalesce("text_signals", F.array().cast("array<string>")), 1, 2))
+    return first.select(*keys, "place", "signature", "category", F.substring(F.concat_ws("; ", chain, hint), 1, MOST_TOLD).alias("interpretation"), refs.alias("evidence_refs")), steps

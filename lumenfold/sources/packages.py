@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 ARTIFACT = "struct<path:string,sha256:string,bytes:long,media_type:string>"
 #: The fields of a manifest, of a record of nodes, boxes, styles and accessibility, and of a catalog.
-MANIFEST = f"""schema_version string, capture_run_id string, status string, run_artifacts map<string,{ARTIFACT}>, errors array<string>, interventions array<string>,
+MANIFEST = f"""schema_version string, capture_run_id string, status string, requested_url string, canonical_url string, started_at timestamp, completed_at timestamp, quality struct<overall:double>, run_artifacts map<string,{ARTIFACT}>, errors array<string>, interventions array<string>,
  site struct<site_id:string,domain:string>, page struct<page_id:string,route:string>,
- viewport_captures array<struct<viewport_capture_id:string,name:string,status:string,node_count:long,viewport:struct<width:double,height:double>,artifacts:map<string,{ARTIFACT}>>>"""
+ viewport_captures array<struct<viewport_capture_id:string,name:string,status:string,node_count:long,title:string,viewport:struct<width:double,height:double>,document:struct<width:double,height:double>,artifacts:map<string,{ARTIFACT}>>>"""
 NODE = "node_id string, parent_node_id string, node_type string, tag string, sibling_index int, rendered boolean, attributes map<string,string>, source_anchor map<string,string>, dom_path string, text string"
 BOX = "node_id string, bbox struct<x:double,y:double,width:double,height:double>"
 STYLE = "node_id string, properties map<string,string>"
@@ -152,11 +152,3 @@ def report(found: DataFrame, listed: DataFrame, issues: DataFrame) -> DataFrame:
     joined = found.select("package").join(checked, "package", "left").join(counts, "package", "left")
     n = F.coalesce("issues", F.lit(0))
     return joined.select("package", (n == 0).alias("valid"), F.coalesce("checked_artifacts", F.lit(0)).alias("checked_artifacts"), n.alias("issues"))
-
-
-def library_tables(found: DataFrame) -> dict[str, DataFrame]:
-    """A8 in part: captures, viewports and artifacts of packages, as rows of the library."""
-    captures = found.select("capture_run_id", "status", F.col("site.domain").alias("site_domain"), F.col("page.route").alias("page_route"), "package")
-    views = found.select("capture_run_id", F.explode("viewport_captures").alias("_v")).select("capture_run_id", "_v.viewport_capture_id", "_v.name", "_v.status", "_v.node_count", "_v.viewport.width", "_v.viewport.height")
-    ids = found.select("package", "capture_run_id")
-    return {"captures": captures, "viewports": views, "artifacts": artifacts(found).join(ids, "package").drop("package")}

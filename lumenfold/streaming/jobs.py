@@ -117,12 +117,17 @@ def replay(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> No
     writer.start().awaitTermination()
 
 
-def ingest(stream: DataFrame, tables: Callable[[DataFrame], dict[str, DataFrame]], out: str, checkpoint: str) -> None:
-    """Each batch of manifests becomes rows of the library's tables, in a folder of its batch id, so that a batch that is run again replaces itself."""
+def ingest(stream: DataFrame, out: str, checkpoint: str, scope: DataFrame | None = None) -> None:
+    """Each batch of manifests (`sources.library.manifest_stream`) becomes rows of the library below `out`.
 
-    def write(batch: DataFrame, i: int) -> None:
-        for name, rows in tables(batch).items():
-            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={i}")
+    A capture's rows replace those that it had, in every table, so a batch that is run again leaves the same library.
+    A batch has as many packages as the stream's maxFilesPerTrigger lets through; their folders are all that the driver
+    learns of it.
+    """
+    from lumenfold.sources import library
+
+    def write(batch: DataFrame, _: int) -> None:
+        library.replace_captures(batch, out, scope)
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
