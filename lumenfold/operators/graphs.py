@@ -176,6 +176,15 @@ def degrees(edges: DataFrame, a: str = "from_id", b: str = "to_id") -> DataFrame
     return edges.select(F.explode(F.array(a, b)).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def community_sizes(members: DataFrame, community: str) -> DataFrame:
+    """(community, n, rank): nodes of each community, the largest first, ties by its name; nodes of none are left out.
+
+    Sizes are summed before they are ranked, so only communities meet.
+    """
+    sizes = members.filter(F.col(community).isNotNull()).groupBy(community).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), community)).cast("long"))
+
+
 def ranked_neighbours(edges: DataFrame, n: int = 5) -> DataFrame:
     """The n best neighbours of every node by score, ties by id."""
     both = edges.select(F.explode(F.array(F.struct(F.col("from_id").alias("id"), F.col("to_id").alias("neighbour"), "score"), F.struct(F.col("to_id").alias("id"), F.col("from_id").alias("neighbour"), "score"))).alias("e")).select("e.*")

@@ -112,6 +112,30 @@ def cache_split(requests: DataFrame, cache: DataFrame, keys: list[str]) -> DataF
     return requests.join(cache.withColumn("_hit", F.lit(True)), keys, "left").withColumn("hit", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
+def with_captures(rows: DataFrame, captures: DataFrame, key: str) -> DataFrame:
+    """Viewports or analyses with the columns of their capture, those of a known capture only."""
+    return rows.join(captures, key)
+
+
+def member_counts(collections: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """Every collection with the number of its members, 0 for none; members are counted before they are joined."""
+    counts = members.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("members"))
+    return collections.join(counts, key, "left").withColumn("members", F.coalesce("members", F.lit(0)))
+
+
+def unmatched(rows: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
+    """Rows that none of the others shares `on` with; a null matches nothing."""
+    return rows.join(others.select(*on).distinct(), on, "left_anti")
+
+
+def avoid_union(lists: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """(keys, avoid) the distinct entries of several lists or values of all rows of a key, sorted; nulls and empty texts are no entries."""
+    kinds = dict(lists.dtypes)
+    each = F.concat(*[F.coalesce(F.col(c) if kinds[c].startswith("array") else F.array(c), F.array().cast("array<string>")) for c in columns])
+    flat = lists.select(*keys, F.explode_outer(each).alias("_e"))
+    return flat.groupBy(*keys).agg(F.array_sort(F.collect_set(F.when(F.col("_e") != "", F.col("_e")))).alias("avoid"))
+
+
 def first_match(rows: DataFrame, others: DataFrame, on: list[str], pick: str) -> DataFrame:
     """Rows with the least `pick` of the others that share `on`, as `matched`; null without one."""
     first = others.groupBy(*on).agg(F.min(pick).alias("matched"))

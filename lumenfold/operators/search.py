@@ -122,6 +122,39 @@ def under_budget(references: DataFrame, pack_key: str, size: Column, most: int,
     return references.withColumn("used", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("used") <= most)
 
 
+#: Fixed value: characters of a look that has to be short.
+SHORT_LOOK = 120
+
+
+def clipped(text: Column, most: int) -> Column:
+    """At most so many characters, with an ellipsis where some are missing."""
+    text = F.trim(text)
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, max(0, most - 1))), F.lit("…")))
+
+
+def fitted_packs(references: DataFrame, pack_key: str, place: str, fields: list[str], text: str, most: int) -> DataFrame:
+    """(pack, place, fields, text, bytes, over): references of packs whose json arrays have `most` UTF-8 bytes or less.
+
+    The last references go until the rest fits, but the first one stays; if it alone is too large, its text is clipped to
+    120 characters, and if that is too large, to what is left. `over` tells of a pack whose first reference is too large
+    without any text. A reference is the json object of the fields and the text; a null one is left out of it.
+    """
+    from pyspark.sql import Window
+
+    size = lambda t: F.octet_length(F.to_json(F.struct(*fields, t.alias(text))))
+    w = Window.partitionBy(pack_key).orderBy(place)
+    sized = references.select(pack_key, place, *fields, text, size(F.col(text)).alias("_size"))
+    used = F.sum(F.col("_size") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1
+    kept = sized.withColumns({"_used": used, "_first": F.row_number().over(w) == 1}).filter((F.col("_used") <= most) | F.col("_first"))
+    short = F.when(F.col("_used") > most, clipped(F.col(text), SHORT_LOOK)).otherwise(F.col(text))
+    kept = kept.withColumn(text, short).withColumn("_more", size(F.col(text)) + 2 - most)
+    # a character has a byte at least, the ellipsis three, so this many less are enough
+    rest = F.length(text) - F.col("_more") - 3
+    fits = F.when(F.col("_more") <= 0, F.col(text)).when(rest > 0, F.concat(F.rtrim(F.expr(f"substring(`{text}`, 1, cast(length(`{text}`) - _more - 3 AS INT))")), F.lit("…"))).otherwise("")
+    out = kept.withColumn(text, fits).withColumn("bytes", size(F.col(text)).cast("long"))
+    return out.select(pack_key, place, *fields, text, "bytes", (F.col("bytes") + 2 > most).alias("over"))
+
+
 def recall_at(found: DataFrame, truth: DataFrame, query: str, item: str, k: int) -> DataFrame:
     """Q6: (query, recall): part of the k true items of each query that `found` has among its own k; both have a rank."""
     true, got = truth.filter(F.col("rank") <= k).select(query, item), found.filter(F.col("rank") <= k).select(query, item).withColumn("_hit", F.lit(1))

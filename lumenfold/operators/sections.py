@@ -162,9 +162,16 @@ def recipes(blocks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def composition_clusters(sections: DataFrame) -> DataFrame:
-    """Sections of one signature, category and term: count, viewport names, up to four of their text signals."""
-    some = F.slice(F.array_distinct(F.flatten(F.array_sort(F.collect_list("text_signals")))), 1, 4)
-    return sections.groupBy("signature", "category", "taxonomy_id").agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_set("viewport_name")).alias("viewport_names"), some.alias("example_text_signals"))
+    """Sections of one signature, category and term: count, viewport names, up to four of their text signals, the least ones.
+
+    Signals are made distinct and numbered within a cluster, so that four of each are gathered and no cluster's texts meet.
+    """
+    keys = ["signature", "category", "taxonomy_id"]
+    counts = sections.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_set("viewport_name")).alias("viewport_names"))
+    flat = sections.select(*keys, F.explode("text_signals").alias("_t")).distinct()
+    first = flat.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_t"))).filter("_n <= 4")
+    some = first.groupBy(*keys).agg(F.array_sort(F.collect_list("_t")).alias("example_text_signals"))
+    return counts.join(some, keys, "left").withColumn("example_text_signals", F.coalesce("example_text_signals", F.array().cast("array<string>")))
 
 
 def hint_score(signature_parts: Column, hint_parts: Column) -> Column:

@@ -67,13 +67,15 @@ def motion(records: DataFrame, viewport: list[str]) -> DataFrame:
     """Total, declarations, runtime instances, those that a compositor runs, and animated properties."""
     source = F.coalesce("source", F.lit("unknown"))
     declared = F.count(F.when(source == "computed_css", 1))
-    return records.groupBy(*viewport).agg(
+    counts = records.groupBy(*viewport).agg(
         F.count(F.lit(1)).alias("total"),
         declared.alias("declarations"),
         (F.count(F.lit(1)) - declared).alias("runtime_instances"),
         F.count(F.when((source != "computed_css") & F.coalesce(F.col("compositor_friendly"), F.lit(False)), 1)).alias("compositor_friendly_runtime_instances"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("animated_properties", F.array().cast("array<string>")))))).alias("animated_properties"),
     )
+    # a property once for each viewport, before any are gathered
+    names = records.select(*viewport, F.explode("animated_properties").alias("_p")).groupBy(*viewport).agg(F.array_sort(F.collect_set("_p")).alias("animated_properties"))
+    return counts.join(names, viewport, "left").withColumn("animated_properties", F.coalesce("animated_properties", F.array().cast("array<string>")))
 
 
 def hypotheses(counts: DataFrame, viewport: list[str]) -> DataFrame:

@@ -147,11 +147,13 @@ def _(t):
     return library.hotspots(rows).groupBy("section_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("normalized.x"), 4).alias("x"))
 
 
-@query("j7_wide_nodes", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_orderstatus, p_type FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN part ON p_partkey = l_partkey")
+@query("j7_wide_nodes", """WITH b AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS width FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL), s AS (SELECT l_orderkey, l_linenumber, min(l_tax) AS opacity FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL)
+SELECT l.l_orderkey, l.l_linenumber, l_partkey, l_suppkey, width, opacity FROM lineitem l LEFT JOIN b ON b.l_orderkey = l.l_orderkey AND b.l_linenumber = l.l_linenumber LEFT JOIN s ON s.l_orderkey = l.l_orderkey AND s.l_linenumber = l.l_linenumber""")
 def _(t):
-    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    o = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
-    return lines.join(o, "l_orderkey", "left").join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey", "left")
+    lines, on = t("lineitem"), ["l_orderkey", "l_linenumber"]
+    boxes = lines.filter("l_returnflag = 'A'").groupBy(*on).agg(F.max("l_quantity").alias("width"))
+    styles = lines.filter("l_linestatus = 'F'").groupBy(*on).agg(F.min("l_tax").alias("opacity"))
+    return library.wide_nodes(lines.select(*on, "l_partkey", "l_suppkey"), boxes, styles, ["l_orderkey"], "l_linenumber")
 
 
 @query("j16_logical_ids", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, n_name AS element_id FROM lineitem LEFT JOIN nation ON n_nationkey = l_suppkey % 50 AND n_regionkey = l_linenumber % 5")

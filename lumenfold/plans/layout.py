@@ -149,10 +149,11 @@ def _(t):
     return out.select("l_orderkey", "signature", F.size("steps").cast("long").alias("steps"), F.aggregate("gap_px", F.lit(0).cast("long"), lambda a, b: a + b).alias("gap_total"))
 
 
-@query("d17_composition_clusters", f"WITH {_STEPS} SELECT signature, 'content' AS category, count(*) AS count FROM g GROUP BY signature")
+@query("d17_composition_clusters", f"""WITH {_STEPS}, x AS (SELECT DISTINCT signature, l_linestatus AS said FROM g JOIN l ON l.l_orderkey = g.l_orderkey WHERE n <= 6), y AS (SELECT signature, string_agg(said, ',' ORDER BY said) AS said FROM x GROUP BY signature)
+SELECT g.signature, 'content' AS category, count(*) AS count, any_value(said) AS said FROM g JOIN y ON y.signature = g.signature GROUP BY g.signature""")
 def _(t):
     found = sections.recipes(_blocks(t), ["l_orderkey"]).select("*", F.lit("content").alias("category"), F.lit("dig:section.generic").alias("taxonomy_id"), F.lit("desktop").alias("viewport_name"))
-    return sections.composition_clusters(found).select("signature", "category", "count")
+    return sections.composition_clusters(found).select("signature", "category", "count", F.array_join("example_text_signals", ",").alias("said"))
 
 
 def _sections(t):

@@ -87,15 +87,29 @@ def _(t):
     return relational.host_tags(rows, "host", "tag", F.col("o_orderkey")).withColumn("tags", F.array_join("tags", ","))
 
 
-@query("g17_community_sizes", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+@query("g17_community_sizes", "SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, label) AS rank FROM embeddings WHERE label IS NOT NULL GROUP BY label")
 def _(t):
-    return t("embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "label")
+    return graphs.community_sizes(t("embeddings"), "label")
 
 
 @query("j1_screens", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey, o_orderstatus FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def _(t):
     views = t("lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey", "l_suppkey")
-    return views.join(t("orders").select(F.col("o_orderkey").alias("k"), "o_custkey", "o_orderstatus"), "k").withColumnRenamed("k", "l_orderkey")
+    return relational.with_captures(views, t("orders").select(F.col("o_orderkey").alias("k"), "o_custkey", "o_orderstatus"), "k").withColumnRenamed("k", "l_orderkey")
+
+
+@query("j2_analyses", "SELECT o_orderkey, o_custkey, o_totalprice, c_name, c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey")
+def _(t):
+    captures = t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
+    return relational.with_captures(t("orders").select("o_orderkey", "o_custkey", "o_totalprice"), captures, "o_custkey")
+
+
+@query("j14_flow_sections", "SELECT o_orderkey, o_custkey, o_orderpriority, (SELECT min(s.o_orderkey) FROM orders s WHERE s.o_custkey = o.o_custkey AND s.o_orderpriority = o.o_orderpriority AND s.o_orderstatus = 'F') AS matched FROM orders o")
+def _(t):
+    """A step of a page's flow and the page's first section of the same signature."""
+    o = t("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    sections_ = t("orders").filter("o_orderstatus = 'F'").select("o_custkey", "o_orderpriority", F.col("o_orderkey").alias("section_id"))
+    return relational.first_match(o, sections_, ["o_custkey", "o_orderpriority"], "section_id")
 
 
 @query("j4_pending_vectors", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F') AND o_orderkey % 3 <> 0")
@@ -172,9 +186,10 @@ def _(t):
     return relational.first_distinct(rows, ["l_orderkey"], "l_suppkey", 8, F.col("place"), F.col("l_suppkey")).select("l_orderkey", "l_suppkey", F.col("rank").cast("long").alias("rank"))
 
 
-@query("s4_avoid_union", "SELECT l_orderkey, len(list_distinct(list_concat(list(l_returnflag), list(l_linestatus))))::INT AS n FROM lineitem GROUP BY l_orderkey")
+@query("s4_avoid_union", "WITH u AS (SELECT l_orderkey, l_returnflag AS e FROM lineitem UNION SELECT l_orderkey, l_linestatus FROM lineitem UNION SELECT l_orderkey, unnest(['x', l_returnflag || l_linestatus]) FROM lineitem) SELECT l_orderkey, string_agg(e, ',' ORDER BY e) AS avoid FROM u GROUP BY l_orderkey")
 def _(t):
-    return t("lineitem").groupBy("l_orderkey").agg(F.size(F.array_union(F.collect_list("l_returnflag"), F.collect_list("l_linestatus"))).alias("n"))
+    lists = t("lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", F.array(F.lit("x"), F.concat("l_returnflag", "l_linestatus"), F.lit("")).alias("more"))
+    return relational.avoid_union(lists, ["l_orderkey"], "l_returnflag", "l_linestatus", "more").withColumn("avoid", F.array_join("avoid", ","))
 
 
 def _nodes(t):
@@ -323,6 +338,18 @@ def _(t):
     return search.pack(_references(t), t("supplier").select("s_suppkey"))[0].select("reference_id", "category")
 
 
+_LOOKS = "r AS (SELECT l_orderkey AS pack, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place, l_partkey::VARCHAR AS reference_id, trim(repeat('\u00e9tude ', l_quantity::INT)) AS look FROM lineitem)".replace("\\u00e9", "é")
+
+
+@query("r32_fitted_packs", f"""WITH {_LOOKS}, z AS (SELECT *, strlen(to_json({{'reference_id': reference_id, 'look': look}})::VARCHAR) AS size FROM r),
+k AS (SELECT *, sum(size + 1) OVER (PARTITION BY pack ORDER BY place) + 1 AS used FROM z), c AS (SELECT *, CASE WHEN used > 260 AND length(look) > 120 THEN rtrim(left(look, 119)) || '…' ELSE look END AS short FROM k WHERE used <= 260 OR place = 1)
+SELECT pack, place, reference_id, short AS look, strlen(to_json({{'reference_id': reference_id, 'look': short}})::VARCHAR) AS bytes FROM c""")
+def _(t):
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = t("lineitem").select(F.col("l_orderkey").alias("pack"), F.row_number().over(order).cast("long").alias("place"), F.col("l_partkey").cast("string").alias("reference_id"), F.trim(F.repeat(F.lit("étude "), F.col("l_quantity").cast("int"))).alias("look"))
+    return search.fitted_packs(rows, "pack", "place", ["reference_id"], "look", 260).drop("over")
+
+
 @query("r32_under_budget", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS used FROM lineitem QUALIFY used <= 100")
 def _(t):
     rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")

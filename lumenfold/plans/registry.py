@@ -117,8 +117,7 @@ def _(t):
 
 @query("j3_collection_counts", "SELECT c_custkey, c_name, count(o_orderkey) AS members FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL")
 def _(t):
-    orders = t("orders")
-    return t("customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey", "c_name").agg(F.count("o_orderkey").alias("members"))
+    return relational.member_counts(t("customer").select("c_custkey", "c_name"), t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("k4_top_per_group", "SELECT p_type, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part QUALIFY rank <= 12")
@@ -231,7 +230,7 @@ def _(t):
 @query("j13_unmatched", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def _(t):
     matched = t("orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
-    return t("customer").select("c_custkey", "c_name").join(matched, "c_custkey", "left_anti")
+    return relational.unmatched(t("customer").select("c_custkey", "c_name"), matched, ["c_custkey"])
 
 
 @query("j22_coverage", """WITH s AS (SELECT l_suppkey, l_partkey, bool_or(l_returnflag = 'A') AS a, bool_or(l_returnflag = 'R') AS r FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL)
