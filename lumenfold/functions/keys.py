@@ -284,12 +284,17 @@ def words_key(text: Column) -> Column:
 
 def unique_first(values: Column, most: int) -> Column:
     """Trimmed values, the first of those equal in lower case, at most `most`."""
-    trimmed = F.filter(F.transform(values, F.trim), lambda v: v != "")
+    trimmed = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
     lowered = F.transform(trimmed, F.lower)
     first = F.filter(F.transform(trimmed, lambda v, i: F.when(F.array_position(lowered, F.lower(v)) == i + 1, v)), lambda v: v.isNotNull())
     return F.slice(first, 1, most)
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), where value is worked out once however often f names it."""
+    return F.transform(F.array(value), lambda v: f(v))[0]
+
+
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 

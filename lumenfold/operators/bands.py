@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.functions.keys import is_consent_text
+from lumenfold.functions.keys import bound, is_consent_text
 
 #: Categories of a band, bands of a page, least height of a band that a model gives.
 CATEGORIES = ("hero", "nav", "feature", "content", "commerce", "conversion", "social_proof", "footer", "other")
@@ -121,11 +121,6 @@ def _within(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
-def _let(x: Column, f) -> Column:
-    """f(x), where x is worked out once however often f names it."""
-    return F.transform(F.array(x), f)[0]
-
-
 def _put(b: Column, y: Column, height: Column) -> Column:
     return F.struct(*[b[n].alias(n) for n in ("band_id", "label", "category", "confidence")], y.alias("y"), height.alias("height"))
 
@@ -139,7 +134,7 @@ def _in_pairs(bands: Column, step) -> Column:
 
     def add(done: Column, b: Column) -> Column:
         joined = lambda last: F.concat(F.slice(done, 1, F.size(done) - 1), step(last, b))
-        return F.when(F.size(done) == 0, F.concat(done, F.array(b))).otherwise(_let(F.element_at(done, -1), joined))
+        return F.when(F.size(done) == 0, F.concat(done, F.array(b))).otherwise(bound(F.element_at(done, -1), joined))
 
     return F.aggregate(bands, F.slice(bands, 1, 0), add)
 
@@ -228,7 +223,7 @@ def refine_bands(bands: DataFrame, keys: list[str]) -> DataFrame:
     pages = bands.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(b)), lambda x: x["b"]).alias("_b"))
     refined = F.col("_b")
     for step in _STEPS:
-        refined = _let(refined, step)
+        refined = bound(refined, step)
     out = pages.select(*keys, F.posexplode(refined).alias("_i", "_x"))
     return out.select(*keys, (F.col("_i") + 1).cast("long").alias("place"), F.concat(F.lit("band_"), F.col("_i") + 1).alias("band_id"), "_x.label", "_x.category", "_x.confidence", part(F.col("_x.y")).alias("y"), part(F.col("_x.height")).alias("height"))
 

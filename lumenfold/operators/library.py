@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.functions.keys import capture_key, host_key, is_blocked, is_home, join_key, origin_of, stable_id, words_key
+from lumenfold.functions.keys import bound, capture_key, host_key, is_blocked, is_home, join_key, origin_of, stable_id, words_key
 from lumenfold.functions.looks import alpha_of, luminance, pixels, rgb_of
 from lumenfold.operators.flows import ACTIONS, PREFIX
 from lumenfold.operators.relational import latest, top_n
@@ -40,14 +40,18 @@ def seed_urls(pages: DataFrame, scan: str, root: str, url: str, *order: Column,
 
 def vocabulary_match(text: Column, vocabulary: list[str]) -> Column:
     """The term that equals the text, else the longest one of four characters or more within it; null for none."""
-    hay, key = words_key(text), lambda t: " ".join(t.lower().replace("_", " ").replace("|", " ").replace("/", " ").replace("-", " ").split())
-    exact, inside = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for term in reversed(vocabulary):
-        exact = F.when(hay == key(term), term).otherwise(exact)
-    for term in sorted(reversed(vocabulary), key=lambda t: len(key(t))):
-        if len(key(term)) >= 4:
-            inside = F.when(hay.contains(key(term)), term).otherwise(inside)
-    return F.coalesce(exact, inside)
+    key = lambda t: " ".join(t.lower().replace("_", " ").replace("|", " ").replace("/", " ").replace("-", " ").split())
+
+    def match(hay: Column) -> Column:
+        exact, inside = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for term in reversed(vocabulary):
+            exact = F.when(hay == key(term), term).otherwise(exact)
+        for term in sorted(reversed(vocabulary), key=lambda t: len(key(t))):
+            if len(key(term)) >= 4:
+                inside = F.when(hay.contains(key(term)), term).otherwise(inside)
+        return F.coalesce(exact, inside)
+
+    return bound(words_key(text), match)
 
 
 def flat_styles(rules: DataFrame, node: str, position: str, properties: list[str]) -> DataFrame:
