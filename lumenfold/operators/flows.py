@@ -311,3 +311,22 @@ def flow_candidates(nodes: DataFrame, closure: DataFrame, pages: DataFrame, most
     rank = F.row_number().over(Window.partitionBy("capture").orderBy(F.col("score").desc(), F.col("node_id").cast("string"))).cast("long")
     out = out.withColumn("rank", rank).filter(F.col("rank") <= most).withColumn("candidate_id", stable_id("cand", F.col("capture"), F.col("node_id"), F.col("control_kind"), length=16))
     return out.select("capture", "node_id", "candidate_id", "control_kind", "destination", "destination_class", "unsafe_reason", "safety", "score", "method", "name", "box", "rank")
+
+
+def compare_nodes(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(left_id, right_id, same_type, differing_properties, shared_neighbours) of pairs (left_id, right_id) of known nodes.
+
+    Properties differ where a key has another value or none; shared neighbours are nodes that both are linked with, in
+    either direction. Both lists are sorted. Only neighbours of nodes that are asked for are looked up.
+    """
+    asked = pairs.select("left_id", "right_id").distinct()
+    of = lambda s: nodes.select(F.col("node_id").alias(f"{s}_id"), F.col("type").alias(f"_{s}_type"), F.col("properties").alias(f"_{s}_map"))
+    known = asked.join(of("left"), "left_id").join(of("right"), "right_id")
+    left, right = F.coalesce("_left_map", F.create_map().cast("map<string,string>")), F.coalesce("_right_map", F.create_map().cast("map<string,string>"))
+    differing = F.array_sort(F.filter(F.array_union(F.map_keys(left), F.map_keys(right)), lambda k: ~left[k].eqNullSafe(right[k])))
+    known = known.select("left_id", "right_id", F.col("_left_type").eqNullSafe(F.col("_right_type")).alias("same_type"), differing.alias("differing_properties"))
+    both = neighbours(edges)
+    near = asked.join(both.select(F.col("id").alias("left_id"), F.col("neighbour").alias("_n")), "left_id").join(both.select(F.col("id").alias("right_id"), F.col("neighbour").alias("_n")), ["right_id", "_n"])
+    shared = near.groupBy("left_id", "right_id").agg(F.array_sort(F.collect_set("_n")).alias("shared_neighbours"))
+    kind = dict(shared.dtypes)["shared_neighbours"]
+    return known.join(shared, ["left_id", "right_id"], "left").withColumn("shared_neighbours", F.coalesce("shared_neighbours", F.array().cast(kind)))

@@ -144,8 +144,12 @@ GUESSED = ("pattern.hero", "pattern.modal", "pattern.accordion", "pattern.card_g
 def entities(nodes: DataFrame) -> DataFrame:
     """(capture, entity_id, node_id, ordinal, taxonomy_id, confidence, method), once for each node and term.
 
-    Rules by tag or role, then search forms and breadcrumbs by their label. Only rendered nodes. One pass, no shuffle.
+    Rules by tag or role, then search forms and breadcrumbs by their label, and headers whose position is sticky. Only
+    rendered nodes; pseudo nodes are decoration and nothing else. `nodes` may have node_type and position. One pass, no
+    shuffle.
     """
+    pseudo = F.coalesce(F.col("node_type") == "pseudo", F.lit(False)) if "node_type" in nodes.columns else F.lit(False)
+    sticky = F.col("position") == "sticky" if "position" in nodes.columns else F.lit(False)
     role = F.col("attributes")["role"]
     label = F.lower(F.coalesce(F.col("attributes")["aria-label"], F.lit("")))
     hit = lambda when, term, sure, method: F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit("dig:" + term).alias("taxonomy_id"), F.lit(sure).alias("confidence"), F.lit(method).alias("method")))
@@ -153,7 +157,9 @@ def entities(nodes: DataFrame) -> DataFrame:
     search = (F.col("tag") == "form") & ((role == "search") | label.contains("search"))
     rules += [hit(search, "component.search", 0.96, "search_form_semantics"), hit(search, "pattern.search", 0.96, "search_form_semantics")]
     rules.append(hit(((F.col("tag") == "nav") | F.coalesce(role == "navigation", F.lit(False))) & label.contains("breadcrumb"), "pattern.breadcrumb", 0.98, "breadcrumb_aria_label"))
-    flat = nodes.filter("rendered AND tag <> ''").select("capture", "node_id", "ordinal", F.explode(F.array_compact(F.array(*rules))).alias("_e")).select("capture", "node_id", "ordinal", "_e.*")
+    rules.append(hit((F.col("tag") == "header") & sticky, "pattern.sticky_header", 0.97, "sticky_header_geometry"))
+    rules = [F.when(~pseudo, r) for r in rules] + [hit(pseudo, "element.decorative", 0.9, "pseudo_element")]
+    flat = nodes.filter(F.col("rendered") & (pseudo | (F.col("tag") != ""))).select("capture", "node_id", "ordinal", F.explode(F.array_compact(F.array(*rules))).alias("_e")).select("capture", "node_id", "ordinal", "_e.*")
     return _named(flat)
 
 

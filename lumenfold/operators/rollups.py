@@ -64,6 +64,12 @@ def preferred(rows: DataFrame, keys: list[str], first: Column, *order: Column) -
     return latest(rows, keys, F.coalesce(first, F.lit(False)).desc(), *order)
 
 
+def preferred_viewport(views: DataFrame, keys: list[str], name: str, *order: Column, wanted: str = "desktop") -> DataFrame:
+    """One viewport a key: the one of the wanted name, else one whose name holds it in any case, else the first by order."""
+    place = F.when(F.col(name) == wanted, 0).when(F.lower(name).contains(wanted.lower()), 1).otherwise(2)
+    return latest(views, keys, place, *order)
+
+
 def count_mismatch(declared: DataFrame, rows: DataFrame, key: str, count: str) -> DataFrame:
     """V4: declared counts that the rows don't bear out."""
     actual = rows.groupBy(key).agg(F.count(F.lit(1)).alias("actual"))

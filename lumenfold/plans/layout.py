@@ -194,12 +194,36 @@ def _(t):
     return sections.section_roots(b, ["viewport"], F.lit(900.0))
 
 
-@query("d22_preferred_viewport", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag = 'A' DESC, l_linenumber, l_partkey, l_suppkey) = 1")
+@query("d22_preferred_viewport", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, name FROM (SELECT *, CASE WHEN l_returnflag = 'A' AND l_linenumber % 2 = 0 THEN 'desktop' WHEN l_returnflag = 'R' THEN 'Wide Desktop' ELSE 'mobile' END AS name FROM lineitem)
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE name WHEN 'desktop' THEN 0 WHEN 'Wide Desktop' THEN 1 ELSE 2 END, l_linenumber, l_partkey, l_suppkey) = 1""")
 def _(t):
     from lumenfold.operators import rollups
 
-    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
-    return rollups.preferred(rows, ["l_orderkey"], F.col("l_returnflag") == "A", F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")).drop("l_returnflag")
+    name = F.when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") % 2 == 0), "desktop").when(F.col("l_returnflag") == "R", "Wide Desktop").otherwise("mobile")
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", name.alias("name"))
+    return rollups.preferred_viewport(rows, ["l_orderkey"], "name", F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"))
+
+
+@query("d32_measured_insights", f"""WITH {_STEPS}, o AS (SELECT o_custkey AS page, o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'desktop' ELSE 'mobile' END AS vp, CASE o_orderstatus WHEN 'F' THEN 'hero' ELSE 'content' END AS category, signature FROM orders JOIN g ON g.l_orderkey = o_orderkey),
+c AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY o_orderkey) AS step FROM (SELECT *, max(vp = 'desktop') OVER (PARTITION BY page) AS any_desktop FROM o) WHERE vp = 'desktop' OR NOT any_desktop),
+d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY page, category, signature ORDER BY step) = 1)
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY step) AS place, signature, category FROM d QUALIFY place <= 8""")
+def _(t):
+    return sections.measured_recipes(_recipes_of_pages(t), ["page"])[0].select("page", "place", "signature", "category")
+
+
+@query("d32_measured_steps", f"""WITH {_STEPS}, o AS (SELECT o_custkey AS page, o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'desktop' ELSE 'mobile' END AS vp, CASE o_orderstatus WHEN 'F' THEN 'hero' ELSE 'content' END AS category, signature FROM orders JOIN g ON g.l_orderkey = o_orderkey)
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY o_orderkey) AS step, category || ' · ' || signature AS section_label FROM (SELECT *, max(vp = 'desktop') OVER (PARTITION BY page) AS any_desktop FROM o) WHERE vp = 'desktop' OR NOT any_desktop QUALIFY step <= 12""")
+def _(t):
+    return sections.measured_recipes(_recipes_of_pages(t), ["page"])[1].select("page", "step", "section_label")
+
+
+def _recipes_of_pages(t):
+    """An order is a section of its customer's page; every third order is seen on a desktop."""
+    found = sections.recipes(_blocks(t), ["l_orderkey"]).withColumnRenamed("l_orderkey", "section_id")
+    k = F.col("o_orderkey")
+    o = t("orders").select(F.col("o_custkey").alias("page"), k.alias("section_id"), k.alias("ordinal"), F.when(k % 3 == 0, "desktop").otherwise("mobile").alias("viewport_name"), F.when(F.col("o_orderstatus") == "F", "hero").otherwise("content").alias("category"), F.lit("dig:section.generic").alias("taxonomy_id"))
+    return o.join(found, "section_id")
 
 
 @query("d27_crop_reason", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'R' AND h >= 1200 THEN 'page_wrapper' WHEN w < 160 THEN 'too_narrow' WHEN h < 80 THEN 'too_short' WHEN h > 2400 THEN 'too_tall' ELSE 'selected_geometry' END AS reason FROM (SELECT *, l_quantity * 60 AS h, l_extendedprice % 800 AS w FROM lineitem)""")

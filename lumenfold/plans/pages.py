@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import keys
+from lumenfold.functions.lineage import written
 from lumenfold.operators import flows, nodes
 from lumenfold.plans.base import query
 from lumenfold.plans.urls import _PARTS
@@ -14,6 +16,11 @@ def _pages(t):
     return nodes.page_nodes(t("pages"))
 
 
+def _stored_pages(t):
+    """For queries that read the nodes more than once: html is parsed once."""
+    return written(_pages(t))
+
+
 @query("u7_page_nodes")
 def _(t):
     n = _pages(t)
@@ -33,6 +40,19 @@ def _(t):
     return nodes.ancestors(_pages(t)).groupBy("capture", "node_id").agg(F.max("depth").alias("depth"))
 
 
+#: Line items of an order are the nodes of a tree: the parent of one is at half its place, of every 40th order at the place before.
+_TREE = """n AS (SELECT l_orderkey AS capture, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS node_id FROM lineitem),
+m AS (SELECT capture, node_id, CASE WHEN node_id > 1 THEN CASE WHEN capture % 40 = 0 THEN node_id - 1 ELSE node_id // 2 END END AS parent_id FROM n)"""
+
+
+@query("c10_line_ancestors", f"WITH RECURSIVE {_TREE}, a AS (SELECT capture, node_id, parent_id AS ancestor_id, 1 AS depth FROM m WHERE parent_id IS NOT NULL UNION ALL SELECT a.capture, a.node_id, m.parent_id, a.depth + 1 FROM a JOIN m ON m.capture = a.capture AND m.node_id = a.ancestor_id WHERE m.parent_id IS NOT NULL) SELECT * FROM a")
+def _(t):
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    n = t("lineitem").select(F.col("l_orderkey").alias("capture"), F.row_number().over(order).cast("long").alias("node_id"))
+    parent = F.when(F.col("capture") % 40 == 0, F.col("node_id") - 1).otherwise(F.floor(F.col("node_id") / 2))
+    return nodes.ancestors(n.withColumn("parent_id", F.when(F.col("node_id") > 1, parent)))
+
+
 @query("d1_entities")
 def _(t):
     return nodes.entities(_pages(t))
@@ -45,13 +65,13 @@ def _(t):
 
 @query("d6_entity_parents")
 def _(t):
-    n = _pages(t)
+    n = _stored_pages(t)
     return nodes.with_parents(nodes.entities(n), nodes.ancestors(n)).select("capture", "entity_id", "taxonomy_id", "parent_entity_id")
 
 
 @query("d7_relationships")
 def _(t):
-    n = _pages(t)
+    n = _stored_pages(t)
     closure = nodes.ancestors(n)
     return nodes.relationships(nodes.with_parents(nodes.entities(n), closure), n, closure)
 

@@ -205,6 +205,21 @@ def _(t):
     return flows.shared_neighbours(edges, edges)
 
 
+@query("r4_compare_nodes", """WITH e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_linenumber = 1), q AS (SELECT DISTINCT least(a.p, b.p) AS l, greatest(a.p, b.p) AS r FROM e a JOIN e b ON b.s = a.s AND b.p = a.p + 1)
+SELECT q.l AS left_id, q.r AS right_id, x.p_type = y.p_type AS same_type, concat_ws(',', CASE WHEN x.p_brand <> y.p_brand THEN 'brand' END, CASE WHEN x.p_size % 3 = 0 OR y.p_size % 3 = 0 THEN CASE WHEN x.p_size % 3 <> 0 OR y.p_size % 3 <> 0 OR x.p_size <> y.p_size THEN 'size' END END) AS differing,
+(SELECT string_agg(a.s, ',' ORDER BY a.s) FROM e a JOIN e b ON b.s = a.s WHERE a.p = q.l AND b.p = q.r) AS shared FROM q JOIN part x ON x.p_partkey = q.l JOIN part y ON y.p_partkey = q.r""")
+def _(t):
+    """Parts and suppliers are nodes, first lines link them; parts of one supplier that are next to each other are compared."""
+    far = 1_000_000_000
+    e = t("lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("from_id"), (F.col("l_suppkey") + far).alias("to_id")).distinct()
+    sized = F.when(F.col("p_size") % 3 == 0, F.create_map(F.lit("brand"), "p_brand", F.lit("size"), F.col("p_size").cast("string"))).otherwise(F.create_map(F.lit("brand"), "p_brand"))
+    n = t("part").select(F.col("p_partkey").alias("node_id"), F.col("p_type").alias("type"), sized.alias("properties"))
+    after = e.select((F.col("from_id") - 1).alias("from_id"), "to_id", F.col("from_id").alias("right_id"))
+    pairs = e.join(after, ["from_id", "to_id"]).select(F.col("from_id").alias("left_id"), "right_id")
+    out = flows.compare_nodes(pairs, n, e)
+    return out.select("left_id", "right_id", "same_type", F.array_join("differing_properties", ",").alias("differing"), F.array_join(F.transform("shared_neighbours", lambda x: x - far), ",").alias("shared"))
+
+
 @query("g4_run_status", """WITH s AS (SELECT l_orderkey, CASE l_returnflag WHEN 'A' THEN 'complete' WHEN 'N' THEN 'partial' WHEN 'R' THEN 'blocked' END AS s FROM lineitem)
 SELECT l_orderkey, CASE WHEN count(*) FILTER (s = 'blocked') = count(*) THEN 'blocked' WHEN count(*) FILTER (s = 'complete') = count(*) THEN 'complete' WHEN count(*) FILTER (s IN ('complete', 'partial')) > 0 THEN 'partial' ELSE 'failed' END AS status FROM s GROUP BY l_orderkey""")
 def _(t):
