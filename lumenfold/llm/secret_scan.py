@@ -49,22 +49,48 @@ RULES = (
 )
 
 
+#: Matches that are placed one after the other; an array grows by a copy, so it is kept short.
+BLOCK = 256
+_SPAN = "struct<start:int,end:int,m:string>"
+
+
+def _bound(value: Column, f) -> Column:
+    """f(value), where value is worked out once however often f names it."""
+    return F.transform(F.array(value), lambda v: f(v))[0]
+
+
+def _placed(block: Column, offset: Column) -> Column:
+    """Spans of a block's matches (m, gap before it, long), the first gap of which begins at `offset`."""
+    step = lambda acc, x: F.struct(
+        (acc["at"] + x["gap"] + x["long"]).alias("at"),
+        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["long"]).alias("end"), x["m"].alias("m")))).alias("out"),
+    )
+    return F.aggregate(block, F.struct(offset.alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")), step, lambda acc: acc["out"])
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
-    """array<struct<start, end>> in code points, end exclusive."""
+    """array<struct<start, end>> in code points, end exclusive.
+
+    Matches are placed block by block, from the sums of the blocks before, so the work grows with their number.
+    """
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     gaps = F.split(text, rule.pattern, -1)
-    walk = F.aggregate(
-        F.zip_with(found, F.slice(gaps, 1, F.greatest(F.size(found), F.lit(0))), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap"), F.length(m).alias("long"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["long"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["long"]).alias("end"), x["m"].alias("m")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    steps = _bound(found, lambda f: F.zip_with(f, F.slice(gaps, 1, F.size(f)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap"), F.length(m).alias("long"))))
+
+    def walk(matches: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int")), lambda i: F.slice(matches, i * BLOCK + 1, BLOCK))
+
+    def joined(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + x["long"]))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        offsets = F.aggregate(sums, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, offsets, _placed))
+
     # (start, end) of the matches whose group is long enough
-    long_enough = F.filter(walk, lambda x: F.length(F.regexp_extract(x["m"], rule.pattern, rule.group)) >= rule.least)
-    return F.transform(F.when(F.size(found) > 0, long_enough).otherwise(F.array().cast("array<struct<start:int,end:int,m:string>>")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    none = F.array().cast(f"array<{_SPAN}>")
+    every = _bound(steps, lambda m: F.when(F.size(m) > 0, _bound(walk(m), joined)).otherwise(none))
+    long_enough = F.filter(every, lambda x: F.length(F.regexp_extract(x["m"], rule.pattern, rule.group)) >= rule.least)
+    return F.transform(long_enough, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
