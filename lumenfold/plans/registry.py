@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import keys
 from lumenfold.operators import flows, graphs, relational, rollups
-from lumenfold.plans import urls, layout, library, pages, catalog, bands, facets, briefs  # noqa: F401  they register their queries
+from lumenfold.plans import urls, layout, library, pages, catalog, bands, facets, briefs, visions  # noqa: F401  they register their queries
 from lumenfold.plans.base import ORACLES, QUERIES, query
 from lumenfold.streaming import jobs
 

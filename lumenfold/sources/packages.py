@@ -131,7 +131,7 @@ def layer_issues(rows: DataFrame, package: str, key: str, known: DataFrame | Non
     ]
     if known is not None:
         terms = known.toDF("_term").distinct()
-        parts.append(_issues(rows.filter("taxonomy_id IS NOT NULL").join(F.broadcast(terms), F.col("taxonomy_id") == F.col("_term"), "left_anti"), "unknown_taxonomy", F.col("taxonomy_id"), package))
+        parts.append(_issues(rows.filter("taxonomy_id IS NOT NULL").join(terms, F.col("taxonomy_id") == F.col("_term"), "left_anti"), "unknown_taxonomy", F.col("taxonomy_id"), package))
     return all_issues(*parts)
 
 
