@@ -392,7 +392,8 @@ def spine(sections: DataFrame, keys: list[str], viewport_height: Column, most: i
     w = Window.partitionBy(*keys).orderBy("y", "section_id")
     same = (F.lag("category").over(w) == F.col("category")) & (F.lag("signature").over(w) == F.col("signature")) & (F.col("signature") == "body")
     first = kept.withColumn("_same", F.coalesce(same, F.lit(False))).filter("NOT _same").withColumn("band", F.row_number().over(w)).filter(F.col("band") <= most)
-    zone = F.when(F.col("y") < viewport_height * 0.9, "above_fold").when(F.col("y") < viewport_height * 2.2, "mid").otherwise("below")
+    # whole tenths: 900 * 2.2 is a little more than 1980
+    zone = F.when(F.col("y") < viewport_height * 9 / 10, "above_fold").when(F.col("y") < viewport_height * 22 / 10, "mid").otherwise("below")
     return first.select(*keys, F.col("band").cast("long").alias("band"), "section_id", "category", "signature", zone.alias("zone"), "y", "height", "confidence")
 
 
