@@ -194,10 +194,13 @@ def transformations(pairs: DataFrame, capture: list[str]) -> DataFrame:
     """
     a, b, text = F.col("a"), F.col("b"), lambda c: c.cast("string")
     row = lambda when, kind, sure, **facts: F.when(when, F.struct(F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"), F.create_map(*[x for k, v in facts.items() for x in (F.lit(k), text(v))]).alias("evidence"), F.lit(sure).cast("double").alias("confidence")))
-    ratio = lambda s, vp, side, of: s["box"][side] / F.col(vp)[of]
-    w, h = (ratio(b, "to_vp", side, side) - ratio(a, "from_vp", side, side) for side in ("width", "height"))
-    x = b["box"]["x"] / F.col("to_vp")["width"] - a["box"]["x"] / F.col("from_vp")["width"]
-    y = b["box"]["y"] / F.greatest(F.lit(1.0), F.col("to_vp")["document_height"]) - a["box"]["y"] / F.greatest(F.lit(1.0), F.col("from_vp")["document_height"])
+
+    def change(side: str, of: str, least: float | None = None) -> Column:
+        """Difference of the parts of the viewport; of one size, the difference is taken before it is divided, so that a limit isn't missed by a fraction's noise."""
+        was, now = (F.col(vp)[of] if least is None else F.greatest(F.lit(least), F.col(vp)[of]) for vp in ("from_vp", "to_vp"))
+        return F.when(was == now, (b["box"][side] - a["box"][side]) / was).otherwise(b["box"][side] / now - a["box"][side] / was)
+
+    w, h, x, y = change("width", "width"), change("height", "height"), change("x", "width"), change("y", "document_height", 1.0)
     measured = a["box"].isNotNull() & b["box"].isNotNull() & a["rendered"] & b["rendered"]
     order = lambda s: F.coalesce(s["style"]["order"], F.lit("0"))
     changed = F.array_compact(F.array(*[F.when(~a["style"][p].eqNullSafe(b["style"][p]), F.struct(F.lit(p).alias("k"), F.concat_ws(" to ", F.coalesce(a["style"][p], F.lit("")), F.coalesce(b["style"][p], F.lit(""))).alias("v"))) for p in LAYOUT_PROPERTIES]))
