@@ -206,7 +206,7 @@ def transformations(pairs: DataFrame, capture: list[str]) -> DataFrame:
     changed = F.array_compact(F.array(*[F.when(~a["style"][p].eqNullSafe(b["style"][p]), F.struct(F.lit(p).alias("k"), F.concat_ws(" to ", F.coalesce(a["style"][p], F.lit("")), F.coalesce(b["style"][p], F.lit(""))).alias("v"))) for p in LAYOUT_PROPERTIES]))
     tracks = [track_count(s["style"]["grid-template-columns"]) for s in (a, b)]
     changed = F.concat(changed, F.when(tracks[0] != tracks[1], F.array(F.struct(F.lit("grid-column-count").alias("k"), F.concat_ws(" to ", text(tracks[0]), text(tracks[1])).alias("v")))).otherwise(F.array().cast("array<struct<k:string,v:string>>")))
-    r = lambda c: F.round(c, 4)
+    r = lambda c: F.round(c * 10_000) / 10_000  # noqa: E731  as the SQL rounds: the product, not the number's shortest text
     rows = F.array_compact(
         F.array(
             row(a["rendered"] != b["rendered"], F.when(b["rendered"], "show").otherwise("hide"), 1, from_rendered=a["rendered"], to_rendered=b["rendered"]),
