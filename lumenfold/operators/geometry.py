@@ -76,36 +76,38 @@ def relations(boxes: DataFrame, group: list[str]) -> DataFrame:
 EDGES = {("x", "start"): "x", ("x", "center"): "x + width / 2", ("x", "end"): "x + width", ("y", "start"): "y", ("y", "center"): "y + height / 2", ("y", "end"): "y + height"}
 
 
-def _cluster(group: list[str], within: float):
-    """Rows sorted by group and coordinate, each with its ids; one pass that holds the open clusters of one group.
+def _cluster(group: list[str], within: float, parts: dict[int, list]):
+    """Rows sorted by group and coordinate; one pass that holds the open clusters of one group.
 
     The mean of a cluster moves by new, greater values only, so one that lies further back than the reach stays closed.
+    Where `parts` are given, the group's last column is a number that stands for some columns.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, done, live = None, [], []  # a cluster: sum, count, ids
 
         def close(some: list) -> None:
-            done.extend((*key, float(int((s / n * 2 + 0.5) // 1) / 2), n, ids) for s, n, ids in some if n >= 2)
+            named = (*key[:-1], *parts[key[-1]]) if parts and key else key
+            done.extend((*named, float(int((s / n * 2 + 0.5) // 1) / 2), n, ids) for s, n, ids in some if n >= 2)
 
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                *now, value, ids = row
+            for *now, value, one in zip(*(pdf[c].tolist() for c in pdf.columns)):
                 if now != key:
                     close(live)
                     key, live = now, []
-                ids = list(ids)
-                close([c for c in live if value - c[0] / c[1] > within])
-                live = [c for c in live if value - c[0] / c[1] <= within]
+                elif live:
+                    over = [c for c in live if value - c[0] / c[1] > within]
+                    if over:
+                        close(over)
+                        live = [c for c in live if value - c[0] / c[1] <= within]
                 # equal values may part where the first of them moves the mean, so they join one by one
-                for one in ids:
-                    for c in live:
-                        if abs(c[0] / c[1] - value) <= within:
-                            c[0], c[1] = c[0] + value, c[1] + 1
-                            c[2].append(one)
-                            break
-                    else:
-                        live.append([value, 1, [one]])
+                for c in live:
+                    if abs(c[0] / c[1] - value) <= within:
+                        c[0], c[1] = c[0] + value, c[1] + 1
+                        c[2].append(one)
+                        break
+                else:
+                    live.append([value, 1, [one]])
             yield pd.DataFrame(done, columns=[*group, "center", "n", "ids"])
             done.clear()
         close(live)
@@ -114,23 +116,34 @@ def _cluster(group: list[str], within: float):
     return run
 
 
+def _clustered(rows: DataFrame, sort: list[str], names: list[str], kinds: str, id_type: str, within: float, parts: dict[int, list] | None = None) -> DataFrame:
+    """Clusters of rows (group, _v, _id) that are dealt by a part of their group: sorted where they are, and read in one pass."""
+    return rows.sortWithinPartitions(*sort, "_v", "_id").select(*sort, "_v", "_id").mapInPandas(_cluster(names, within, parts or {}), f"{kinds}, center double, n long, ids array<{id_type}>")
+
+
 def clusters_1d(values: DataFrame, group: list[str], value: str, id_col: str, within: float = 2.0) -> DataFrame:
     """Ascending values join the earliest cluster whose running mean is within reach; clusters of two or more, with their ids.
 
-    center is rounded to half a pixel. Equal values are gathered first, in the order of their ids.
+    center is rounded to half a pixel. Equal values join in the order of their ids. One shuffle, none where `values` are
+    dealt by the group already.
     """
     kinds = ", ".join(f"{c} {values.schema[c].dataType.simpleString()}" for c in group)
-    id_type = values.schema[id_col].dataType.simpleString()
-    equal = values.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.array_sort(F.collect_list(id_col)).alias("_ids"))
-    ordered = equal.repartition(*group).sortWithinPartitions(*group, "_v")
-    return ordered.select(*group, "_v", "_ids").mapInPandas(_cluster(group, within), f"{kinds}, center double, n long, ids array<{id_type}>")
+    rows = values.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"), F.col(id_col).alias("_id"))
+    return _clustered(rows.repartition(*group), group, group, kinds, values.schema[id_col].dataType.simpleString(), within)
 
 
-def alignment_groups(boxes: DataFrame, viewport: list[str], id_col: str = "ordinal", within: float = 2.0) -> DataFrame:
-    """Clusters on the six edges of a viewport's boxes with an area: axis, edge, center, n, ids."""
-    edges = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(e).alias("edge"), F.expr(x).alias("at")) for (a, e), x in EDGES.items()])
-    flat = boxes.filter("width > 0 AND height > 0").select(*viewport, id_col, F.explode(edges).alias("e")).select(*viewport, "e.axis", "e.edge", id_col, "e.at")
-    return clusters_1d(flat, [*viewport, "axis", "edge"], "at", id_col, within)
+def alignment_groups(boxes: DataFrame, viewport: list[str], id_col: str = "ordinal", within: float = 2.0, edges: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Clusters on the six edges of a viewport's boxes with an area, or on some `edges`: axis, edge, center, n, ids.
+
+    Boxes are shuffled once, by viewport, not at all where they are dealt by it already, and before each of them becomes
+    a row an edge; an edge's name is a number until its clusters are there.
+    """
+    asked = dict(enumerate(edges or EDGES))
+    at = F.array(*[F.struct(F.lit(i).alias("_edge"), F.expr(EDGES[e]).cast("double").alias("_v")) for i, e in asked.items()])
+    seen = boxes.filter("width > 0 AND height > 0").repartition(*viewport)
+    flat = seen.select(*viewport, F.col(id_col).alias("_id"), F.explode(at).alias("_e")).select(*viewport, "_e._edge", "_e._v", "_id").filter("_v IS NOT NULL")
+    kinds = ", ".join([*[f"{c} {boxes.schema[c].dataType.simpleString()}" for c in viewport], "axis string", "edge string"])
+    return _clustered(flat, [*viewport, "_edge"], [*viewport, "axis", "edge"], kinds, boxes.schema[id_col].dataType.simpleString(), within, {i: list(e) for i, e in asked.items()})
 
 
 def aligned_edges(groups: DataFrame, viewport: list[str]) -> DataFrame:
