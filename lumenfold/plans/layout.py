@@ -58,7 +58,7 @@ def _(t):
 SELECT c.viewport, count(*) AS column_count, string_agg(center::INT, ',' ORDER BY center) AS column_starts, round(least(0.95::DOUBLE, 0.55::DOUBLE + sum(n) / max(boxes) * 0.4::DOUBLE), 4) AS confidence FROM c JOIN n ON n.viewport = c.viewport GROUP BY c.viewport HAVING count(*) >= 2""")
 def _(t):
     b = boxes(t)
-    grid = geometry.probable_grid(geometry.alignment_groups(b, ["viewport"]), b, ["viewport"])
+    grid = geometry.probable_grid(geometry.alignment_groups(b, ["viewport"], edges=[("x", "start")]), b, ["viewport"])
     return grid.withColumn("column_starts", F.array_join(F.transform("column_starts", lambda c: c.cast("int")), ","))
 
 
