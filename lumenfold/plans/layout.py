@@ -64,7 +64,7 @@ def _(t):
 
 @query("c15_aligned_edges", f"WITH {_BOXES}, c AS ({_LEFT}) SELECT viewport, 'x' AS axis, 'start' AS edge, center AS coordinate, ids[1] AS from_id, unnest(ids[2:]) AS to_id FROM c")
 def _(t):
-    return geometry.aligned_edges(geometry.alignment_groups(boxes(t), ["viewport"]).filter("axis = 'x' AND edge = 'start'"), ["viewport"])
+    return geometry.aligned_edges(geometry.alignment_groups(boxes(t), ["viewport"], edges=[("x", "start")]), ["viewport"])
 
 
 @query("c13_layout_containers", """WITH n AS (SELECT l_orderkey AS capture, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS node_id, l_returnflag, l_suppkey FROM lineitem),
