@@ -45,7 +45,7 @@ _LEFT = "SELECT viewport, x AS center, count(*) AS n, list(ordinal ORDER BY ordi
 
 @query("c9_left_edges", f"WITH {_BOXES}, c AS ({_LEFT}) SELECT viewport, 'x' AS axis, 'start' AS edge, center, n, array_to_string(ids, ',') AS members FROM c")
 def _(t):
-    found = geometry.alignment_groups(boxes(t), ["viewport"]).filter("axis = 'x' AND edge = 'start'")
+    found = geometry.alignment_groups(boxes(t), ["viewport"], edges=[("x", "start")])
     return found.select("viewport", "axis", "edge", "center", "n", F.array_join("ids", ",").alias("members"))
 
 
