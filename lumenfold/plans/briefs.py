@@ -74,15 +74,15 @@ UNION ALL SELECT o_custkey, k.reference_id, k.capture_id, 1, -o_orderkey, rank F
 c AS (SELECT *, row_number() OVER (PARTITION BY brief ORDER BY source, a, b, reference_id) AS place FROM f QUALIFY place <= 8)"""
 
 
-def _chosen(t):
+def _chosen(t, *keep):
     refs = _refs(t)
     least = t("orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o"))
-    first = briefs.capture_references(refs, least.select("o"), 1).select(F.col("capture_id").alias("o"), F.col("reference_id").alias("id"))
-    direct = least.join(first, "o").select(F.col("o_custkey").alias("brief"), F.lit("reference").alias("kind"), F.lit(0).cast("long").alias("place"), "id")
     # ids of captures are numbers, ids of references texts
     whole = t("orders").select(F.col("o_custkey").alias("brief"), F.lit("capture").alias("kind"), (-F.col("o_orderkey")).alias("place"), F.col("o_orderkey").cast("string").alias("id"))
     named = refs.withColumn("capture_id", F.col("capture_id").cast("string"))
-    return named, briefs.brief_references(direct.unionByName(whole), named)[0]
+    first = briefs.capture_references(named, least.select(F.col("o").cast("string")), 1).select(F.col("capture_id").cast("long").alias("o"), F.col("reference_id").alias("id"))
+    direct = least.join(first, "o").select(F.col("o_custkey").alias("brief"), F.lit("reference").alias("kind"), F.lit(0).cast("long").alias("place"), "id")
+    return named, briefs.brief_references(direct.unionByName(whole), named, keep=keep)[0]
 
 
 @query("r33_brief_references", f"WITH {_BRIEF} SELECT brief, place, reference_id, capture_id::VARCHAR AS capture_id, CASE source WHEN 0 THEN 'reference' ELSE 'capture' END AS source_kind FROM c")
