@@ -101,5 +101,5 @@ def _(t):
 
 @query("r33_blueprint", f"WITH {_BRIEF} SELECT brief, 'mod_' || place AS module_id, c.reference_id, CASE WHEN k.flag = 'A' THEN 'screen' ELSE 'section' END AS scope FROM c JOIN k ON k.reference_id = c.reference_id WHERE place <= 6")
 def _(t):
-    refs, chosen = _chosen(t)
-    return briefs.module_blueprint(chosen, refs).select("brief", "module_id", "reference_id", "scope")
+    refs, chosen = _chosen(t, "scope")
+    return briefs.module_blueprint(chosen, refs.select("reference_id", "scope")).select("brief", "module_id", "reference_id", "scope")
