@@ -93,7 +93,7 @@ def _(t):
 @query("r33_constraints", f"""WITH {_BRIEF}, t AS (SELECT brief, (capture_id % 3)::VARCHAR AS mode FROM c WHERE place = 1), u AS (SELECT brief, 0 AS place, 0 AS spot, 'contrast_mode:' || mode AS said FROM t UNION ALL SELECT c.brief, place, 1, 'craft_tag:' || k.tag FROM c JOIN k ON k.reference_id = c.reference_id UNION ALL SELECT c.brief, place, 2, 'module_type_image_mode:' || k.flag FROM c JOIN k ON k.reference_id = c.reference_id),
 w AS (SELECT brief, said, min(place * 10 + spot) AS first FROM u GROUP BY ALL) SELECT brief, string_agg(said, ',' ORDER BY first) AS constraints FROM w GROUP BY brief""")
 def _(t):
-    refs, chosen = _chosen(t)
+    refs, chosen = _chosen(t, "craft_tags", *briefs.MODULE_FACETS)
     none = F.lit(None).cast("string")
     page = t("orders").select(F.col("o_orderkey").cast("string").alias("capture_id"), (F.col("o_orderkey") % 3).cast("string").alias("contrast_mode"), *[none.alias(n) for n in briefs.PAGE_FACETS[1:]], F.array().cast("array<string>").alias("craft_tags"))
     return briefs.craft_constraints(chosen, refs, page).withColumn("constraints", F.array_join("constraints", ","))
