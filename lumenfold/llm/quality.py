@@ -38,36 +38,79 @@ class Features:
     """Sparse features of a text: words and stems that occur, shares of word shapes, repetition, length."""
 
     def __init__(self):
-        self.codes: dict[str, tuple[int, int, int]] = {}
-
-    def _cell(self, name: str) -> int:
-        return xxhash.xxh3_64_intdigest(name) % FEATURES
-
-    def _code(self, word: str) -> tuple[int, int, int]:
-        shape = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a", word)
-        shape = re.sub(r"(.)\1+", r"\1\1", re.sub(r"\d+", "9", shape))[:12]
-        letters = "".join(c for c in word.lower() if c.isalnum())
-        code = (self._cell("w:" + letters), self._cell("p:" + letters[:STEM]), self._cell("s:" + shape))
-        if len(self.codes) >= _CACHED:
-            self.codes.clear()
-        self.codes[word] = code
-        return code
+        self.codes = _Codes()
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = (text or "").split()
         if not words:
-            return np.array([self._cell("empty")]), np.ones(1)
-        get = self.codes.get
-        codes = np.array([get(w) or self._code(w) for w in words], dtype=np.int64)
-        seen = np.unique(codes[:, :2])
-        shape, n = np.unique(codes[:, 2], return_counts=True)
-        whole = codes[:, 0]
-        repeated = float(np.mean(whole[1:] == whole[:-1])) if len(codes) > 1 else 0.0
-        different = len(np.unique(whole)) / len(codes)
-        extra = [self._cell(f"r:{min(9, int(repeated * 20))}"), self._cell(f"d:{int(10 * different)}"), self._cell(f"l:{len(words).bit_length()}")]
+            return np.array([_cell("empty")]), np.ones(1)
+        codes = self.codes.of(words)
+        whole, stem, shape = codes
+        seen = np.unique(codes[:2])
+        shape, n = np.unique(shape, return_counts=True)
+        repeated = float(np.mean(whole[1:] == whole[:-1])) if len(whole) > 1 else 0.0
+        different = len(np.unique(whole)) / len(whole)
+        extra = [_cell(f"r:{min(9, int(repeated * 20))}"), _cell(f"d:{int(10 * different)}"), _cell(f"l:{len(words).bit_length()}")]
         return np.concatenate([seen, shape, extra]), np.concatenate([np.full(len(seen), OCCURS), 3 * (n / len(words)) ** 0.5, np.ones(3)])
 
 
+def _cell(name: str) -> int:
+    return xxhash.xxh3_64_intdigest(name) % FEATURES
+
+
+_LETTERS, _DIGITS, _AGAIN = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+")
+
+
+def shape_of(word: str) -> str:
+    """Runs of letters as A or a, of digits as 9, two of any repeated character; words of letters and one mark need no patterns."""
+    if word.isalpha():
+        return "A" if len(word) > 1 and word.isupper() else "a"
+    head = word[:-1]
+    if word[-1] in ".,;:!?" and head.isalpha():
+        return ("A" if len(head) > 1 and head.isupper() else "a") + word[-1]
+    shape = _LETTERS.sub(lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a", word)
+    return _AGAIN.sub(r"\1\1", _DIGITS.sub("9", shape))[:12]
+
+
+class _Codes(dict):
+    """Places of words in a table of their cells: of the letters, the stem and the shape; forgets all when full, between texts."""
+
+    def __init__(self):
+        super().__init__()
+        self.cells: list[tuple[int, int, int]] = []
+        self.table = np.empty((3, 1 << 10), np.int64)
+        self.shapes: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        shape = shape_of(word)
+        by_shape = self.shapes.get(shape)
+        if by_shape is None:
+            if len(self.shapes) >= _CACHED:
+                self.shapes.clear()
+            by_shape = self.shapes[shape] = _cell("s:" + shape)
+        letters = word.lower()
+        if not letters.isalnum():
+            letters = "".join(filter(str.isalnum, letters))
+        self[word] = at = len(self)
+        self.cells.append((_cell("w:" + letters), _cell("p:" + letters[:STEM]), by_shape))
+        return at
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """(3, number of words)."""
+        if len(self) >= _CACHED:
+            self.clear()
+        before = len(self)
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.cells:
+            if len(self) > self.table.shape[1]:
+                more = np.empty((3, max(len(self), 2 * self.table.shape[1])), np.int64)
+                more[:, :before] = self.table[:, :before]
+                self.table = more
+            self.table[:, before : len(self)] = np.array(self.cells, np.int64).T
+            self.cells = []
+        return self.table[:, at]
+
+
 @dataclass
 class Model:
     weights: np.ndarray
