@@ -285,7 +285,8 @@ def _linked(docs: DataFrame, k: int, text_col: str, key: Column, names: DataFram
     pairs = left.join(right, (left["token"] == right["token"]) & sized & early).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"), F.least(F.min("_la"), F.min("_lb")).alias("_l")).filter("_n >= _l").select("a", "b")
     more = _compare(rows, reps, pairs, k, repeats).filter("linked").select("a", "b")
 
-    ends = components(links.union(more).union(copies.select(F.col("rep").alias("a"), F.col("_key").alias("b")))).withColumnRenamed("id", "_key")
+    # what the first links join is known: each end and its least one stand for them
+    ends = components(clusters.select(F.col("component").alias("a"), F.col("_key").alias("b")).union(more).union(copies.select(F.col("rep").alias("a"), F.col("_key").alias("b")))).withColumnRenamed("id", "_key")
     nodes = signed.select("_key", "n")
     if names is None:
         nodes = join_side(nodes, ends, "_key", "left", F.lit(24))
