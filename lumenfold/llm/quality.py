@@ -125,15 +125,32 @@ class Model:
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, classes: int = GRADES) -> Model:
     """Maximum likelihood with a ridge, by Adam over all rows. Without rows, the model that keeps everything."""
     if not len(grades):
-        return Model(np.zeros(FEATURES, np.float32), np.full(classes - 1, -20.0))
-    cells = np.concatenate([r[0] for r in rows])
-    values = np.concatenate([r[1] for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+        return _keeps_all(classes)
+    return _fit(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), np.array([len(r[0]) for r in rows]), grades, classes)
+
+
+def _keeps_all(classes: int = GRADES) -> Model:
+    return Model(np.zeros(FEATURES, np.float32), np.full(classes - 1, -20.0))
+
+
+#: Cells that are counted or filtered at once, so a fit holds little besides them.
+_AT_ONCE = 1 << 17
+
+
+def _fit(cells: np.ndarray, values: np.ndarray, sizes: np.ndarray, grades: np.ndarray, classes: int = GRADES) -> Model:
+    """fit() of rows that lie one after the other in cells and values; sizes are their lengths."""
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    parts = [slice(at, at + _AT_ONCE) for at in range(0, max(1, len(cells)), _AT_ONCE)]
     # only features whose rows have a mean grade that chance hardly gives them
-    n, mean, spread = np.bincount(cells, minlength=FEATURES), grades.mean(), grades.std() + 1e-9
-    z = (np.bincount(cells, weights=grades[owner], minlength=FEATURES) - n * mean) / (spread * np.sqrt(np.maximum(n, 1)))
-    telling = (n >= min(LEAST_ROWS, max(1, len(rows) // 50))) & (np.abs(z) >= LEAST_Z)
-    cells, values, owner = (x[telling[cells]] for x in (cells, values, owner))
+    n, total = np.zeros(FEATURES, np.int64), np.zeros(FEATURES)
+    for part in parts:
+        n += np.bincount(cells[part], minlength=FEATURES)
+        total += np.bincount(cells[part], weights=grades[owner[part]], minlength=FEATURES)
+    mean, spread = grades.mean(), grades.std() + 1e-9
+    z = (total - n * mean) / (spread * np.sqrt(np.maximum(n, 1)))
+    telling = (n >= min(LEAST_ROWS, max(1, len(sizes) // 50))) & (np.abs(z) >= LEAST_Z)
+    cells, values, owner = (np.concatenate([x[part][telling[cells[part]]] for part in parts]) for x in (cells, values, owner))
+    values = values.astype(float)
     used, cells = np.unique(cells, return_inverse=True)
     share = np.clip(np.cumsum(np.bincount(grades, minlength=classes))[:-1] / len(grades), 1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
@@ -144,15 +161,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, classes:
     for step in range(1, STEPS + 1):
         gaps = np.exp(x[k + 1 :])
         cuts = x[k] + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = np.bincount(owner, weights=x[cells] * values, minlength=len(rows))
+        score = np.bincount(owner, weights=x[cells] * values, minlength=len(sizes))
         upper, lower = np.r_[cuts, np.inf][grades] - score, np.r_[-np.inf, cuts][grades] - score
         up, low = np.where(np.isinf(upper), 1.0, sig(upper)), np.where(np.isinf(lower), 0.0, sig(lower))
         p = np.maximum(up - low, 1e-12)
         du, dl = up * (1 - up) / p, low * (1 - low) / p  # of log p by the cut above and below
-        by_score = (du - dl) / len(rows)
+        by_score = (du - dl) / len(sizes)
         g = np.empty_like(x)
         g[:k] = np.bincount(cells, weights=by_score[owner] * values, minlength=k) + RIDGE * x[:k]
-        by_cut = -np.array([du[grades == j].sum() - dl[grades == j + 1].sum() for j in range(classes - 1)]) / len(rows)
+        by_cut = -np.array([du[grades == j].sum() - dl[grades == j + 1].sum() for j in range(classes - 1)]) / len(sizes)
         g[k] = by_cut.sum()
         g[k + 1 :] = np.cumsum(by_cut[::-1])[::-1][1:] * gaps
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -165,8 +182,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, classes:
 def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most `sample` rated documents, those of least id hash; `ratings` has the id and `grade` (null: unrated).
 
-    Ids are integers. An id that is repeated counts once, with its least text and grade, so no more than `sample` rows
-    reach the driver and reruns agree.
+    Ids are integers. An id that is repeated counts once, with its least text and grade, so the fit has no more than `sample`
+    rows and reruns agree. It runs in a task; the driver holds no row of it.
     """
     order = F.md5(F.col("_id").cast("string"))
     rated = ratings.select(F.col(id_col).alias("_id"), "grade").filter("_id IS NOT NULL AND grade IS NOT NULL").groupBy("_id").agg(F.min("grade").alias("grade"))
@@ -181,9 +198,29 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, id_col: str
             yield pd.DataFrame({"_id": pdf["_id"], "grade": pdf["grade"], "cells": pd.Series([c.astype("<i4").tobytes() for c, _ in got], dtype=object), "values": pd.Series([x.astype("<f4").tobytes() for _, x in got], dtype=object)})
 
     picked = picked.groupBy("_id").agg(F.min("_text").alias("_text"), F.min("grade").alias("grade"))
-    rows = picked.select("_id", "grade", "_text").mapInPandas(run, "_id long, grade int, cells binary, values binary").toPandas()
-    rows = rows.sort_values("_id")
-    return fit([(np.frombuffer(c, "<i4").astype(np.int64), np.frombuffer(x, "<f4").astype(float)) for c, x in zip(rows["cells"], rows["values"], strict=True)], rows["grade"].to_numpy(dtype=np.int64))
+    rows = picked.select("_id", "grade", "_text").mapInPandas(run, "_id long, grade int, cells binary, values binary")
+    # the sample is bounded, so one task fits it; the driver gets the weights that are not zero
+    found = rows.repartition(1).sortWithinPartitions("_id").mapInPandas(_fit_task, "cells binary, weights binary, thresholds binary").first()
+    if found is None:
+        return _keeps_all()
+    model = Model(np.zeros(FEATURES, np.float32), np.frombuffer(found["thresholds"], "<f8"))
+    model.weights[np.frombuffer(found["cells"], "<i4")] = np.frombuffer(found["weights"], "<f4")
+    return model
+
+
+def _fit_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The model of all rows, in their order, as one row: cells with a weight, their weights, thresholds."""
+    cells, values, sizes, grades = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for pdf in batches:
+        cells.append(b"".join(pdf["cells"]))
+        values.append(b"".join(pdf["values"]))
+        sizes.append(pdf["cells"].map(len).to_numpy(dtype=np.int64) // 4)
+        grades.append(pdf["grade"].to_numpy(dtype=np.int64))
+    grades = np.concatenate(grades)
+    if len(grades):
+        model = _fit(np.frombuffer(b"".join(cells), "<i4"), np.frombuffer(b"".join(values), "<f4"), np.concatenate(sizes), grades)
+        used = np.flatnonzero(model.weights)
+        yield pd.DataFrame({"cells": [used.astype("<i4").tobytes()], "weights": [model.weights[used].astype("<f4").tobytes()], "thresholds": [model.thresholds.astype("<f8").tobytes()]})
 
 
 def rate(text: Column, model: Model) -> Column:
