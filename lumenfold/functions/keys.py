@@ -84,26 +84,42 @@ def redact_url(url: Column) -> Column:
     return F.when(url.isNull(), None).when(url.rlike(URL), known).otherwise(F.coalesce(bare, F.lit(INVALID)))
 
 
-def resolve(href: Column, base: Column) -> Column:
-    """`href` against an http(s) `base`: absolute, //host, /path, ?query, #hash or relative; null where the base isn't one."""
-    folder = F.regexp_replace(F.when(_part(base, 5) == "", "/").otherwise(_part(base, 5)), "[^/]*$", "")
+def _base_parts(base: Column) -> Column:
+    """Struct of what resolve() asks of a base, for callers that resolve many addresses against one."""
     path = F.when(_part(base, 5) == "", "/").otherwise(_part(base, 5))
     user = F.concat(F.lower(_part(base, 1)), F.lit("://"), _part(base, 2), host_of(base), _port(base))
+    scheme = F.concat(F.lower(_part(base, 1)), F.lit(":"))
+    return F.struct(base.rlike(URL).alias("ok"), scheme.alias("scheme"), user.alias("user"), path.alias("path"), F.regexp_replace(path, "[^/]*$", "").alias("folder"), _part(base, 6).alias("query"))
+
+
+def _resolve(href: Column, base: Column) -> Column:
+    """resolve() against the struct that _base_parts() gives."""
+    here = F.concat(base["user"], base["path"])
     out = (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(F.lower(_part(base, 1)), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(user, href))
-        .when(href == "", F.concat(user, path, _part(base, 6)))
-        .when(href.startswith("#"), F.concat(user, path, _part(base, 6), href))
-        .when(href.startswith("?"), F.concat(user, path, href))
-        .otherwise(F.concat(user, folder, F.regexp_replace(href, r"^(\./)+", "")))
+        .when(href.startswith("//"), F.concat(base["scheme"], href))
+        .when(href.startswith("/"), F.concat(base["user"], href))
+        .when(href == "", F.concat(here, base["query"]))
+        .when(href.startswith("#"), F.concat(here, base["query"], href))
+        .when(href.startswith("?"), F.concat(here, href))
+        .otherwise(F.concat(base["user"], base["folder"], F.regexp_replace(href, r"^(\./)+", "")))
     )
-    return F.when(base.rlike(URL) & href.isNotNull(), out)
+    return F.when(base["ok"] & href.isNotNull(), out)
+
+
+def resolve(href: Column, base: Column) -> Column:
+    """`href` against an http(s) `base`: absolute, //host, /path, ?query, #hash or relative; null where the base isn't one."""
+    return _resolve(href, _base_parts(base))
+
+
+def _redact_resolved(href: Column, base: Column) -> Column:
+    """redact_stored() against the struct that _base_parts() gives; the resolved address, which redact_url() names often, is worked out once."""
+    return F.coalesce(bound(_resolve(href, base), redact_url), F.when(href.isNotNull(), F.lit(INVALID)))
 
 
 def redact_stored(href: Column, base: Column) -> Column:
     """B5 of `href` resolved against `base`."""
-    return F.coalesce(redact_url(resolve(href, base)), F.when(href.isNotNull(), F.lit(INVALID)))
+    return bound(_base_parts(base), lambda b: _redact_resolved(href, b))
 
 
 def redact_srcset(srcset: Column, base: Column) -> Column:
@@ -157,16 +173,21 @@ def redact_css(text: Column, base: Column) -> Column:
 
 
 def redact_html(html: Column, base: Column) -> Column:
-    """Url attributes, and the value of password and one-time-code inputs."""
+    """Url attributes, and the value of password and one-time-code inputs.
+
+    What is named more than once is bound: within functions of array items Spark works out each mention anew.
+    """
     attribute = r"(?is)^(\S+?)\s*=\s*([\"'])(.*)\2$"
 
-    def one(m: Column) -> Column:
+    def one(m: Column, b: Column) -> Column:
         quote = F.regexp_extract(m, attribute, 2)
-        return F.concat(F.regexp_extract(m, attribute, 1), F.lit("="), quote, redact_stored(F.regexp_extract(m, attribute, 3), base), quote)
+        return bound(F.regexp_extract(m, attribute, 3), lambda href: bound(quote, lambda q: F.concat(F.regexp_extract(m, attribute, 1), F.lit("="), q, _redact_resolved(href, b), q)))
 
-    out = _replaced(html, r"(?i)\b(?:href|src|action|formaction|poster|data-src)\s*=\s*(?:\"[^\"]*\"|'[^']*')", one)
+    urls = r"(?i)\b(?:href|src|action|formaction|poster|data-src)\s*=\s*(?:\"[^\"]*\"|'[^']*')"
     secret = r"(?i)\btype\s*=\s*[\"']?password\b|\bautocomplete\s*=\s*[\"']?(?:current-password|new-password|one-time-code)\b"
-    return _replaced(out, r"(?i)<input\b[^>]*>", lambda tag: F.when(tag.rlike(secret), F.regexp_replace(tag, r"(?i)\bvalue\s*=\s*(?:\"[^\"]*\"|'[^']*')", f'value="{REDACTED}"')).otherwise(tag))
+    hidden = lambda tag: F.when(tag.rlike(secret), F.regexp_replace(tag, r"(?i)\bvalue\s*=\s*(?:\"[^\"]*\"|'[^']*')", f'value="{REDACTED}"')).otherwise(tag)
+    out = bound(_base_parts(base), lambda b: _replaced(html, urls, lambda m: one(m, b)))
+    return bound(out, lambda text: _replaced(text, r"(?i)<input\b[^>]*>", hidden))
 
 
 def site_identity(url: Column) -> Column:
