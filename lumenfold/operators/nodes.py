@@ -49,16 +49,22 @@ class _Elements(HTMLParser):
             self.rows[self.open[-1]][3].append(data)
 
 
-def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+#: Rows, and ancestors of these rows, that a task hands over at once.
+_ROWS, _PATHS = 20_000, 1 << 19
+
+
+def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", paths: bool = False) -> DataFrame:
     """A row per element of each page: capture, node_id, parent_id, ordinal, tag, attributes, text (its own), rendered.
 
-    A null page has none; broken html gives what can be read. Node ids are places in the page. Nothing is shuffled.
+    A null page has none; broken html gives what can be read. Node ids are places in the page. Nothing is shuffled. With
+    `paths` there is also path, the ancestors from the parent to the root, which page_ancestors() reads.
     """
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: list[tuple] = []
+            held = 0
             for capture, html in zip(pdf["_id"], pdf["_html"], strict=True):
                 parser = _Elements()
                 parser.feed(html or "")
@@ -68,20 +74,36 @@ def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
                     if tag in UNSEEN or tag in ("head", "title", "meta", "link") or "hidden" in attrs or parent in hidden:
                         hidden.add(i)
                     out.append((capture, i, parent, i, tag, attrs, " ".join(" ".join(text).split()), i not in hidden))
-                if len(out) > 20_000:
-                    yield _frame(out)
-                    out = []
-            yield _frame(out)
-
-    schema = f"capture {kind}, node_id long, parent_id long, ordinal long, tag string, attributes map<string,string>, text string, rendered boolean"
+                    if paths:
+                        path = []
+                        while parent is not None:
+                            path.append(parent)
+                            parent = parser.rows[parent][0]
+                        out[-1] += (path,)
+                        held += len(path)
+                        if held > _PATHS:
+                            yield _frame(out, paths)
+                            out, held = [], 0
+                if len(out) > _ROWS:
+                    yield _frame(out, paths)
+                    out, held = [], 0
+            yield _frame(out, paths)
+
+    schema = f"capture {kind}, node_id long, parent_id long, ordinal long, tag string, attributes map<string,string>, text string, rendered boolean" + ", path array<long>" * paths
     return pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html")).mapInPandas(run, schema)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["capture", "node_id", "parent_id", "ordinal", "tag", "attributes", "text", "rendered"])
+def _frame(rows: list[tuple], paths: bool = False) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["capture", "node_id", "parent_id", "ordinal", "tag", "attributes", "text", "rendered", *["path"] * paths])
     return out.astype({"parent_id": "Int64"})
 
 
+def page_ancestors(nodes: DataFrame) -> DataFrame:
+    """What ancestors() gives, of page_nodes() with paths: the parser has them, so nothing is joined or shuffled."""
+    every = nodes.select("capture", "node_id", F.posexplode("path").alias("_d", "ancestor_id"))
+    return every.select("capture", "node_id", "ancestor_id", (F.col("_d") + 1).alias("depth"))
+
+
 def ancestors(nodes: DataFrame) -> DataFrame:
     """(capture, node_id, ancestor_id, depth) of every node and each of its ancestors up to the root; depth 1 is the parent.
 

@@ -17,8 +17,8 @@ def _pages(t):
 
 
 def _stored_pages(t):
-    """For queries that read the nodes more than once: html is parsed once."""
-    return written(_pages(t))
+    """For queries that read the nodes and their ancestors more than once: html is parsed once."""
+    return written(nodes.page_nodes(t("pages"), paths=True).drop("text"))
 
 
 @query("u7_page_nodes")
@@ -37,7 +37,7 @@ def _(t):
 
 @query("c10_ancestors")
 def _(t):
-    return nodes.ancestors(_pages(t)).groupBy("capture", "node_id").agg(F.max("depth").alias("depth"))
+    return nodes.page_ancestors(nodes.page_nodes(t("pages"), paths=True)).groupBy("capture", "node_id").agg(F.max("depth").alias("depth"))
 
 
 #: Line items of an order are the nodes of a tree: the parent of one is at half its place, of every 40th order at the place before.
@@ -66,14 +66,15 @@ def _(t):
 @query("d6_entity_parents")
 def _(t):
     n = _stored_pages(t)
-    return nodes.with_parents(nodes.entities(n), nodes.ancestors(n)).select("capture", "entity_id", "taxonomy_id", "parent_entity_id")
+    return nodes.with_parents(nodes.entities(n), nodes.page_ancestors(n)).select("capture", "entity_id", "taxonomy_id", "parent_entity_id")
 
 
 @query("d7_relationships")
 def _(t):
     n = _stored_pages(t)
-    closure = nodes.ancestors(n)
-    return nodes.relationships(nodes.with_parents(nodes.entities(n), closure), n, closure)
+    closure = nodes.page_ancestors(n)
+    found = written(nodes.with_parents(nodes.entities(n), closure))  # read five times
+    return nodes.relationships(found, n, closure)
 
 
 #: Controls that every page has here: node, parent, tag, attributes, text, top, width and height of its box.
